@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that count as blanks inside a locus text.
-BLANKS = " \t\r\n\u000b\f "
-#: Positions have at most 18 digits, so that ``right + 1`` and sums of two positions fit a BIGINT.
-LOCUS = r"^(?:chr)?+[^:]+:[0-9]{1,18}-[0-9]{1,18}$"
-
-
+BLANKS = " \t\r\n\v\f" + chr(0xA0)
 def loc(chrom: Column, left: Column, right: Column) -> Column:
     return F.struct(chrom.alias("chrom"), left.cast("bigint").alias("left"), right.cast("bigint").alias("right"))
 
@@ -21,18 +17,24 @@ def normal_chrom(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.concat(F.lit("chr"), F.upper(bare)))
 
 
-def parse_locus(text: Column) -> Column:
-    """Locus of ``chrom:left-right``; case, blanks and thousands commas don't matter, ``chr`` is optional.
+def with_locus(df: DataFrame, text: str, chrom: str = "chrom", left: str = "left", right: str = "right") -> DataFrame:
+    """Add the columns of the locus ``chrom:left-right`` in ``text``; case, blanks and thousands commas don't matter.
 
-    Null for null and for text that is no locus (other shape, no chromosome, left > right,
-    more than 18 digits).
+    The prefix ``chr`` is optional. All three are null for null and for text that is no locus (other
+    shape, no chromosome, left > right, more than 18 digits). The parts are made once per row: the
+    generator keeps the optimizer from copying the parsing into every use of its result.
     """
-    bare = F.lower(F.translate(text, BLANKS + ",", ""))
-    place = F.substring_index(bare, ":", -1)
-    left = F.substring_index(place, "-", 1).try_cast("bigint")
-    right = F.substring_index(place, "-", -1).try_cast("bigint")
-    chrom = F.concat(F.lit("chr"), F.upper(F.regexp_replace(F.substring_index(bare, ":", 1), "^chr", "")))
-    return F.when(bare.rlike(LOCUS) & (left <= right), loc(chrom, left, right))
+    bare = F.lower(F.regexp_replace(F.col(text), f"[\\s,{chr(0xA0)}]+", ""))
+    name, lo, hi = (F.get("_parts", F.lit(i)) for i in range(3))
+    name = F.when(name.startswith("chr"), F.substring(name, 4, 1 << 30)).otherwise(name)
+
+    def number(part: Column) -> Column:
+        return F.when((F.length(part) <= 18) & F.substring(part, 1, 1).between("0", "9"), part.try_cast("bigint"))
+
+    whole = (F.size("_parts") == 3) & (F.length(name) > 0) & (number(lo) <= number(hi))
+    parsed = F.when(whole, F.struct(F.concat(F.lit("chr"), F.upper(name)), number(lo), number(hi)))
+    split = df.withColumn("_parts", F.split(bare, ":|-(?=[0-9]+$)"))
+    return split.select("*", F.inline(F.array(parsed)).alias(chrom, left, right)).drop("_parts")
 
 
 def overlaps(a: Column, b: Column, slack: int = 0) -> Column:

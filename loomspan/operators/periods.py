@@ -38,12 +38,13 @@ def covered_and_gaps(df: DataFrame, entity: list[str], left: str, right: str, *,
             F.struct(F.col("_r").alias("p"), F.lit(-1).alias("d")),
         )
     )
+    # The join below needs a block that isn't null; said here, both its sides read the same shuffle.
     events = starts.select(*e, both.alias("_e")).select(
         *e,
         F.shiftright(F.col("_e.p"), block_bits).alias("_block"),
         F.col("_e.p").alias("_pos"),
         F.col("_e.d").alias("_d"),
-    )
+    ).where("_block is not null")
     in_block = Window.partitionBy(*entity, "_block").orderBy("_pos")
     prefix = (
         events.repartition(*e, F.col("_block"))

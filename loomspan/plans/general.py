@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions.loci import normal_chrom, parse_locus
+from loomspan.functions.loci import normal_chrom, with_locus
 from loomspan.operators.packed import unpack_fields
 from loomspan.operators.periods import covered_and_gaps
 from loomspan.sources.rejects import parse_lines, rejected, valid
@@ -23,11 +23,8 @@ def list_name(name: str = "name") -> F.Column:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered periods and gaps of the lists per chromosome and of the genes."""
-    lists = (
-        table(spark, sf_dir, "testc")
-        .select(list_name().alias("name"), parse_locus(F.col("loc")).alias("l"))
-        .select(F.lit("testc").alias("src"), "name", "l.chrom", F.col("l.left").alias("left"), F.col("l.right").alias("right"))
-    )
+    named = table(spark, sf_dir, "testc").select(list_name().alias("name"), "loc")
+    lists = with_locus(named, "loc").select(F.lit("testc").alias("src"), "name", "chrom", "left", "right")
     genes = table(spark, sf_dir, "genome_sql").select(
         F.lit("genome_sql").alias("src"),
         "name",
@@ -39,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P2_SQL = r"""
-with t as (select lower(trim(name)) as name, lower(regexp_replace(loc, '[\s, ]', '', 'g')) as s from testc),
+with t as (select lower(trim(name)) as name, lower(regexp_replace(loc, '[\s,\x{00A0}]', '', 'g')) as s from testc),
 u as (select 'testc' as src, name, 'chr' || upper(regexp_extract(s, '^(chr)?([^:]+):(\d+)-(\d+)$', 2)) as chrom,
              try_cast(regexp_extract(s, ':(\d+)-(\d+)$', 1) as bigint) as l, try_cast(regexp_extract(s, ':(\d+)-(\d+)$', 2) as bigint) as r
       from t where regexp_full_match(s, '(chr)?[^:]+:\d+-\d+') and name <> ''

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions.loci import normal_chrom, parse_locus
+from loomspan.functions.loci import normal_chrom, with_locus
 from loomspan.operators.packed import split_packed, unpack_fields
 from loomspan.operators.periods import covered_and_gaps
 from loomspan.sources.rejects import STRANDS, parse_lines, rejected, valid
@@ -43,11 +43,11 @@ def test_periods_match_brute_force(spark, bits):
 def test_locus_texts(spark):
     cases = {
         "chr7:10-20": ("chr7", 10, 20), " CHRx: 1,000 - 2,000 ": ("chrX", 1000, 2000), "9:5-5": ("chr9", 5, 5),
-        "chr1:9-3": None, "chr:1-2": None, "": None, "unmapped": None, "chr1:5": None, "chr1:5-": None, "5-6": None,
+        "chr1:9-3": None, "chr1:+5-6": None, "HLA-A:1-2": ("chrHLA-A", 1, 2), "chr1:1-2-3": None, "a:b:1-2": None, "chr1:-5-6": None, "chr1:5.0-6": None, "chr:1-2": None, "": None, "unmapped": None, "chr1:5": None, "chr1:5-": None, "5-6": None,
         "chr1:5..6": None, "chr1:5-6x": None, "chr1:" + "9" * 30 + "-" + "9" * 31: None,
     }
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
-    got = {r.t: r.l and tuple(r.l) for r in df.select("t", parse_locus(F.col("t")).alias("l")).collect()}
+    got = {r.t: (r.chrom, r.left, r.right) if r.chrom else None for r in with_locus(df, "t").collect()}
     assert got == {**cases, None: None}
     chroms = spark.createDataFrame([("Chr4 ",), ("x",), ("chr",), (None,), (" ",)], "c string")
     assert [r[0] for r in chroms.select(normal_chrom(F.col("c"))).collect()] == ["chr4", "chrX", None, None, None]
