@@ -69,17 +69,29 @@ class Sentences:
 
 
 class WordTable:
-    """Words and how much each speaks for each class; words without a clear class are left out."""
-
-    def __init__(self, words: np.ndarray, classes: np.ndarray, weights: np.ndarray, count: int, clear: float, support: float, per_class: np.ndarray | None = None):
-        known, row = np.unique(words, return_inverse=True)
-        mass = np.zeros((len(known), count))
-        np.add.at(mass, (row, classes), weights)
-        total = mass.sum(axis=0) if per_class is None else per_class
-        rate = mass / np.maximum(total, 1e-9)
+    """Words and how much each speaks for each class; words without a clear class are left out.
+
+    ``mass`` has a row per word and a column per class: in how many sentences of the class the word is;
+    ``sentences`` is the number of sentences by class. A word is kept if its share of the rates of all
+    classes is ``clear`` in one of them and its rate there is at least ``common`` times that of the class's
+    20th most common clear word: rarer words that happen to fall into one class prove nothing. ``prior``
+    sentences at the word's overall rate are added to each class.
+    """
+
+    def __init__(self, words: np.ndarray, mass: np.ndarray, sentences: np.ndarray, clear: float, common: float, prior: float):
+        overall = mass.sum(axis=1, keepdims=True) / max(sentences.sum(), 1e-9)
+        used = sentences > 0
+        rate = np.where(used, (mass + prior * overall) / (sentences + prior + 1e-9), 0)
         share = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
-        keep = (share.max(axis=1) >= clear) & (mass.sum(axis=1) >= support)
-        self.words, self.share = known[keep], share[keep]
+        best = share.argmax(axis=1) if len(words) else np.zeros(0, int)
+        keep = share.max(axis=1, initial=0) >= clear
+        for c in range(mass.shape[1]):
+            mine = keep & (best == c)
+            top = np.sort(rate[mine, c])[::-1]
+            if len(top):
+                keep &= ~mine | (rate[:, c] >= common * top[min(19, len(top) - 1)])
+        order = np.argsort(words[keep])
+        self.words, self.share = words[keep][order], share[keep][order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.words >> np.uint64(44)] = True
 
@@ -132,7 +144,7 @@ def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) ->
 COUNTED = "word bigint, class int, weight double"
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, seed_docs: int = 50_000, most_words: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, most_words: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
@@ -141,7 +153,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
 
     Seeds are at most ``seed_docs`` labelled documents (smallest hashes of their ids, so any size of corpus
     draws them alike) and their words with at most ``most_words`` entries kept, by support; both bounds hold
-    what goes to the driver and is broadcast. Every round reads all documents.
+    what goes to the driver and is broadcast. Every round reads all documents. Only sentences with
+    ``anchor_word`` teach words for subjects, so that the small words of a second language, whose few texts may
+    lean to one subject, don't pass for subject words; sentences in all languages are classified.
     """
     spark = docs.sparkSession
     source = _texts(docs, id_col, text)
@@ -152,38 +166,63 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     if not names:
         return spark.createDataFrame([], "doc_id bigint, subject string, sentences bigint, of bigint, share double")
     code = {n: i for i, n in enumerate(names)}
-    other = len(names)  # passages in the manner of test items
-    count = other + 1
+    other, none = len(names), len(names) + 1  # passages in the manner of test items; sentences about nothing
+    count = none + 1
+    anchor = Sentences([anchor_word]).word[0]
     seed_classes = {d: np.array([code[n] for n in v]) for d, v in given.items()}
     shared_seeds = spark.sparkContext.broadcast(seed_classes)
 
+    def once(s: Sentences, some: np.ndarray) -> np.ndarray:
+        """Places among ``some`` of the first mention of a word in a sentence."""
+        order = some[np.lexsort((s.word[some], s.sentence[some]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(s.sentence[order]) != 0) | (np.diff(s.word[order]) != 0)
+        return order[new]
+
+    def teaches(s: Sentences) -> np.ndarray:
+        """Whole sentences in the corpus's main language: those with the anchor word."""
+        has = np.zeros(len(s.whole), bool)
+        has[s.sentence[s.word == anchor]] = True
+        return has & s.whole
+
+    def counts(s: Sentences, sentences: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+        """Counts of words by class for (sentence, class, weight) triples, and of sentences as word 0."""
+        order = np.argsort(sentences, kind="stable")
+        sentences, classes, weights = sentences[order], classes[order], weights[order]
+        wanted = np.zeros(len(s.whole), bool)
+        wanted[sentences] = True
+        places = once(s, np.flatnonzero(wanted[s.sentence]))
+        low, high = np.searchsorted(sentences, s.sentence[places], "left"), np.searchsorted(sentences, s.sentence[places], "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+        words = np.concatenate([np.repeat(s.word[places], n), np.zeros(len(sentences), np.uint64)])
+        return _word_counts(words, np.concatenate([classes[at], classes]), np.concatenate([weights[at], weights]))
+
     def first_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s in _blocks(batches, chunk_chars):
-            mine = [shared_seeds.value.get(i) for i in ids]
-            per_doc = np.array([0 if m is None else len(m) for m in mine])
-            doc = s.doc[s.sentence]
-            picked = np.flatnonzero((per_doc[doc] > 0) & s.whole[s.sentence])
-            n = per_doc[doc[picked]]
-            classes = [mine[d] for d in doc[picked]]
-            flat = np.concatenate(classes) if classes else np.zeros(0, np.int64)
-            yield _word_counts(np.repeat(s.word[picked], n), flat, np.repeat(1.0 / np.maximum(n, 1), n))
+            mine = [shared_seeds.value.get(i, np.zeros(0, np.int64)) for i in ids]
+            per_doc = np.array([len(m) for m in mine])
+            picked = np.flatnonzero(teaches(s) & (per_doc[s.doc] > 0))
+            n = per_doc[s.doc[picked]]
+            flat = np.concatenate([mine[d] for d in s.doc[picked]] or [np.zeros(0, np.int64)])
+            yield counts(s, np.repeat(picked, n), flat, np.repeat(1.0 / np.maximum(n, 1), n))
 
     def item_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _blocks(batches, chunk_chars):
-            yield _word_counts(s.word, np.full(len(s.word), other), np.ones(len(s.word)))
+            every = np.arange(len(s.whole))
+            yield counts(s, every, np.full(len(every), other), np.ones(len(every)))
 
-    def gather(parts: DataFrame, clear: float, support: float) -> WordTable:
+    def gather(parts: DataFrame, clear: float, common: float, prior: float) -> WordTable:
         total = parts.groupBy("word", "class").agg(F.sum("weight").alias("weight"))
-        sizes = total.groupBy("class").agg(F.sum("weight")).collect()  # one row per class
-        per_class = np.ones(count)
-        for c, w in sizes:
-            per_class[int(c)] = w
         kept = total.groupBy("word").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("class", "weight")).alias("by"))
-        rows = kept.where(F.col("n") >= support).orderBy(F.desc("n"), "word").limit(most_words).collect()
-        words = np.array([r.word for r in rows for _ in r.by], np.int64).view(np.uint64)
-        classes = np.array([b["class"] for r in rows for b in r.by], np.int64)
-        weights = np.array([b["weight"] for r in rows for b in r.by], float)
-        return WordTable(words, classes, weights, count, clear, support, per_class)
+        rows = kept.where("n >= 2").orderBy(F.desc("n"), "word").limit(most_words).collect()
+        mass = np.zeros((len(rows), count))
+        for i, r in enumerate(rows):
+            for b in r.by:
+                mass[i, b["class"]] = b["weight"]
+        words = np.array([r.word for r in rows], np.int64).view(np.uint64)
+        real = words != 0
+        return WordTable(words[real], mass[real], mass[~real].sum(axis=0), clear, common, prior)
 
     labelled = source.join(F.broadcast(seeds.select("doc_id")), "doc_id", "left_semi")
     counted = labelled.mapInArrow(first_counts, COUNTED)
@@ -191,42 +230,41 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     if items is not None:
         item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"))
         counted = counted.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-    table = gather(counted, 0.35, 2)
+    table = gather(counted, 0.35, 0.3, 20.0)
 
     for _ in range(rounds):
         current = spark.sparkContext.broadcast(table)
 
         def next_counts(batches: Iterable[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             for ids, s in _blocks(batches, chunk_chars):
-                best = current.value.classify(s, 1.0)
+                best = current.value.classify(s, 0.9)
+                best[best < 0] = none
                 for d, i in enumerate(ids):  # clamped: a seed's sentences speak for its labels only
                     if i in shared_seeds.value:
-                        mine = np.flatnonzero(s.doc == d) if False else slice(*np.searchsorted(s.doc, [d, d + 1]))
-                        own = best[mine]
-                        best[mine] = np.where(np.isin(own, shared_seeds.value[i]) | (own == other), own, -1)
-                speaks = best[s.sentence]
-                use = speaks >= 0
-                yield _word_counts(s.word[use], speaks[use], np.ones(int(use.sum())))
+                        mine = slice(*np.searchsorted(s.doc, [d, d + 1]))
+                        best[mine] = np.where(np.isin(best[mine], shared_seeds.value[i]) | (best[mine] >= other), best[mine], -1)
+                speaks = np.flatnonzero(s.whole & (best >= 0) & ((best == none) | teaches(s)))
+                yield counts(s, speaks, best[speaks], np.ones(len(speaks)))
 
         passed = source.mapInArrow(next_counts, COUNTED)
         if item_source is not None:
             passed = passed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-        table = gather(passed, 0.6, 3)
+        table = gather(passed, 0.6, 0.15, 0.0)
 
     final = spark.sparkContext.broadcast(table)
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s in _blocks(batches, chunk_chars):
-            best = final.value.classify(s, 1.0)
-            counts = s.whole & (best != other)
-            of = np.bincount(s.doc[counts], minlength=len(ids))
+            best = final.value.classify(s, 0.8)
+            counted_in = s.whole & (best != other)
+            of = np.bincount(s.doc[counted_in], minlength=len(ids))
             about = np.zeros((len(ids), count), np.int64)
-            use = counts & (best >= 0)
+            use = counted_in & (best >= 0) & (best < other)
             np.add.at(about, (s.doc[use], best[use]), 1)
             d, c = np.nonzero(about)
             n = about[d, c]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[d]), pa.array(names + [""], pa.string()).take(pa.array(c)), pa.array(n), pa.array(of[d].astype(np.int64)), pa.array(n / np.maximum(of[d], 1))],
+                [pa.array(np.array(ids, np.int64)[d]), pa.array([*names, "", ""], pa.string()).take(pa.array(c)), pa.array(n), pa.array(of[d].astype(np.int64)), pa.array(n / np.maximum(of[d], 1))],
                 names=["doc_id", "subject", "sentences", "of", "share"],
             )
 
