@@ -144,7 +144,7 @@ def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) ->
 COUNTED = "word bigint, class int, weight double"
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, most_words: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, most_words: int = 20_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
@@ -230,7 +230,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     if items is not None:
         item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"))
         counted = counted.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-    table = gather(counted, 0.35, 0.3, 20.0)
+    even = 1 / len(names)  # share of a word that goes with no subject in particular
+    table = gather(counted, even + 0.3 * (1 - even), 0.3, 20.0)
 
     for _ in range(rounds):
         current = spark.sparkContext.broadcast(table)
@@ -249,7 +250,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         passed = source.mapInArrow(next_counts, COUNTED)
         if item_source is not None:
             passed = passed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-        table = gather(passed, 0.6, 0.15, 0.0)
+        table = gather(passed, even + 0.565 * (1 - even), 0.15, 0.0)
 
     final = spark.sparkContext.broadcast(table)
 
