@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Labels of the two strands.
+PLUS = ["+", "1", "f", "F"]
+MINUS = ["-", "-1", "0", "r", "R"]
 #: Characters that count as blanks inside a locus text.
 BLANKS = " \t\r\n\v\f" + chr(0xA0)
 def loc(chrom: Column, left: Column, right: Column) -> Column:
@@ -89,6 +92,6 @@ def to_text(a: Column) -> Column:
 
 def tss(a: Column, strand: Column, end: bool = False) -> Column:
     """Start point by strand (the end point if ``end``); the midpoint for an unknown strand."""
-    plus, minus = strand.isin("+", "1", "f", "F"), strand.isin("-", "-1", "r", "R")
+    plus, minus = strand.isin(*PLUS), strand.isin(*MINUS)
     first, last = (point_right(a), point_left(a)) if end else (point_left(a), point_right(a))
     return F.when(plus, first).when(minus, last).otherwise(pointify(a))

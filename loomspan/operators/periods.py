@@ -81,3 +81,32 @@ def covered_and_gaps(df: DataFrame, entity: list[str], left: str, right: str, *,
         .where(F.col("_hi").isNotNull())
         .select(*e, F.when(F.col("_on"), "covered").otherwise("gap").alias("kind"), F.col("_pos").alias("lo"), F.col("_hi").alias("hi"))
     )
+
+
+def depth_runs(df: DataFrame, entity: list[str], start: str, end: str, weight: str | None = None, *, block_bits: int = 20) -> DataFrame:
+    """Coverage depth as runs ``entity..., start, end, value`` of half-open intervals [start, end); zero runs are left out.
+
+    ``value`` is the number of intervals over a position, or the sum of their weights. Empty and reversed
+    intervals and null ends don't count. The same two-level sweep as ``covered_and_gaps``: no position is
+    expanded and no entity has to fit one task.
+    """
+    e = [F.col(c) for c in entity]
+    w = F.col(weight).cast("double") if weight else F.lit(1)
+    ends = F.array(F.struct(F.col(start).cast("bigint").alias("p"), w.alias("d")), F.struct(F.col(end).cast("bigint").alias("p"), (-w).alias("d")))
+    events = df.where(F.col(start) < F.col(end)).select(*e, F.explode(ends).alias("_e")).groupBy(*entity, F.col("_e.p").alias("_pos")).agg(F.sum("_e.d").alias("_d"))
+    blocked = events.withColumn("_block", F.shiftright("_pos", block_bits)).where("_block is not null").repartition(*e, F.col("_block"))
+    inside = Window.partitionBy(*entity, "_block").orderBy("_pos")
+    prefix = blocked.withColumn("_s", F.sum("_d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    over = Window.partitionBy(*entity).orderBy("_block")
+    after = Window.partitionBy(*entity).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        prefix.groupBy(*entity, "_block")
+        .agg(F.sum("_d").alias("t"), F.min("_pos").alias("first"))
+        .withColumn("_carry", F.coalesce(F.sum("t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_next", F.last("first").over(after))
+        .select(*entity, "_block", "_carry", "_next")
+    )
+    runs = prefix.join(blocks, [*entity, "_block"]).withColumn("end", F.coalesce(F.lead("_pos").over(inside), F.col("_next")))
+    value = F.col("_carry") + F.col("_s")
+    zero = F.abs(value) < 1e-9 if weight else value == 0
+    return runs.where(~zero & F.col("end").isNotNull()).select(*e, F.col("_pos").alias("start"), "end", value.alias("value"))
