@@ -18,39 +18,40 @@ from loomspan.operators.periods import covered_and_gaps
 from loomspan.session import checkpointed
 
 BIN = 10_000
-#: An interval over more bins than this is long: it is joined on coarse bins.
+#: An interval over more bins than this is long: it is joined on bins as many times as wide.
 LONG = 64
 
 
-def _bins(df: DataFrame, chrom: Column, lo: Column, hi: Column, bin_size: int, long_intervals: bool) -> DataFrame:
-    """Rows as struct ``r`` with ``chrom, tier, bin, first, long``, once for every bin they touch."""
-    base = df.select(F.struct("*").alias("r"), chrom.alias("chrom"), lo.alias("lo"), hi.alias("hi")).where("chrom is not null and lo <= hi")
+def _spans(df: DataFrame, at: Column) -> DataFrame:
+    """Rows as struct ``r`` with ``chrom, lo, hi`` of their interval."""
+    return df.select(F.struct("*").alias("r"), at["chrom"].alias("chrom"), at["left"].alias("lo"), at["right"].alias("hi")).where("chrom is not null and lo <= hi")
 
-    def tier(size: int, number: int) -> Column:
-        first, last = F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)
-        return F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(number).alias("tier"), b.alias("bin"), first.alias("first")))
 
-    long = F.floor(F.col("hi") / bin_size) - F.floor(F.col("lo") / bin_size) >= LONG
-    if not long_intervals:
-        return base.select("r", "chrom", F.lit(False).alias("long"), F.inline(tier(bin_size, 0)))
-    coarse = tier(bin_size * LONG * LONG, 1)
-    return base.select("r", "chrom", long.alias("long"), F.inline(F.when(long, coarse).otherwise(F.concat(tier(bin_size, 0), coarse))))
+def _binned(spans: DataFrame, size: int) -> DataFrame:
+    """Once for every bin a row touches: ``r, chrom, bin, first``."""
+    first = F.floor(F.col("lo") / size)
+    return spans.select("r", "chrom", first.alias("first"), F.explode(F.sequence(first, F.floor(F.col("hi") / size))).alias("bin"))
 
 
 def bin_pairs(a: DataFrame, b: DataFrame, a_loc: Column, b_loc: Column, *, bin_size: int = BIN, long_intervals: bool = False) -> DataFrame:
     """``a, b``: structs of all pairs of rows that can overlap: the caller adds the exact test on their intervals.
 
-    Null intervals and those with left > right meet nothing. With ``long_intervals`` the few intervals over
-    more than 64 bins, and all others once more, are joined on coarse bins, so that one chromosome-wide interval
-    doesn't turn into thousands of rows.
+    Null intervals and those with left > right meet nothing. With ``long_intervals`` the rows over more than 64
+    bins are joined apart, on bins 64 times as wide, so that a chromosome-wide interval doesn't turn
+    into thousands of rows.
     """
-    x = _bins(a, a_loc["chrom"], a_loc["left"], a_loc["right"], bin_size, long_intervals).alias("x")
-    y = _bins(b, b_loc["chrom"], b_loc["left"], b_loc["right"], bin_size, long_intervals).alias("y")
-    keys = ["chrom", "tier", "bin"]
-    pairs = x.join(y, functools.reduce(operator.and_, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]))
-    once = F.col("x.bin") == F.greatest("x.first", "y.first")
-    tier = (F.col("x.tier") == 0) | F.col("x.long") | F.col("y.long")
-    return pairs.where(once & tier).select(F.col("x.r").alias("a"), F.col("y.r").alias("b"))
+
+    def joined(x: DataFrame, y: DataFrame, size: int) -> DataFrame:
+        p, q = _binned(x, size).alias("x"), _binned(y, size).alias("y")
+        pairs = p.join(q, (F.col("x.chrom") == F.col("y.chrom")) & (F.col("x.bin") == F.col("y.bin")))
+        return pairs.where(F.col("x.bin") == F.greatest("x.first", "y.first")).select(F.col("x.r").alias("a"), F.col("y.r").alias("b"))
+
+    x, y = _spans(a, a_loc), _spans(b, b_loc)
+    if not long_intervals:
+        return joined(x, y, bin_size)
+    long = F.floor(F.col("hi") / bin_size) - F.floor(F.col("lo") / bin_size) >= LONG
+    short = joined(x.where(~long), y.where(~long), bin_size)
+    return short.unionByName(joined(x.where(long), y, bin_size * LONG)).unionByName(joined(x.where(~long), y.where(long), bin_size * LONG))
 
 
 def _pairs(a: DataFrame, b: DataFrame, loc_key: str, wide: callable, bin_size: int, long_intervals: bool) -> DataFrame:
@@ -124,22 +125,54 @@ def annotate(genes: DataFrame, peaks: DataFrame, *, distance_bp: int = 10_000, c
 
     ``dist_to_tss`` = midpoint of the peak - start, negated on the minus strand, null for an unknown strand.
     Peak columns win over gene columns. ``closest_only``: the gene with the smallest absolute distance, the
-    smallest gene id on ties, one row per peak; chosen by a combined aggregate, not by a window.
+    smallest gene id on ties, one row per peak, found without making the pairs; genes of unknown strand
+    don't take part then.
     """
-    reach = expand(pointify(F.col(loc_key)), distance_bp)
-    hits = bin_pairs(peaks, genes, reach, F.col(tss_key), bin_size=bin_size)
-    near = expand(pointify(F.col(f"a.{loc_key}")), distance_bp)
-    hits = hits.where(overlaps(near, F.col(f"b.{tss_key}")))
-    d = distance(F.col(f"a.{loc_key}"), F.col(f"b.{tss_key}"))
+    if strand:
+        known = F.col(strand).isin(*PLUS, *MINUS)
+        genes = genes.where(known) if closest_only else genes
+    out = [c for c in genes.columns if c not in peaks.columns]
+    if closest_only:
+        found = nearest(peaks.select(F.col(peak_id).alias("id"), pointify(F.col(loc_key)).alias("at")), genes.select(F.col(gene_id).alias("gene"), F.col(tss_key).alias("at")))
+        near = found.where(F.abs("dist") <= distance_bp).select(F.col("id").alias("_p"), F.col("gene").alias("_g"), F.col("dist").alias("_d"))
+        hits = peaks.join(near, peaks[peak_id] == F.col("_p")).alias("a").join(genes.alias("b"), F.col("_g") == F.col(f"b.{gene_id}"))
+        d = F.col("_d")
+    else:
+        reach = expand(pointify(F.col(loc_key)), distance_bp)
+        hits = bin_pairs(peaks, genes, reach, F.col(tss_key), bin_size=bin_size)
+        hits = hits.where(overlaps(expand(pointify(F.col(f"a.{loc_key}")), distance_bp), F.col(f"b.{tss_key}")))
+        d = distance(F.col(f"a.{loc_key}"), F.col(f"b.{tss_key}"))
     if strand:
         s = F.col(f"b.{strand}")
         d = F.when(s.isin(*PLUS), d).when(s.isin(*MINUS), -d)
-    hits = hits.withColumn("dist_to_tss", d)
-    if closest_only:
-        pick = F.struct(F.coalesce(F.abs("dist_to_tss"), F.lit(1 << 62)), F.col(f"b.{gene_id}"))
-        hits = hits.groupBy(F.col(f"a.{peak_id}").alias("_p")).agg(F.min_by(F.struct("a", "b", "dist_to_tss"), pick).alias("h")).select("h.*")
-    out = [F.col(f"b.{c}").alias(c) for c in genes.columns if c not in peaks.columns]
-    return hits.select(*[F.col(f"a.{c}").alias(c) for c in peaks.columns], *out, "dist_to_tss")
+    return hits.select(*[F.col(f"a.{c}").alias(c) for c in peaks.columns], *[F.col(f"b.{c}").alias(c) for c in out], d.alias("dist_to_tss"))
+
+
+def nearest(points: DataFrame, places: DataFrame, *, block_bits: int = 18) -> DataFrame:
+    """``id, gene, dist``: the nearest place of each point (both with ``at``, a locus of one position).
+
+    ``dist`` is point - place; of places equally far the smallest ``gene`` wins. An as-of look to both sides: places
+    are reduced to one per position, points and places are ordered inside blocks of a chromosome, and per
+    block the last place before and the first behind it are carried in. Points without a place on their
+    chromosome go.
+    """
+    spots = places.groupBy(F.col("at.chrom").alias("chrom"), F.col("at.left").alias("pos")).agg(F.min("gene").alias("gene"))
+    spots = spots.select("chrom", "pos", F.struct("pos", "gene").alias("spot"), F.lit(None).cast(points.schema["id"].dataType).alias("id"))
+    asked = points.select(F.col("at.chrom").alias("chrom"), F.col("at.left").alias("pos"), F.lit(None).cast(spots.schema["spot"].dataType).alias("spot"), "id")
+    both = spots.unionByName(asked).withColumn("block", F.shiftright("pos", block_bits)).where("chrom is not null and block is not null").repartition("chrom", "block")
+    part = Window.partitionBy("chrom", "block")
+    to_here = (Window.unboundedPreceding, 0)
+    ordered = both.withColumn("before", F.last("spot", ignorenulls=True).over(part.orderBy("pos", F.col("spot").isNull()).rowsBetween(*to_here)))
+    ordered = ordered.withColumn("behind", F.last("spot", ignorenulls=True).over(part.orderBy(F.desc("pos"), F.col("spot").isNull()).rowsBetween(*to_here)))
+    earlier = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("chrom").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("chrom", "block").agg(F.max("spot").alias("last"), F.min("spot").alias("first"))
+    blocks = blocks.select("chrom", "block", F.last("last", ignorenulls=True).over(earlier).alias("in_left"), F.last("first", ignorenulls=True).over(later).alias("in_right"))
+    found = ordered.where("id is not null").join(blocks, ["chrom", "block"])
+    left, right = F.coalesce("before", "in_left"), F.coalesce("behind", "in_right")
+    pick = lambda s: F.when(s.isNotNull(), F.struct(F.abs(F.col("pos") - s["pos"]).alias("far"), s["gene"].alias("gene"), (F.col("pos") - s["pos"]).alias("dist")))
+    best = F.coalesce(F.least(pick(left), pick(right)), pick(left), pick(right))
+    return found.select("id", best.alias("b")).where("b is not null").select("id", "b.gene", "b.dist")
 
 
 #: Bands of the distance to the start, in kilobases, lower bound included.

@@ -12,6 +12,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.session import checkpointed
+
 
 def falsy(df: DataFrame, name: str) -> Column:
     """Null, empty text, zero, false or an empty array: what counts as an empty value."""
@@ -58,8 +60,12 @@ def label_rows(df: DataFrame, name: str, order: list[str], fmt: str = "ID_{}") -
 
 
 def with_ordinal(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Ordinal from 0 in the given order, by a sort that stays distributed."""
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Ordinal from 0 in the given order, by a sort that stays distributed.
+
+    The range partitions are checkpointed: their bounds are sampled, so a second evaluation could cut
+    elsewhere and no longer fit the partition sizes.
+    """
+    part = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = part.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     sizes = part.groupBy("_p").count()
     starts = sizes.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")

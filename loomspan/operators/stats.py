@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.special import chi2_upper, normal_two_sided, t_two_sided
 from loomspan.operators.matrix import V, to_long
+from loomspan.session import checkpointed
 
 
 def summary(df: DataFrame, names: list[str], *, log2: bool = False) -> DataFrame:
@@ -75,7 +76,7 @@ def running_total(df: DataFrame, value: str, order: list[str], by: list[str]) ->
     Two levels: sums inside range partitions, plus the totals of earlier partitions (one row per partition and
     group), so that no group has to fit one task.
     """
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    part = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))  # sampled bounds: cut once
     inside = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = part.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     sums = part.groupBy("_p", *by).agg(F.sum(value).alias("_t"))

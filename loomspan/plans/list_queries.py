@@ -480,7 +480,7 @@ _BAND = "case " + " ".join(f"when dist_to_tss / 1000 >= {a} and dist_to_tss / 10
     select band, count, round(count * 100.0 / sum(count) over (), 6) as percent from b"""
 )
 def distribution_bands(spark, d):
-    return intervals.distribution(genes(spark, d), peaks(spark, d), bin_size=100_000).withColumn("percent", F.round("percent", 6))
+    return intervals.distribution(genes(spark, d), peaks(spark, d)).withColumn("percent", F.round("percent", 6))
 
 
 @query(

@@ -262,9 +262,9 @@ def wilcoxon_w(spark, d):
     return stats.wilcoxon(matrix(spark, d), NAMES, "AF", "NO").select(F.round("w", 4).alias("w"), "n")
 
 
-@query("with o as (select o_orderkey, avg(o_totalprice) over (order by o_orderkey rows 19 preceding) as mean, row_number() over (order by o_orderkey) as n from orders) select o_orderkey, round(mean, 3) as mean from o where n > 20")
+@query("with o as (select o_orderkey, avg(o_totalprice) over (order by o_orderkey rows 19 preceding) as mean, row_number() over (order by o_orderkey) as n from orders) select o_orderkey, round(mean, 4) as mean from o where n > 20")
 def running_mean(spark, d):
-    return stats.running_mean(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], 20).select("o_orderkey", F.round("mean", 3).alias("mean"))
+    return stats.running_mean(table(spark, d, "orders"), "o_totalprice", ["o_orderkey"], 20).select("o_orderkey", F.round("mean", 4).alias("mean"))
 
 
 @query(
