@@ -52,6 +52,37 @@ union all select src, name, chrom, 'gap', lo, hi from g where hi is not null
 """
 
 
+P4_SQL = r"""
+with t as (select rec_id, fmt, rtrim(line, chr(13) || chr(10)) as line from format_lines),
+r as (select * from t where trim(line, ' ' || chr(9) || chr(13)) <> '' and not regexp_matches(ltrim(line, ' ' || chr(9)), '^(#|track |browser )')
+      and not (fmt = 'csv' and regexp_full_match(lower(replace(line, '"', '')), '\s*loc\s*,\s*name\s*,\s*score\s*,\s*strand\s*'))),
+f as (select *, fmt = 'bed' or regexp_full_match(line, '([ \t]*"([^"]|"")*"[ \t]*|[^",]*)(,([ \t]*"([^"]|"")*"[ \t]*|[^",]*))*') as quoted,
+      case when fmt = 'bed' then string_split(line, chr(9)) else regexp_extract_all(',' || line, ',([ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*)', 1) end as c from r),
+g as (select *, len(c) as n, trim(trim(c[len(c)], ' ' || chr(9)), '"') as strand, trim(trim(trim(c[len(c) - 1], ' ' || chr(9)), '"'), ' ' || chr(9)) as score,
+      lower(case when fmt = 'bed' then trim(c[1]) || ':' || trim(c[2]) || '-' || trim(c[3]) else regexp_replace(trim(trim(c[1], ' ' || chr(9)), '"'), '\s*([:-])\s*', '\1', 'g') end) as loc from f),
+h as (select *, replace(regexp_extract(loc, ':([0-9,]*)-', 1), ',', '') as l, replace(regexp_extract(loc, '-([0-9,]*)$', 1), ',', '') as u,
+      regexp_full_match(loc, '(chr)?[a-z0-9_]+:' || (case when fmt = 'csv' then '[0-9][0-9,]*-[0-9][0-9,]*' else '[0-9]+-[0-9]+' end)) and not regexp_matches(loc, '^chr:') as shaped from g)
+select rec_id, reason from (select rec_id, case when not quoted then 'quoting' when n <> (case when fmt = 'bed' then 6 else 4 end) then 'column_count'
+   when not shaped or try_cast(l as bigint) > try_cast(u as bigint) then 'loc'
+   when not (regexp_full_match(score, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(score as double) between 0 and 1000) then 'score'
+   when trim(strand, ' ' || chr(9)) not in ('+', '1', 'f', 'F', '-', '-1', '0', 'r', 'R', '.') then 'strand' end as reason from h) where reason is not null
+"""
+
+
+def _items_sql(field: str, table: str, key: str, pattern: str, text: str) -> str:
+    return f"""select '{field}' as field_name, {key} as row_id, cast(i as integer) as pos, replace(trim(case when v[1] in ('"', chr(39)) then v[2:-2] else v end), '""', '"') as item
+     from (select {key}, unnest(vs) as v, unnest(range(1, len(vs) + 1)) as i from (select {key}, list_filter(list_transform(regexp_extract_all({text}, '{pattern}'), lambda x: trim(x)), lambda x: x <> '') as vs from {table}) where len(vs) > 1)"""
+
+
+_NUMBERS = r""""[^"]*"|\x27[^\x27]*\x27|[^,;|\s"\x27]+"""
+P5_SQL = " union all ".join(
+    [
+        *[_items_sql(c, "genome_sql", "feature_id", _NUMBERS, f"translate({c}, '[]', '')") for c in ("exonstarts", "exonends")],
+        _items_sql("name", "massspec", "row_id", r'''"(?:[^"]|"")*"|[^,;|"]+''', "regexp_replace(name, ' / ', ';', 'g')"),
+    ]
+)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that fail to parse, with the first reason that applies."""
     return rejected(parse_lines(table(spark, sf_dir, "format_lines")))
@@ -73,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
