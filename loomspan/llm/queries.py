@@ -71,6 +71,15 @@ select src, grp from t where v > 0 and isfinite(v) and grp is not null group by
 """
 
 
+P8_FOUND = r"""
+with t as (select 1 as kind, doc_id as id, text from documents union all select 2, item_id, text from eval_items),
+n as (select kind, id, replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '</?(b|i|em|strong|u|span)>', '', 'g'), '<[a-zA-Z/][^<>]*>', ' ', 'g'), '&nbsp;', ' ') as s from t),
+w as (select kind, id, regexp_extract_all(lower(regexp_replace(s, '(\pL)-[ \t]*\r?\n[ \t>|*#]*(\pL)', '\1\2', 'g')), '[\pL\pN]+') as ws from n),
+g as (select kind, id, array_to_string(ws[i:i + 11], ' ') as g from (select kind, id, ws, unnest(range(1, len(ws) - 10)) as i from w))
+select distinct a.id as doc_id, b.id as item_id from g a join g b on a.kind = 1 and b.kind = 2 and a.g = b.g
+"""
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of clusters with two or more members."""
     return profile_clusters(table(spark, sf_dir, "format_matrix")).select("rid", "head_rid")
@@ -107,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
