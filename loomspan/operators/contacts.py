@@ -113,3 +113,11 @@ def dense_rows(contacts: DataFrame, chrom: str, bins: int) -> DataFrame:
     entries = full.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "score"))).alias("m"))
     row = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
     return entries.select("i", row.alias("values"))
+
+
+def pca_of(contacts: DataFrame, chrom: str, bins: int, k: int) -> DataFrame:
+    """``i, scores`` of the principal components of log2(score + 0.1) of one chromosome's rows."""
+    from loomspan.operators.learn import pca
+
+    rows = dense_rows(contacts, chrom, bins).select("i", F.transform("values", lambda x: F.log2(x + 0.1)).alias("conditions"))
+    return pca(rows, k)[0].select("i", "scores")

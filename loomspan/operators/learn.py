@@ -344,3 +344,119 @@ def graph_clusters(edges: list[tuple], nodes: list, clusters: int) -> dict:
             parts -= 1
     seen: dict = {}
     return {n: seen.setdefault(find(n), len(seen)) for n in nodes}
+
+
+def branches(edges: list[tuple]) -> dict:
+    """Node to branch number: parts of a small graph after taking its longest path away; the path is branch 0."""
+    path = set(longest_path(edges))
+    near: dict = {}
+    for a, b, *_ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {n: 0 for n in path}
+    number = 0
+    for start in sorted(near, key=str):
+        if start in out:
+            continue
+        number += 1
+        queue = [start]
+        out[start] = number
+        for v in queue:
+            for w in sorted(near[v], key=str):
+                if w not in out:
+                    out[w] = number
+                    queue.append(w)
+    return out
+
+
+def path_neighbours(edges: list[tuple], path: list, degree: int = 1) -> set:
+    """Nodes within ``degree`` steps of a path."""
+    near: dict = {}
+    for a, b, *_ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found = set(path)
+    for _ in range(degree):
+        found |= {w for v in found for w in near.get(v, ())}
+    return found
+
+
+def rooted_edges(edges: list[tuple], root, threshold: float, most_links: int = 2) -> list[tuple]:
+    """Breadth-first edges from a root over (a, b, r) with r >= threshold, at most ``most_links`` new nodes each, strongest first."""
+    near: dict = {}
+    for a, b, r in edges:
+        if r >= threshold:
+            near.setdefault(a, {})[b] = r
+            near.setdefault(b, {})[a] = r
+    seen, queue, out = {root}, [root], []
+    for v in queue:
+        fresh = sorted(((r, w) for w, r in near.get(v, {}).items() if w not in seen), key=lambda x: (-x[0], str(x[1])))[:most_links]
+        for r, w in fresh:
+            seen.add(w)
+            queue.append(w)
+            out.append((v, w, r))
+    return out
+
+
+def correlated_edges(df: DataFrame, key: str, *, low: float, most_links: int = 5) -> list[tuple]:
+    """(a, b, r) of the rows' correlations, strongest first, while both ends have fewer than ``most_links`` edges."""
+    keys, x = _gathered(df, key)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.nan_to_num(np.corrcoef(x))
+    i, j = np.triu_indices(len(keys), 1)
+    order = np.lexsort((j, i, -r[i, j]))
+    degree, out = dict.fromkeys(range(len(keys)), 0), []
+    for k in order:
+        a, b, w = int(i[k]), int(j[k]), float(r[i[k], j[k]])
+        if w < low:
+            break
+        if degree[a] < most_links and degree[b] < most_links:
+            degree[a] += 1
+            degree[b] += 1
+            out.append((keys[a], keys[b], w))
+    return out
+
+
+def heat_payload(df: DataFrame, key: str, names: list[str], *, method: str = "complete", row_norm: bool = False, low: float | None = None, high: float | None = None) -> DataFrame:
+    """``key, cond, value, row_order, col_order`` of a clustered heat map: rows and conditions in the order of their trees."""
+    keys, x = _gathered(df, key)
+    if row_norm:
+        spread = x.std(axis=1, keepdims=True)
+        x = np.where(spread > 0, (x - x.mean(axis=1, keepdims=True)) / np.where(spread > 0, spread, 1), 0)
+    if low is not None or high is not None:
+        x = x.clip(low, high)
+    rows = {i: k for k, i in enumerate(leaf_order(linkage(x, method), len(keys)))}
+    cols = {i: k for k, i in enumerate(leaf_order(linkage(x.T, method), len(names)))}
+    made = [(keys[i], names[j], float(x[i, j]), rows[i], cols[j]) for i in range(len(keys)) for j in range(len(names))]
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame(made, f"`{key}` {kind}, cond string, value double, row_order int, col_order int")
+
+
+def node_values(codebook: np.ndarray, component: int, near: DataFrame, key: str) -> DataFrame:
+    """``key, value``: a component of the codebook at each row's nearest nodes, weighted by 1 / distance (``near`` is ``project``)."""
+    values = F.array(*[F.lit(float(v)) for v in codebook[:, component]])
+    weight = F.transform("distances", lambda d: 1.0 / F.greatest(d, F.lit(1e-9)))
+    at = F.transform("nodes", lambda n: F.get(values, n.cast("int")))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return near.select(key, (total(F.zip_with(at, weight, lambda v, w: v * w)) / total(weight)).alias("value"))
+
+
+def sign_shares(codebook: np.ndarray, component: int, near: DataFrame, key: str) -> DataFrame:
+    """``key, positive``: share of the nearest nodes at which a component is above 0."""
+    above = F.array(*[F.lit(float(v > 0)) for v in codebook[:, component]])
+    hits = F.aggregate(F.transform("nodes", lambda n: F.get(above, n.cast("int"))), F.lit(0.0), lambda a, x: a + x)
+    return near.select(key, (hits / F.size("nodes")).alias("positive"))
+
+
+def strong_nodes(codebook: np.ndarray, component: int, threshold: float = 0.7) -> list[int]:
+    """Nodes above (max - min) * threshold in a component."""
+    v = codebook[:, component]
+    return np.flatnonzero(v > (v.max() - v.min()) * threshold).tolist()
+
+
+def som_input(df: DataFrame, *, low: float = 1.0, high: float = 7.0) -> DataFrame:
+    """Rows whose deviation / mean lies between the bounds."""
+    from loomspan.operators.matrix import deviation, mean
+
+    cv = F.try_divide(deviation(), mean())
+    return df.where((cv > low) & (cv < high))

@@ -102,3 +102,21 @@ def qpcr_normalise(rows: DataFrame, controls: list[str], *, missing: float = 35.
     seen = t.groupBy("primer").agg(F.min("ct").alias("best")).where(F.col("best") < missing)
     kept = t.join(ctrl, "sample").join(seen, "primer", "left_semi")
     return kept.select("sample", "primer", (fudge + F.col("ctrl") - F.col("ct")).alias("value"))
+
+
+def biomark_cycles(lines: DataFrame, *, prefix: str = "", omit: list[str] = ()) -> DataFrame:
+    """``sample, primer, ct, ok`` of the data rows (first cell like ``S01-A01``) of a qPCR sheet given as ``cells`` arrays.
+
+    Cells: chamber, sample, type, dilution, primer, kind, value, quality, call (Pass or Fail).
+    """
+    g = lambda i: F.trim(F.get("cells", i))
+    rows = lines.where(F.get("cells", 0).rlike(r"^S\d+-A\d+$"))
+    out = rows.select(F.concat(F.lit(prefix), g(1)).alias("sample"), g(4).alias("primer"), g(6).try_cast("double").alias("ct"), (F.lower(g(8)) != "fail").alias("ok"))
+    return out.where(~F.col("sample").isin(*omit)) if omit else out
+
+
+def to_arrays(df: DataFrame, samples: list[str], *, name: str = "name") -> DataFrame:
+    """``name`` with one array per measure, in the order of the samples; absent entries are null."""
+    kinds = [c for c in ("intensity", "peptides", "called", "fold_change") if c in df.columns]
+    pick = lambda c, s: F.max(F.when(F.col("sample") == s, F.col(c)))
+    return df.groupBy(name).agg(*[F.array(*[pick(c, s) for s in samples]).alias(c) for c in kinds])

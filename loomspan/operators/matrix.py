@@ -376,3 +376,23 @@ def network_edges(df: DataFrame, names: list[str], *, low: float = 0.5, high: fl
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r"), "b"))
     return r.withColumn("k", place).where(F.col("k") <= most_links).select("a", "b", "r", (F.col("r") >= high).alias("strong"))
 
+
+
+def from_pandas(spark, frame, condition_names: list[str]) -> DataFrame:
+    """A pandas frame's condition columns packed into the array."""
+    return to_matrix(spark.createDataFrame(frame), condition_names)
+
+
+def cut(df: DataFrame, predicate) -> DataFrame:
+    """Rows for which ``predicate``, a function from the frame to a Column, holds."""
+    return df.where(F.coalesce(predicate(df), F.lit(False)))
+
+
+def insert_condition(df: DataFrame, key: str, data: DataFrame, value: str, *, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Append one condition from ``data`` (``key, value``), rescaled to [low, high] if given; rows must match one to one."""
+    v = F.col(value).cast("double")
+    new = data.select(F.col(key).alias("_k"), v.alias("_v"))
+    if low is not None:
+        new = new.withColumn("_a", new.agg(F.min("_v")).scalar()).withColumn("_b", new.agg(F.max("_v")).scalar())
+        new = new.select("_k", (low + (F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * (high - low)).alias("_v"))
+    return df.join(new, df[key] == F.col("_k")).withColumn(V, F.concat(V, F.array("_v"))).drop("_k", "_v")

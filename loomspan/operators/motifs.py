@@ -214,3 +214,22 @@ def get_sequences(loci: DataFrame, pieces: DataFrame, *, size: int = 65_536, loc
     if strand:
         out = out.withColumn("seq", F.when(F.col(strand).isin(*MINUS), rc(F.col("seq"))).otherwise(F.col("seq")))
     return out
+
+
+def motif_set_hits(df: DataFrame, motifs: dict[str, list[list[float]]], *, key: str, seq: str = "seq", z: float = 4.0) -> DataFrame:
+    """``motif, key, pos, strand, score, z``: windows of several motifs whose score is over mean + z * deviation of all the motif's windows in the sequence."""
+    parts = None
+    for name, weights in motifs.items():
+        rows = pwm_hits(df, weights, key=key, seq=seq, threshold=-math.inf).withColumn("motif", F.lit(name))
+        parts = rows if parts is None else parts.unionByName(rows)
+    spread = parts.groupBy("motif", key).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    scored = parts.join(spread, ["motif", key]).withColumn("z", F.try_divide(F.col("score") - F.col("_m"), F.col("_s")))
+    return scored.where(F.col("z") > z).select("motif", key, "pos", "strand", "score", "z")
+
+
+def scramble(word: str, number: int, seed: int) -> list[str]:
+    """Shuffled versions of a word, as regular expressions; the same ones for the same seed."""
+    import random
+
+    rng = random.Random(seed)
+    return [to_regex("".join(rng.sample(word, len(word)))) for _ in range(number)]

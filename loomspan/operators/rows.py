@@ -59,7 +59,7 @@ def label_rows(df: DataFrame, name: str, order: list[str], fmt: str = "ID_{}") -
     return numbered.withColumn(name, F.concat(F.lit(before), F.col("_ordinal").cast("string"), F.lit(after))).drop("_ordinal")
 
 
-def with_ordinal(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+def with_ordinal(df: DataFrame, name: str, order: list[str | Column]) -> DataFrame:
     """Ordinal from 0 in the given order, by a sort that stays distributed.
 
     The range partitions are checkpointed: their bounds are sampled, so a second evaluation could cut

@@ -191,3 +191,39 @@ def density(df: DataFrame, value: str, low: float, high: float, bins: int) -> Da
     flat = rows.select(F.explode("z").alias("z"), "t")
     first, second = flat.schema["z"].dataType.names
     return flat.select(F.col(f"z.{first}").alias("x"), (F.col(f"z.{second}") / F.col("t")).alias("density"))
+
+
+def adjust(df: DataFrame, p: str, key: str, name: str = "q") -> DataFrame:
+    """Benjamini-Hochberg values of a column of p-values; null stays null.
+
+    A running minimum from the largest p down needs all of them in order: the table has a row per test, of
+    conditions against a baseline or of terms, not of data.
+    """
+    some = df.where(F.col(p).isNotNull())
+    n = some.agg(F.count(F.lit(1))).scalar()
+    rank = F.row_number().over(Window.orderBy(p, key))
+    raw = some.withColumn("_n", n).withColumn("_r", rank).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
+    low = F.min("_q").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
+    return raw.withColumn(name, F.least(low, F.lit(1.0))).drop("_n", "_r", "_q").unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
+def tests_against(df: DataFrame, names: list[str], baseline: str, *, test: str = "welch") -> list[tuple[str, float, float]]:
+    """(condition, p, q) of each condition against the baseline (p = 1 for itself): ``welch``, ``student`` or ``mannwhitneyu``."""
+    made = {
+        "welch": lambda n: ttest_p(df, names, baseline, n)[1],
+        "student": lambda n: ttest_p(df, names, baseline, n, equal_var=True)[1],
+        "mannwhitneyu": lambda n: mannwhitney_p(df, names, baseline, n)[1],
+    }
+    ps = [1.0 if n == baseline else made[test](n) for n in names]
+    order = sorted(range(len(ps)), key=lambda i: -ps[i])
+    low, qs = 1.0, [1.0] * len(ps)
+    for k, i in enumerate(order):
+        low = min(low, ps[i] * len(ps) / (len(ps) - k))
+        qs[i] = low
+    return list(zip(names, ps, qs))
+
+
+def scaled_spread(df: DataFrame, value: str, by: list[str], width: float) -> DataFrame:
+    """``by..., count, mean, std`` of value / width (sample deviation)."""
+    v = F.col(value) / width
+    return df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))

@@ -184,10 +184,14 @@ def scaled_profile(track: DataFrame, loci: DataFrame, *, points: int = 1000, key
 
 
 def heat_bins(fragments: DataFrame, *, ybins: int = 50, ymax: int = 500) -> DataFrame:
-    """``chrom, bin10, ybin, value``: fragments by position of their midpoint (10 bp) and length."""
+    """``chrom, bin10, ybin, value``: fragments over each 10 bp bin of [left, right), by length class; lengths from ``ymax`` on are left out.
+
+    A fragment gives at most ``ymax / 10`` rows before they are combined.
+    """
     size = F.col("right") - F.col("left")
-    y = F.floor(size * ybins / ymax).cast("int")
-    return fragments.where(size < ymax).groupBy("chrom", F.floor(F.shiftright(F.col("left") + F.col("right"), 1) / 10).alias("bin10"), y.alias("ybin")).agg(F.count(F.lit(1)).alias("value"))
+    low, high = F.floor(F.col("left") / 10), F.floor(F.col("right") / 10) - 1
+    rows = fragments.where((size >= 0) & (size < ymax) & (high >= low)).select("chrom", F.explode(F.sequence(low, high)).alias("bin10"), F.floor(size * ybins / ymax).cast("int").alias("ybin"))
+    return rows.groupBy("chrom", "bin10", "ybin").agg(F.count(F.lit(1)).alias("value"))
 
 
 def heat_profile(heat: DataFrame, loci: DataFrame, *, window: int = 1000, loc_key: str = "loc", strand: str | None = "strand") -> DataFrame:
@@ -201,3 +205,28 @@ def heat_profile(heat: DataFrame, loci: DataFrame, *, window: int = 1000, loc_ke
         d = F.when(F.col(f"a.{strand}").isin(*MINUS), -d).otherwise(d)
     sums = hits.where(F.abs(F.col("b.bin10") - F.col("a._m")) <= reach).groupBy(d.alias("offset"), F.col("b.ybin").alias("ybin")).agg(F.sum("b.value").alias("s"))
     return sums.select("offset", "ybin", (F.col("s") / loci.agg(F.count(F.lit(1))).scalar()).alias("value"))
+
+
+def gerp_rates(lines: DataFrame, chrom: str) -> DataFrame:
+    """Track of per-position scores: the second cell of every numbered line (``ordinal, line``) is the score at that position."""
+    score = F.get(F.split("line", "\t"), 1).try_cast("double")
+    return lines.select(F.lit(chrom).alias("chrom"), F.col("ordinal").alias("start"), (F.col("ordinal") + 1).alias("end"), score.alias("value")).where("value <> 0")
+
+
+def cluster_heat(track: DataFrame, clusters: DataFrame, *, distance: int = 1000, bins: int = 20) -> DataFrame:
+    """``cid, bin, mean``: mean binned signal around the blocks of each cluster id (``chrom, left, right, cid`` of ``cluster_blocks``)."""
+    placed = clusters.select(F.xxhash64("chrom", "left", "right").alias("rid"), "cid", loc(F.col("chrom"), F.col("left"), F.col("right")).alias("loc"))
+    rows = heat_rows(track, placed, distance=distance, bins=bins)
+    sizes = placed.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    sums = rows.join(placed.select("rid", "cid"), "rid").groupBy("cid", "bin").agg(F.sum("value").alias("s"))
+    return sums.join(sizes, "cid").select("cid", "bin", (F.col("s") / F.col("n")).alias("mean"))
+
+
+def list_heat(tracks: DataFrame, by: str, peaks: DataFrame, *, key: str = "rid", **options) -> DataFrame:
+    """``by, key, bin, value`` for several tracks stacked in one frame."""
+    wide = tracks.select(F.concat_ws("\x01", by, "chrom").alias("chrom"), by, "start", "end", "value")
+    names = tracks.agg(F.collect_set(by)).scalar()
+    each = peaks.withColumn("_n", names).withColumn("_t", F.explode("_n")).drop("_n")
+    place = each.select(F.struct("_t", key).alias("_k"), loc(F.concat_ws("\x01", "_t", F.col("loc.chrom")), F.col("loc.left"), F.col("loc.right")).alias("loc"))
+    rows = heat_rows(wide, place, key="_k", **options)
+    return rows.select(F.col("_k._t").alias(by), F.col(f"_k.{key}").alias(key), "bin", "value")

@@ -196,9 +196,9 @@ def sort_key(spark, d):
     return rows.with_ordinal(table(spark, d, "orders"), "place", ["o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
 
 
-@query("select o_orderkey from orders order by o_totalprice desc, o_orderkey desc limit 100")
+@query("select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey desc) - 1 as place from orders")
 def sort_reverse(spark, d):
-    return rows.sort_by(table(spark, d, "orders"), ["o_totalprice"], ["o_orderkey"], reverse=True).limit(100).select("o_orderkey")
+    return rows.with_ordinal(table(spark, d, "orders"), "place", [F.desc("o_totalprice"), F.desc("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("select o_orderkey, row_number() over (order by o_orderpriority, o_orderstatus, o_orderkey) - 1 as place from orders")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan import streaming
+from loomspan.functions import arrays
 from loomspan.operators import contacts, learn, massspec, motifs, stats, tracks
 from loomspan.operators import matrix as mx
 from loomspan.operators import rows as row_ops
@@ -370,13 +371,13 @@ def heat_rows(spark, d):
 
 @query(
     f"""with {READS}, e as (select chrom, p, sum(v) as v from (select chrom, lo as p, w as v from (select *, 1 as w from reads union all select *, 2 from reads where strand = '+') union all select chrom, hi, -w from (select *, 1 as w from reads union all select *, 2 from reads where strand = '+')) group by all),
-    t as (select chrom, p, lead(p) over (partition by chrom order by p) as q, sum(v) over (partition by chrom order by p) as value from e) select chrom, p as start, q as "end", cast(value as double) as value from t where value <> 0 and p < 100000"""
+    t as (select chrom, p, lead(p) over (partition by chrom order by p) as q, sum(v) over (partition by chrom order by p) as value from e) select chrom, p as start, q as "end", cast(value as double) as value from t where value <> 0"""
 )
 def merge_tracks(spark, d):
     r = reads(spark, d)
     a = tracks.coverage(r).withColumn("track", F.lit("a")).withColumn("value", F.col("value").cast("double"))
     b = tracks.coverage(r.where("strand = '+'")).withColumn("track", F.lit("b")).withColumn("value", F.col("value") * 2.0)
-    return tracks.merge_tracks(a.unionByName(b), "track").where("start < 100000")
+    return tracks.merge_tracks(a.unionByName(b), "track")
 
 
 @query(
@@ -388,14 +389,16 @@ def bedgraph_assign(spark, d):
     return tracks.assign(p)
 
 
-@query(f"with {READS} select chrom, ((lo + hi) >> 1) // 10 as bin10, cast(floor((hi - lo) * 50 / 500) as integer) as ybin, count(*) as value from reads where hi - lo < 500 group by all")
+_HEAT = "h as (select chrom, unnest(range(lo // 10, hi // 10)) as b, cast(floor((hi - lo) * 50 / 500) as integer) as y from reads where hi - lo < 500)"
+
+
+@query(f"with {READS}, {_HEAT} select chrom, b as bin10, y as ybin, count(*) as value from h group by all")
 def fragment_heat(spark, d):
     return tracks.heat_bins(reads(spark, d))
 
 
 @query(
-    f"""with {READS}, {GENES}, h as (select chrom, ((lo + hi) >> 1) // 10 as b, cast(floor((hi - lo) * 50 / 500) as integer) as y, count(*) as v from reads where hi - lo < 500 group by all)
-    select case when strand = '-' then -(h.b - {_MID} // 10) else h.b - {_MID} // 10 end as "offset", y as ybin, round(sum(v) / (select count(*) from genes), 6) as value
+    f"""with {READS}, {GENES}, {_HEAT} select case when strand = '-' then -(h.b - {_MID} // 10) else h.b - {_MID} // 10 end as "offset", y as ybin, round(count(*) / (select count(*) from genes), 6) as value
     from h join genes g on g.chrom = h.chrom and abs(h.b - {_MID} // 10) <= 10 group by all"""
 )
 def heat_profile(spark, d):
@@ -441,22 +444,22 @@ def loop_strength(spark, d):
     return contacts.loop_strength(_contacts(spark, d), loops, 100)
 
 
-@query(f"with {_CONTACTS}, f as (select chrom, i, j, score from contacts union all select chrom, j, i, score from contacts where i < j), a as (select distinct chrom, i as bin from contacts where i % 5 = 0) select i - bin as di, j - bin as dj, round(sum(score) / (select count(*) from a), 6) as mean from f join a on a.chrom = f.chrom and abs(i - bin) <= 2 and abs(j - bin) <= 2 group by all")
+@query(f"with {_CONTACTS}, f as (select chrom, i, j, score from contacts union all select chrom, j, i, score from contacts where i < j), a as (select distinct chrom, i as bin from contacts where i = j) select i - bin as di, j - bin as dj, round(sum(score) / (select count(*) from a), 6) as mean from f join a on a.chrom = f.chrom and abs(i - bin) <= 2 and abs(j - bin) <= 2 group by all")
 def anchor_pile(spark, d):
     c = _contacts(spark, d)
-    return contacts.anchor_pile(c, c.where("i % 5 = 0").select("chrom", F.col("i").alias("bin")).distinct(), 2).withColumn("mean", F.round("mean", 6))
+    return contacts.anchor_pile(c, c.where("i = j").select("chrom", F.col("i").alias("bin")).distinct(), 2).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"with {_CONTACTS} select chrom, i, j, score / 2 as score from contacts where i % 2 = 1 union all select chrom, i, j, score from contacts where i % 2 = 0")
+@query(f"with {_CONTACTS} select chrom, i, j, score * 2 as score from contacts")
 def merge_matrices(spark, d):
     c = _contacts(spark, d)
-    return contacts.merge_matrices([c, c.where("i % 2 = 0")])
+    return contacts.merge_matrices([c, c.withColumn("score", F.col("score") * 3)])
 
 
-@query(f"with {_CONTACTS} select chrom, round(corr(score, case when i % 2 = 0 then score else 0 end), 6) as r from contacts group by chrom")
+@query(f"with {_CONTACTS} select chrom, round(corr(score, score * (j - i)), 6) as r from contacts group by chrom")
 def contacts_correlate(spark, d):
     c = _contacts(spark, d)
-    return contacts.correlate(c, c.where("i % 2 = 0")).withColumn("r", F.round("r", 6))
+    return contacts.correlate(c, c.withColumn("score", F.col("score") * (F.col("j") - F.col("i")))).withColumn("r", F.round("r", 6))
 
 
 # --- sequences --------------------------------------------------------------------------------------
@@ -656,3 +659,59 @@ def stream_interval_join(spark, d):
     return streaming.interval_join(table(spark, d, "events"), genes(spark, d), place, F.col("loc")).select("a.event_id", "b.gid")
 
 
+
+
+# --- further operators ------------------------------------------------------------------------------
+
+
+@query(f"with {MATRIX} select rid, AF + AO as b0, NF + NO as b1, RF + RO as b2, (AF + AO) / 2 as m0, NO > 2 * AF as up from m")
+def array_bins(spark, d):
+    m = matrix(spark, d)
+    s, a = arrays.bin_sums(F.col("conditions"), 2), arrays.bin_means(F.col("conditions"), 2)
+    two = F.array(F.col("conditions")[0], F.col("conditions")[3])
+    return m.select("rid", s[0].alias("b0"), s[1].alias("b1"), s[2].alias("b2"), a[0].alias("m0"), arrays.fold_up(two, ["AF", "NO"], "AF").alias("up"))
+
+
+@query()
+def cluster_heat(spark, d):
+    from loomspan.operators import intervals
+    from loomspan.plans.list_queries import PRIORITIES
+
+    ix = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("list")) - 1
+    blocks = intervals.cluster_blocks(peaks(spark, d).withColumn("ix", ix), "ix", 5)
+    return tracks.cluster_heat(_track(spark, d), blocks).withColumn("mean", F.round("mean", 6))
+
+
+@query("select l_linenumber, count(*) as count, round(avg(l_quantity / 10), 6) as mean, round(stddev_samp(l_quantity / 10), 6) as std from lineitem group by 1")
+def scaled_spread(spark, d):
+    out = stats.scaled_spread(table(spark, d, "lineitem"), "l_quantity", ["l_linenumber"], 10)
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("with p as (select n_nationkey as k, (n_nationkey * 37 % 101) / 100.0 as p from nation), r as (select *, row_number() over (order by p, k) as r, count(*) over () as n from p), q as (select k, least(min(p * n / r) over (order by r desc rows unbounded preceding), 1.0) as q from r) select k, round(q, 6) as q from q")
+def adjusted_p(spark, d):
+    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 37 % 101) / 100.0).alias("p"))
+    return stats.adjust(p, "p", "k").select("k", F.round("q", 6).alias("q"))
+
+
+def _dna_reads(spark, d):
+    return dna(spark, d).select("rid", "seq", F.transform(F.split("seq", "(?!$)"), lambda c: F.ascii(c) - 33).alias("qual"))
+
+
+@query(f"with {DNA}, p as (select seq, unnest(range(0, length(seq))) as pos from dna) select cast(pos as integer) as pos, round(avg(ascii(substr(seq, pos + 1, 1)) - 33), 6) as mean, count(*) as reads from p group by pos")
+def read_quality(spark, d):
+    from loomspan.operators import readqc
+
+    return readqc.quality_by_position(_dna_reads(spark, d)).select("pos", F.round("mean", 6).alias("mean"), "reads")
+
+
+@query("with s as (select substr(md5(cast(doc_id as varchar)), 1, 2) as seq from documents), n as (select seq, count(*) as n from s group by seq) select least(n, 499) as copies, count(*) as sequences from n group by 1")
+def read_duplicates(spark, d):
+    from loomspan.operators import readqc
+
+    return readqc.duplicates(table(spark, d, "documents").select(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2).alias("seq")))
+
+
+@query()
+def heat_payload(spark, d):
+    return learn.heat_payload(matrix(spark, d), "rid", NAMES, row_norm=True).withColumn("value", F.round("value", 6))
