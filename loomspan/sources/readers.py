@@ -6,6 +6,8 @@ pass, which is what skipping, record grouping and stateful formats need.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,11 +39,12 @@ def _split_csv(line: Column) -> Column:
 _CALL = re.compile(r"^(\w+)\((.*)\)$")
 
 
-def _arguments(text: str) -> list[str]:
+def _split(text: str, mark: str) -> list[str]:
+    """Parts between marks that aren't inside parentheses."""
     out, depth, now = [], 0, ""
     for c in text:
         depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
+        if c == mark and not depth:
             out.append(now.strip())
             now = ""
         else:
@@ -54,15 +57,13 @@ def compile_key(text: str, cells: Column) -> Column:
     text = text.strip()
     if text.isdigit():
         return F.get(cells, int(text))
-    if "+" in text and not _CALL.match(text.split("+")[0] + "") is None or re.fullmatch(r".+\+.+", text) and not text.startswith(("loc(", "tss(", "min(", "max(")):
-        a, b = text.split("+", 1)
-        part = lambda t: F.lit(int(t)) if t.strip().isdigit() and not t.strip().startswith("int") else compile_key(t, cells).try_cast("bigint")
-        first = compile_key(a, cells).try_cast("bigint")
-        return first + part(b)
+    terms = _split(text, "+")
+    if len(terms) > 1:  # in a sum a bare number is itself, not a column
+        return functools.reduce(operator.add, [F.lit(int(t)) if t.isdigit() else compile_key(t, cells).try_cast("bigint") for t in terms])
     call = _CALL.match(text)
     if not call:
         raise ValueError(f"cannot read the format expression {text!r}")
-    name, args = call[1], _arguments(call[2])
+    name, args = call[1], _split(call[2], ",")
     number = lambda a: compile_key(a, cells).try_cast("bigint")
     chrom = lambda a: F.concat(F.lit("chr"), F.regexp_replace(compile_key(a, cells), "(?i)^chr", ""))
     if name == "loc":
