@@ -23,7 +23,7 @@ def normal_chrom(text: Column) -> Column:
 def with_locus(df: DataFrame, text: str, chrom: str = "chrom", left: str = "left", right: str = "right") -> DataFrame:
     """Add the columns of the locus ``chrom:left-right`` in ``text``; case, blanks and thousands commas don't matter.
 
-    The prefix ``chr`` is optional. All three are null for null and for text that is no locus (other
+    The prefix ``chr`` is optional. Columns of these names are replaced. All three are null for null and for text that is no locus (other
     shape, no chromosome, left > right, more than 18 digits). The parts are made once per row: the
     generator keeps the optimizer from copying the parsing into every use of its result.
     """
@@ -36,7 +36,7 @@ def with_locus(df: DataFrame, text: str, chrom: str = "chrom", left: str = "left
 
     whole = (F.size("_parts") == 3) & (F.length(name) > 0) & (number(lo) <= number(hi))
     parsed = F.when(whole, F.struct(F.concat(F.lit("chr"), F.upper(name)), number(lo), number(hi)))
-    split = df.withColumn("_parts", F.split(bare, ":|-(?=[0-9]+$)"))
+    split = df.withColumn("_parts", F.split(bare, ":|-(?=[0-9]+$)")).drop(*[c for c in (chrom, left, right) if c != "_parts"])
     return split.select("*", F.inline(F.array(parsed)).alias(chrom, left, right)).drop("_parts")
 
 

@@ -108,6 +108,7 @@ def meet(a: DataFrame, b: DataFrame, wide: callable, delta: int, *, logic: str =
 def in_list(df: DataFrame, other: DataFrame, *, mode: str = "collide", delta: int = 200, loc_key: str = "loc", key: str = "rid", bin_size: int = BIN) -> DataFrame:
     """``df`` with ``found`` and ``nearest_dist``: is there a row of ``other`` within reach, and the smallest distance to one."""
     wide = (lambda l: expand(pointify(l), delta)) if mode == "collide" else (lambda l: expand(l, delta))
+    df = df.drop("found", "nearest_dist")
     hits = _pairs(df, other, loc_key, wide, bin_size, False)
     d = distance(F.col(f"a.{loc_key}"), F.col(f"b.{loc_key}"))
     best = hits.groupBy(F.col(f"a.{key}").alias("_hit")).agg(F.min_by(d, F.struct(F.abs(d), d)).alias("nearest_dist"))
@@ -128,6 +129,7 @@ def annotate(genes: DataFrame, peaks: DataFrame, *, distance_bp: int = 10_000, c
     smallest gene id on ties, one row per peak, found without making the pairs; genes of unknown strand
     don't take part then.
     """
+    peaks = peaks.drop("dist_to_tss")
     if strand:
         known = F.col(strand).isin(*PLUS, *MINUS)
         genes = genes.where(known) if closest_only else genes

@@ -49,6 +49,8 @@ def test_locus_texts(spark):
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
     got = {r.t: (r.chrom, r.left, r.right) if r.chrom else None for r in with_locus(df, "t").collect()}
     assert got == {**cases, None: None}
+    clash = with_locus(df.withColumn("chrom", F.lit("c")).withColumn("left", F.lit(1)), "t")
+    assert clash.columns == ["t", "chrom", "left", "right"] and clash.where("chrom = 'chr7'").first().left == 10
     chroms = spark.createDataFrame([("Chr4 ",), ("x",), ("chr",), (None,), (" ",)], "c string")
     assert [r[0] for r in chroms.select(normal_chrom(F.col("c"))).collect()] == ["chr4", "chrX", None, None, None]
 
