@@ -3,9 +3,10 @@
 Random-hyperplane signatures bring similar records into common buckets. In every bucket the records are
 taken in hash order: the smallest one that nobody has absorbed becomes a pivot and absorbs all similar
 ones; every record is held against every pivot of its bucket, and records near the border of a pivot's
-reach also against each other, so that no link between two clusters of a bucket is missed. Hot buckets
-are cut into parts; their pivots meet in a second round. Links to pivots are then joined to components,
-records are reassigned to their closest pivot and medoids are recomputed.
+reach also against each other. Hot buckets are cut into parts; their pivots meet in a second round. Links
+to pivots are then joined to components. The buckets are a shortcut that joins most of what is similar; an
+exact pass then holds every record against every record of another component, in tiles of dense products,
+so that no link depends on a bucket, a part or a pivot.
 """
 
 from __future__ import annotations
@@ -91,6 +92,70 @@ def absorb(ids: np.ndarray, x: np.ndarray, least: float, block: int = 64) -> tup
     return ids[a], ids[b], r, pivot
 
 
+def open_links(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, least: float, *, rows: int = 256, cols: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (row of x, row of y) and r of similar pairs that join two components, every pair compared.
+
+    ``x_at`` and ``y_at`` are the components of the rows. Components that become joined on the way count as one,
+    so at most one link less than there are components comes out.
+    """
+    names, code = np.unique(np.concatenate([x_at, y_at]), return_inverse=True)
+    parent = np.arange(len(names))
+    cx, cy = code[: len(x)], code[len(x) :]
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        has = np.isfinite(v)
+        z = np.where(has, v - np.where(has, v, 0).sum(axis=1, keepdims=True) / np.maximum(has.sum(axis=1, keepdims=True), 1), 0)
+        z /= np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+        z = z.astype(np.float32)
+        return z, has.astype(np.float32), z * z
+
+    (zx, hx, qx), (zy, hy, qy) = prepared(x), prepared(y)
+    found: list[tuple[int, int, float]] = []
+    for s in range(0, len(x), rows):
+        a = slice(s, s + rows)
+        for t in range(0, len(y), cols):
+            b = slice(t, t + cols)
+            n, sx, sy = hx[a] @ hy[b].T, zx[a] @ hy[b].T, hx[a] @ zy[b].T
+            cov = n * (zx[a] @ zy[b].T) - sx * sy
+            vx, vy = n * (qx[a] @ hy[b].T) - sx * sx, n * (hx[a] @ qy[b].T) - sy * sy
+            # single precision decides what is clear; the rest, and what little variance is left to, is computed again
+            maybe = (cov >= (least - 0.01) * np.sqrt(np.maximum(vx * vy, 0))) | (np.minimum(vx, vy) < 0.01)
+            maybe &= (n > 2.5) & (cx[a][:, None] != cy[b][None, :])
+            i, j = np.nonzero(maybe)
+            for k in range(0, len(i), 1 << 15):
+                p, q = i[k : k + (1 << 15)] + s, j[k : k + (1 << 15)] + t
+                r = paired(x[p], y[q])
+                for m in np.flatnonzero(r >= least):
+                    u, v = root(cx[p[m]]), root(cy[q[m]])
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        found.append((p[m], q[m], r[m]))
+            if found and len(i):
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+                cx, cy = parent[cx], parent[cy]
+    p, q, r = zip(*found) if found else ((), (), ())
+    return np.array(p, int), np.array(q, int), np.array(r, float)
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Like ``correlations``, of each row of x with the same row of y."""
+    both = np.isfinite(x) & np.isfinite(y)
+    n = both.sum(axis=1)
+    x, y = np.where(both, x, 0).astype(float), np.where(both, y, 0).astype(float)
+    sx, sy = x.sum(axis=1), y.sum(axis=1)
+    vx, vy = n * (x * x).sum(axis=1) - sx * sx, n * (y * y).sum(axis=1) - sy * sy
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (n * (x * y).sum(axis=1) - sx * sy) / np.sqrt(vx * vy)
+    return np.where((n >= 3) & (vx > 1e-9) & (vy > 1e-9) & np.isfinite(r), r, 0.0)
+
+
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of log2(1 + value) with NaN for missing entries; short arrays are filled up, long ones cut off nowhere."""
     out = np.full((len(lists), width), np.nan)
@@ -186,6 +251,36 @@ def profile_links(records: DataFrame, width: int, *, least: float = 0.9, count:
     return links
 
 
+def links_between(profiles: DataFrame, labels: DataFrame, width: int, *, least: float = 0.9, count: int, tile: int = 40_000) -> DataFrame:
+    """``a, b``: components that a pair of similar records joins; every pair of records of two components is compared.
+
+    ``profiles`` has ``rid`` and ``conditions``, ``labels`` the component (``node, component``) of records that
+    have one. Records are dealt to groups of about ``tile``; each pair of groups is a task.
+    """
+    groups = max(8, math.ceil(count / tile))
+    cells = groups * (groups + 1) // 2
+    own = F.col("own")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    placed = profiles.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select(
+        F.coalesce("component", "rid").alias("at"), "conditions", F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(groups)).cast("int").alias("own")
+    )
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        (high * (high + 1) / 2 + low).cast("int").alias("cell"), (own == low).alias("first"), (own == high).alias("second"), "at", "conditions"
+    )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [
+            (column(b, "first").to_numpy(zero_copy_only=False), column(b, "second").to_numpy(zero_copy_only=False), column(b, "at").to_numpy(), _matrix(column(b, "conditions"), width))
+            for b in chunks(iter(batches), 4096)
+        ]
+        if parts:
+            first, second, at, x = (np.concatenate(v) for v in zip(*parts))
+            i, j, _ = open_links(x[first], at[first], x[second], at[second], least)
+            yield pa.RecordBatch.from_arrays([pa.array(at[first][i].astype(np.int64)), pa.array(at[second][j].astype(np.int64))], names=["a", "b"])
+
+    return dealt.repartitionById(cells, F.col("cell")).mapInArrow(compare, "a bigint, b bigint")
+
+
 def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditions", *, least: float = 0.9, **options) -> DataFrame:
     """``rid, head_rid, pivot``: cluster of every record with a partner; ``head_rid`` is the smallest id of the cluster.
 
@@ -193,8 +288,7 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
     least ``least``; records joined by similar pairs, directly or through others, form a cluster. Exact
     copies of a profile are one class and count as similar if the profile has at least three positive
     values that differ. Null arrays, records without variance and null ids are in no cluster; arrays may
-    differ in length. Two records need three common entries; pairs that share few of their entries may be
-    missed by the buckets, as those see missing entries as the record's mean. ``pivot`` is the closest pivot of the record's class.
+    differ in length. Two records need three common entries. ``pivot`` is the closest pivot of the record's class.
     """
     clean = F.transform(F.col(values), lambda v: F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), v.cast("double")))
     usable = df.where(F.col(id_col).isNotNull() & F.col(values).isNotNull()).select(F.col(id_col).cast("bigint").alias("rid"), clean.alias("conditions"))
@@ -208,7 +302,13 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
     if not size[0]:
         return reps.select("rid", F.col("rep").alias("head_rid"), F.col("rep").alias("pivot"))
     links = checkpointed(profile_links(profiles, int(size[1]), least=least, count=int(size[0]), **options))
-    joined = components(links, "rid", "pivot").select(F.col("node").alias("rep"), F.col("component"))
+    near = components(links, "rid", "pivot")
+    rest = checkpointed(links_between(profiles, near, int(size[1]), least=least, count=int(size[0])))
+    if not rest.isEmpty():
+        wide = components(rest, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        alone = wide.join(near, wide["component"] == near["node"], "left_anti").select(F.col("component").alias("node"), "whole")
+        near = near.join(wide, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone.withColumnRenamed("whole", "component"))
+    joined = near.select(F.col("node").alias("rep"), F.col("component"))
     closest = links.groupBy(F.col("rid").alias("rep")).agg(F.max_by("pivot", F.struct("r", -F.col("pivot"))).alias("pivot"))
     return (
         reps.select("rid", "rep", "copies")

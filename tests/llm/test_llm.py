@@ -13,7 +13,7 @@ from loomspan.llm.components import components
 from loomspan.llm.leakage import ItemIndex, Words, find_leaks, leaks_in, myers_prefix, plain
 from loomspan.llm.overlap_sizes import overlap_sizes, pair_counts
 from loomspan.llm.packing import fill_containers, plan_containers, token_lengths
-from loomspan.llm.profile_clusters import correlations, describe_clusters, profile_clusters
+from loomspan.llm.profile_clusters import correlations, describe_clusters, open_links, paired, profile_clusters
 from loomspan.llm.quantiles import RankSketch, combine, percentiles, summaries
 from loomspan.llm.subject_areas import Sentences, subject_shares
 
@@ -156,6 +156,38 @@ def test_chain_is_one_cluster(spark):
     assert {r.rid: r.head_rid for r in profile_clusters(df).collect()} == brute_clusters([r[0] for r in rows], [r[1] for r in rows])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chained_hot_cluster_is_whole(spark, seed):
+    """A long chain whose records are all in hot buckets: links run through border records of different parts."""
+    rng = np.random.default_rng(seed)
+    walk, way = rng.normal(0, 1, 48), [rng.normal(0, 1, 48)]
+    for _ in range(240):
+        walk = walk - walk.mean()
+        step = rng.normal(0, 1, 48)
+        walk = walk / np.linalg.norm(walk) + 0.42 * step / np.linalg.norm(step)
+        way.append(walk)
+    rows = [(i, [float(v) for v in 2 ** (12 + 6 * (w - w.mean()) / np.linalg.norm(w - w.mean()))]) for i, w in enumerate(way)]
+    df = spark.createDataFrame(rows, "rid long, conditions array<double>")
+    want = brute_clusters([r[0] for r in rows], [r[1] for r in rows])
+    assert max(sum(v == h for v in want.values()) for h in set(want.values())) > 150
+    assert {r.rid: r.head_rid for r in profile_clusters(df, most=4).collect()} == want
+
+
+def test_open_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    x = np.log2(1 + np.array([[np.nan if e is None or not e > 0 else e for e in r[1]] for r in profiles(8, 40)]))
+    x[:20, rng.permutation(48)[:45]] = np.nan
+    near = correlations(x, x) >= 0.9
+    i, j, r = open_links(x, np.arange(len(x)), x, np.arange(len(x)), 0.9, rows=16, cols=32)
+    assert near[i, j].all() and np.allclose(r, paired(x[i], x[j])) and np.allclose(paired(x, x[::-1]), np.diag(correlations(x, x[::-1])))
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        for a, b in zip(i, j):
+            label[[a, b]] = min(label[a], label[b])
+    p, q = np.nonzero(near)
+    assert (label[p] == label[q]).all() and len(i) == len(x) - len(set(label))
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1)] + [(100 + i, 99) for i in range(50)] + [(i, i + 1) for i in range(200, 240)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
