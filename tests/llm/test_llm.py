@@ -173,6 +173,21 @@ def test_chained_hot_cluster_is_whole(spark, seed):
     assert {r.rid: r.head_rid for r in profile_clusters(df, most=4).collect()} == want
 
 
+def test_pairs_with_few_common_entries_are_found(spark):
+    """Missing entries widen the angle the buckets see far beyond their design point."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(60):
+        base = rng.normal(10, 1.2, 48)
+        for k in range(2):
+            v = 2 ** (base + rng.normal(0, 0.2, 48) + rng.normal(0, 1))
+            rows.append((2 * g + k, [float(e) if rng.random() > 0.5 else None for e in v]))
+    df = spark.createDataFrame(rows, "rid long, conditions array<double>")
+    want = brute_clusters([r[0] for r in rows], [r[1] for r in rows])
+    assert len(want) > 80
+    assert {r.rid: r.head_rid for r in profile_clusters(df).collect()} == want
+
+
 def test_open_links_join_what_all_pairs_join():
     rng = np.random.default_rng(8)
     x = np.log2(1 + np.array([[np.nan if e is None or not e > 0 else e for e in r[1]] for r in profiles(8, 40)]))
