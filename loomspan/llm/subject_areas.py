@@ -15,11 +15,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.leakage import _BACK, _BASE, _WORD, _powers, plain
-from loomspan.session import chunks, column
+from loomspan.session import checkpointed, chunks, column
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,30 +68,24 @@ class Sentences:
         self.doc = np.searchsorted(text_end, np.flatnonzero(border)[used], side="left")
 
 
-class WordTable:
-    """Words and how much each speaks for each class; words without a clear class are left out.
+def speaking(mass: np.ndarray, sentences: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rate of each word in each class and its share of the rates of all classes.
 
     ``mass`` has a row per word and a column per class: in how many sentences of the class the word is;
-    ``sentences`` is the number of sentences by class. A word is kept if its share of the rates of all
-    classes is ``clear`` in one of them and its rate there is at least ``common`` times that of the class's
-    20th most common clear word: rarer words that happen to fall into one class prove nothing. ``prior``
-    sentences at the word's overall rate are added to each class.
+    ``sentences`` is the number of sentences by class. ``prior`` sentences at the word's overall rate are
+    added to each class.
     """
+    overall = mass.sum(axis=1, keepdims=True) / max(sentences.sum(), 1e-9)
+    rate = np.where(sentences > 0, (mass + prior * overall) / (sentences + prior + 1e-9), 0)
+    return rate, rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
+
+
+class WordTable:
+    """Words that speak for a class and their share of each class."""
 
-    def __init__(self, words: np.ndarray, mass: np.ndarray, sentences: np.ndarray, clear: float, common: float, prior: float):
-        overall = mass.sum(axis=1, keepdims=True) / max(sentences.sum(), 1e-9)
-        used = sentences > 0
-        rate = np.where(used, (mass + prior * overall) / (sentences + prior + 1e-9), 0)
-        share = rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
-        best = share.argmax(axis=1) if len(words) else np.zeros(0, int)
-        keep = share.max(axis=1, initial=0) >= clear
-        for c in range(mass.shape[1]):
-            mine = keep & (best == c)
-            top = np.sort(rate[mine, c])[::-1]
-            if len(top):
-                keep &= ~mine | (rate[:, c] >= common * top[min(19, len(top) - 1)])
-        order = np.argsort(words[keep])
-        self.words, self.share = words[keep][order], share[keep][order]
+    def __init__(self, words: np.ndarray, share: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.share = words[order], share[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.words >> np.uint64(44)] = True
 
@@ -144,7 +138,7 @@ def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) ->
 COUNTED = "word bigint, class int, weight double"
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, most_words: int = 20_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
@@ -152,8 +146,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     document without a subject, or with a null or empty text, gives no row. Copies are all classified.
 
     Seeds are at most ``seed_docs`` labelled documents (smallest hashes of their ids, so any size of corpus
-    draws them alike) and their words with at most ``most_words`` entries kept, by support; both bounds hold
-    what goes to the driver and is broadcast. Every round reads all documents. Only sentences with
+    draws them alike). Words are counted and picked on the workers; only those that speak for a class go to the
+    driver and are broadcast. Every round reads all documents. Only sentences with
     ``anchor_word`` teach words for subjects, so that the small words of a second language, whose few texts may
     lean to one subject, don't pass for subject words; sentences in all languages are classified.
     """
@@ -213,16 +207,37 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
             yield counts(s, every, np.full(len(every), other), np.ones(len(every)))
 
     def gather(parts: DataFrame, clear: float, common: float, prior: float) -> WordTable:
-        total = parts.groupBy("word", "class").agg(F.sum("weight").alias("weight"))
-        kept = total.groupBy("word").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("class", "weight")).alias("by"))
-        rows = kept.where("n >= 2").orderBy(F.desc("n"), "word").limit(most_words).collect()
-        mass = np.zeros((len(rows), count))
-        for i, r in enumerate(rows):
-            for b in r.by:
-                mass[i, b["class"]] = b["weight"]
-        words = np.array([r.word for r in rows], np.int64).view(np.uint64)
-        real = words != 0
-        return WordTable(words[real], mass[real], mass[~real].sum(axis=0), clear, common, prior)
+        """Words that speak for a class, picked on the workers.
+
+        A word is kept if its share is ``clear`` in one class and its rate there is at least ``common`` times that
+        of the class's 20th most common clear word: rarer words that happen to fall into one class prove nothing.
+        As the rates of a class add up to the words of a sentence, this bounds the words of a class whatever
+        the size of the corpus.
+        """
+        total = checkpointed(parts.groupBy("word", "class").agg(F.sum("weight").alias("weight")))
+        sentences = np.zeros(count)
+        for r in total.where("word = 0").collect():
+            sentences[r["class"]] = r["weight"]
+        by_word = total.where("word <> 0").groupBy("word").agg(F.sum("weight").alias("n"), F.collect_list("class").alias("classes"), F.collect_list("weight").alias("weights"))
+
+        def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in chunks(iter(batches), 4096):
+                classes = column(t, "classes")
+                mass = np.zeros((len(classes), count))
+                mass[np.repeat(np.arange(len(classes)), np.diff(classes.offsets.to_numpy())), classes.flatten().to_numpy()] = column(t, "weights").flatten().to_numpy()
+                rate, share = speaking(mass, sentences, prior)
+                best = share.argmax(axis=1)
+                keep = np.flatnonzero(share.max(axis=1) >= clear)
+                shares = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), pa.array(share[keep].ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [column(t, "word").take(pa.array(keep)), pa.array(best[keep].astype(np.int32)), pa.array(rate[keep, best[keep]]), shares], names=["word", "best", "rate", "shares"]
+                )
+
+        scored = checkpointed(by_word.where("n >= 2").mapInArrow(score, "word bigint, best int, rate double, shares array<double>"))
+        top = scored.withColumn("place", F.row_number().over(Window.partitionBy("best").orderBy(F.desc("rate"), "word"))).where("place <= 20")
+        least = top.groupBy("best").agg((common * F.min("rate")).alias("least"))
+        rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "shares").collect()
+        return WordTable(np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.shares for r in rows]).reshape(-1, count))
 
     labelled = source.join(F.broadcast(seeds.select("doc_id")), "doc_id", "left_semi")
     counted = labelled.mapInArrow(first_counts, COUNTED)

@@ -335,6 +335,20 @@ def test_sentences():
     assert whole == [0, 0, 0, 3]
 
 
+def test_words_of_rare_subject_outlast_a_large_vocabulary(spark):
+    """25,000 codes that are each in more sentences than any word of the rare subject."""
+    rng = random.Random(2)
+    rare, codes = [f"rye{k}" for k in range(12)], [f"code{k}" for k in range(25_000)]
+    docs = [(i, " ".join(f"The {rng.choice(rare)} and the {rng.choice(rare)} had and has been seen." for _ in range(4))) for i in range(30)]
+    docs += [(100 + i, " ".join(f"The ball{rng.randrange(12)} and the ball{rng.randrange(12)} had and has been seen." for _ in range(4))) for i in range(60)]
+    for part in range(250):
+        docs += [(1000 + 40 * part + k, "The list had and has been seen " + " ".join(codes[part * 100 : part * 100 + 100]) + ".") for k in range(30)]
+    labels = [(i, "crops") for i in range(10)] + [(100 + i, "sport") for i in range(20)]
+    got = subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"))
+    found = {(r.doc_id, r.subject) for r in got.collect()}
+    assert {(i, "crops") for i in range(30)} <= found and {(100 + i, "sport") for i in range(60)} <= found
+
+
 def test_subjects(spark):
     rng = random.Random(11)
     words = {s: [f"{s}{k}" for k in "abcdefghijklmnopqrst"] for s in ("law", "sport", "crops")}
