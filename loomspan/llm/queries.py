@@ -99,7 +99,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject shares; the kind of an item names what introduces one ("Read the passage ...")."""
     items = table(spark, sf_dir, "eval_items").select(F.concat_ws(" ", "text", "kind").alias("text"))
-    return subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), items)
+    return subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), items, table(spark, sf_dir, "subjects"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

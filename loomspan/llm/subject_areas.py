@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +69,17 @@ class Sentences:
         self.doc = np.searchsorted(text_end, np.flatnonzero(border)[used], side="left")
 
 
-def speaking(mass: np.ndarray, sentences: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def speaking(mass: np.ndarray, sentences: np.ndarray, prior: float, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rate of each word in each class and its share of the rates of all classes.
 
     ``mass`` has a row per word and a column per class: in how many sentences of the class the word is;
     ``sentences`` is the number of sentences by class. ``prior`` sentences at the word's overall rate are
-    added to each class.
+    added to each class. Classes marked ``thin``, of which no sentence is known yet but what the subject is said
+    to be about, have a rate in those words only.
     """
     overall = mass.sum(axis=1, keepdims=True) / max(sentences.sum(), 1e-9)
     rate = np.where(sentences > 0, (mass + prior * overall) / (sentences + prior + 1e-9), 0)
+    rate[thin & (mass == 0)] = 0
     return rate, rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
 
 
@@ -138,13 +141,16 @@ def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) ->
 COUNTED = "word bigint, class int, weight double"
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, subjects: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", about: str = "about", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
     ``items`` and lines that are no sentences (greetings, headings) are left out of both numbers. A
     document without a subject, or with a null or empty text, gives no row. Copies are all classified.
 
+    ``subjects`` names all subjects and what each is ``about``; those words are a trusted seed besides the
+    labelled documents, so a subject that no label notes is found too. Without it the subjects are those noted.
+
     Seeds are at most ``seed_docs`` labelled documents (smallest hashes of their ids, so any size of corpus
     draws them alike). Words are counted and picked on the workers; only those that speak for a class go to the
     driver and are broadcast. Every round reads all documents. Only sentences with
@@ -156,7 +162,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     noted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(label)).alias("label")).where("label <> ''")
     seeds = noted.groupBy("doc_id").agg(F.collect_set("label").alias("names")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(seed_docs)
     given = {int(r[0]): sorted(r[1]) for r in seeds.collect()}
-    names = sorted({n for v in given.values() for n in v})
+    told: list[tuple[str, str]] = []
+    if subjects is not None:
+        told = [(r[0], r[1] or "") for r in subjects.where(F.col(label).isNotNull()).select(F.lower(F.trim(label)), F.col(about)).where(F.trim(label) != "").collect()]
+    names = sorted({n for v in given.values() for n in v} | {n for n, _ in told})
     if not names:
         return spark.createDataFrame([], "doc_id bigint, subject string, sentences bigint, of bigint, share double")
     code = {n: i for i, n in enumerate(names)}
@@ -206,10 +215,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
             every = np.arange(len(s.whole))
             yield counts(s, every, np.full(len(every), other), np.ones(len(every)))
 
-    def gather(parts: DataFrame, clear: float, common: float, prior: float) -> WordTable:
+    def gather(parts: DataFrame, excess: float, common: float, prior: float) -> WordTable:
         """Words that speak for a class, picked on the workers.
 
-        A word is kept if its share is ``clear`` in one class and its rate there is at least ``common`` times that
+        A word is kept if its share in one class is clear, by ``excess`` of the way from an even share to 1, and its rate there is at least ``common`` times that
         of the class's 20th most common clear word: rarer words that happen to fall into one class prove nothing.
         As the rates of a class add up to the words of a sentence, this bounds the words of a class whatever
         the size of the corpus.
@@ -218,6 +227,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         sentences = np.zeros(count)
         for r in total.where("word = 0").collect():
             sentences[r["class"]] = r["weight"]
+        thin = sentences <= told_weight
+        live = np.count_nonzero(~thin[: len(names)])
+        even = 1 / (min(live + 1, len(names)) if live else len(names))  # share of a word that goes with no subject in particular
+        clear = even + excess * (1 - even)
         by_word = total.where("word <> 0").groupBy("word").agg(F.sum("weight").alias("n"), F.collect_list("class").alias("classes"), F.collect_list("weight").alias("weights"))
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +238,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                 classes = column(t, "classes")
                 mass = np.zeros((len(classes), count))
                 mass[np.repeat(np.arange(len(classes)), np.diff(classes.offsets.to_numpy())), classes.flatten().to_numpy()] = column(t, "weights").flatten().to_numpy()
-                rate, share = speaking(mass, sentences, prior)
+                rate, share = speaking(mass, sentences, prior, thin)
                 best = share.argmax(axis=1)
                 keep = np.flatnonzero(share.max(axis=1) >= clear)
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), pa.array(share[keep].ravel()))
@@ -239,14 +252,29 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "shares").collect()
         return WordTable(np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.shares for r in rows]).reshape(-1, count))
 
+    def about_counts() -> pa.Table:
+        """What a subject is said to be about, as two sentences of it: the least support a word needs."""
+        s = Sentences([plain(t, lower=False) for _, t in told])
+        every = np.arange(len(s.whole))
+        return pa.Table.from_batches([counts(s, every, np.array([code[n] for n, _ in told])[s.doc], np.full(len(every), 2.0))])
+
+    told_weight = np.zeros(count)
+    known = None
+    if told:
+        told_counts = about_counts()
+        at, weight = (told_counts.filter(pa.compute.equal(told_counts["word"], 0))[c].to_numpy() for c in ("class", "weight"))
+        told_weight[at] = weight
+        known = spark.createDataFrame(told_counts).select("word", F.col("class").cast("int").alias("class"), "weight")
+
     labelled = source.join(F.broadcast(seeds.select("doc_id")), "doc_id", "left_semi")
     counted = labelled.mapInArrow(first_counts, COUNTED)
+    if known is not None:
+        counted = counted.unionByName(known)
     item_source = None
     if items is not None:
         item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"))
         counted = counted.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-    even = 1 / len(names)  # share of a word that goes with no subject in particular
-    table = gather(counted, even + 0.3 * (1 - even), 0.3, 20.0)
+    table = gather(counted, 0.3, 0.3, 20.0)
 
     for _ in range(rounds):
         current = spark.sparkContext.broadcast(table)
@@ -265,7 +293,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         passed = source.mapInArrow(next_counts, COUNTED)
         if item_source is not None:
             passed = passed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-        table = gather(passed, even + 0.565 * (1 - even), 0.15, 0.0)
+        if known is not None:
+            passed = passed.unionByName(known)
+        table = gather(passed, 0.565, 0.15, 0.0)
 
     final = spark.sparkContext.broadcast(table)
 

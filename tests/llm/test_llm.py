@@ -349,6 +349,26 @@ def test_words_of_rare_subject_outlast_a_large_vocabulary(spark):
     assert {(i, "crops") for i in range(30)} <= found and {(100 + i, "sport") for i in range(60)} <= found
 
 
+def test_subject_without_a_label_is_found(spark):
+    rng = random.Random(4)
+    words = {"law": ["consent", "privacy", "contract", "licence", "court"], "sport": ["sprint", "athlete", "race", "coach", "medal"], "teaching": ["pupil", "lesson", "exam", "school", "essay"]}
+    truth = list(enumerate(sorted(words) * 40))
+    docs = [(i, " ".join(f"The {rng.choice(words[s])} and the {rng.choice(words[s])} had been seen." for _ in range(6)) + " The rest was left out." * 3) for i, s in truth]
+    labels = spark.createDataFrame([(i, s) for i, s in truth[:60] if s != "law"], "doc_id long, subject string")
+    subjects = spark.createDataFrame([("Law ", "Consent, privacy and a contract"), ("sport", "Race and athlete"), ("crops", None), (None, "x")], "subject string, about string")
+    got = subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), labels, subjects=subjects)
+    assert {(r.doc_id, r.subject) for r in got.where("sentences * 6 >= of").collect()} == set(truth)
+
+
+def test_subjects_of_the_table_that_no_label_notes(spark, data):
+    read = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    items = read("eval_items").select(F.concat_ws(" ", "text", "kind").alias("text"))
+    noted = {r[0] for r in read("doc_labels").select(F.lower(F.trim("subject"))).distinct().collect()}
+    got = subject_shares(read("documents"), read("doc_labels"), items, read("subjects")).where("sentences * 6 >= of")
+    new = {"chromatin", "law", "motifs"}
+    assert not new & noted and new <= {r.subject for r in got.select("subject").distinct().collect()}
+
+
 def test_subjects(spark):
     rng = random.Random(11)
     words = {s: [f"{s}{k}" for k in "abcdefghijklmnopqrst"] for s in ("law", "sport", "crops")}
