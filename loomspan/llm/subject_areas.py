@@ -1,11 +1,12 @@
-"""Subject areas of documents, by propagating labels over the graph of documents and their words.
+"""Subject areas of documents, by words learned from labelled documents and one self-training pass.
 
 Two documents are linked through every word they share; the link is kept at the word ("document - word -
 document"), as the pairs themselves grow with the square of the documents. A link is verified by the
 word's specificity: a word that goes with no subject in particular carries nothing. Trusted seeds are
-the labelled documents (clamped: their sentences may only speak for their labels) and, for the class of
-passages in the manner of test items, the test items themselves. Each round is one join of all sentences
-with the word table and one aggregate back to it; sentences are the unit, so a document keeps several
+the labelled documents (clamped in the pass: their sentences may only speak for their labels) and, for the class of
+passages in the manner of test items, the test items themselves. A round classifies all sentences with
+the broadcast word table and counts their words anew; one is the default, and labels aren't propagated until
+they settle (the README has figures for more). Sentences are the unit, so a document keeps several
 subjects.
 """
 
