@@ -38,7 +38,8 @@ class Sentences:
     lower-case letter, and the end of a text, end what is no sentence (greetings, headings, notes).
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], langs: list[str] | None = None):
+        self.langs = langs or [""] * len(texts)
         raw = [t.encode("utf-8", "replace") for t in texts]
         original = np.frombuffer(b"\n\n".join(raw) + b"\n\n", np.uint8)
         data = _LOWER[original]
@@ -73,13 +74,16 @@ class Sentences:
 def speaking(mass: np.ndarray, sentences: np.ndarray, prior: float, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rate of each word in each class and its share of the rates of all classes.
 
-    ``mass`` has a row per word and a column per class: in how many sentences of the class the word is;
-    ``sentences`` is the number of sentences by class. ``prior`` sentences at the word's overall rate are
-    added to each class. Classes marked ``thin``, of which no sentence is known yet but what the subject is said
+    ``mass`` has a row per word, then languages and classes: in how many sentences of the class the word is;
+    ``sentences`` is the number of sentences by language and class. A class is measured by what its own mix
+    of languages would hold of the word, so the small words of a language speak for no class, and a language of
+    one class only tells nothing. ``prior`` sentences at the word's overall rate are added to each class. Classes marked ``thin``, of which no sentence is known yet but what the subject is said
     to be about, have a rate in those words only.
     """
-    overall = mass.sum(axis=1, keepdims=True) / max(sentences.sum(), 1e-9)
-    rate = np.where(sentences > 0, (mass + prior * overall) / (sentences + prior + 1e-9), 0)
+    parts, mass, by_class = mass, mass.sum(axis=1), sentences.sum(axis=0)
+    overall = mass.sum(axis=1, keepdims=True) / max(by_class.sum(), 1e-9)
+    expected = (parts.sum(axis=2) / np.maximum(sentences.sum(axis=1), 1e-9)) @ sentences
+    rate = np.where(by_class > 0, overall * (mass + prior * overall + 1e-9) / (expected + prior * overall + 1e-9), 0)
     rate[thin & (mass == 0)] = 0
     return rate, rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
 
@@ -111,24 +115,27 @@ class WordTable:
         return np.where(total.max(axis=1, initial=0) >= least, best, -1)
 
 
-def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text: str, lang: str | None) -> DataFrame:
+    tongue = F.lower(F.substring(F.trim(lang), 1, 2)) if lang in docs.columns else F.lit(None).cast("string")
+    return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(tongue, F.lit("")).alias("lang"))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int], Sentences]]:
     ids: list[int] = []
+    langs: list[str] = []
     texts: list[str] = []
     held = 0
     for table in chunks(iter(batches), 1):
-        for i, t in zip(column(table, "doc_id").to_pylist(), column(table, "text").to_pylist()):
+        for i, t, g in zip(*(column(table, c).to_pylist() for c in ("doc_id", "text", "lang"))):
             ids.append(i)
+            langs.append(g)
             texts.append(plain(t, lower=False))
             held += len(t)
             if held >= chars:
-                yield ids, Sentences(texts)
-                ids, texts, held = [], [], 0
+                yield ids, Sentences(texts, langs)
+                ids, texts, langs, held = [], [], [], 0
     if ids:
-        yield ids, Sentences(texts)
+        yield ids, Sentences(texts, langs)
 
 
 def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +149,7 @@ def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) ->
 COUNTED = "word bigint, class int, weight double"
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, subjects: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", about: str = "about", rounds: int = 1, anchor_word: str = "the", seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, subjects: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", about: str = "about", lang: str | None = "lang", rounds: int = 1, most_langs: int = 50, seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
@@ -154,12 +161,12 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
 
     Seeds are at most ``seed_docs`` labelled documents (smallest hashes of their ids, so any size of corpus
     draws them alike). Words are counted and picked on the workers; only those that speak for a class go to the
-    driver and are broadcast. Every round reads all documents. Only sentences with
-    ``anchor_word`` teach words for subjects, so that the small words of a second language, whose few texts may
-    lean to one subject, don't pass for subject words; sentences in all languages are classified.
+    driver and are broadcast. Every round reads all documents. All whole
+    sentences teach words; a word's rate in a class is held against that of the class's mix of languages (first two letters
+    of ``lang``, the ``most_langs`` most common ones apart), so that small words don't pass for subject words.
     """
     spark = docs.sparkSession
-    source = _texts(docs, id_col, text)
+    source = _texts(docs, id_col, text, lang)
     noted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(label)).alias("label")).where("label <> ''")
     seeds = noted.groupBy("doc_id").agg(F.collect_set("label").alias("names")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(seed_docs)
     given = {int(r[0]): sorted(r[1]) for r in seeds.collect()}
@@ -172,7 +179,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     code = {n: i for i, n in enumerate(names)}
     other, none = len(names), len(names) + 1  # passages in the manner of test items; sentences about nothing
     count = none + 1
-    anchor = Sentences([anchor_word]).word[0]
+    spoken = [r[0] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()] or [""]
+    tongue = {g: i for i, g in enumerate(spoken)}  # items and what subjects are about count to the main language
+    tongues = len(spoken) + 1  # the rest together
     seed_classes = {d: np.array([code[n] for n in v]) for d, v in given.items()}
     shared_seeds = spark.sparkContext.broadcast(seed_classes)
 
@@ -183,14 +192,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         new[1:] = (np.diff(s.sentence[order]) != 0) | (np.diff(s.word[order]) != 0)
         return order[new]
 
-    def teaches(s: Sentences) -> np.ndarray:
-        """Whole sentences in the corpus's main language: those with the anchor word."""
-        has = np.zeros(len(s.whole), bool)
-        has[s.sentence[s.word == anchor]] = True
-        return has & s.whole
-
-    def counts(s: Sentences, sentences: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-        """Counts of words by class for (sentence, class, weight) triples, and of sentences as word 0."""
+    def counts(s: Sentences, sentences: np.ndarray, classes: np.ndarray, weights: np.ndarray, own: bool = True) -> pa.RecordBatch:
+        """Counts of words by language and class for (sentence, class, weight) triples, and of sentences as word 0."""
         order = np.argsort(sentences, kind="stable")
         sentences, classes, weights = sentences[order], classes[order], weights[order]
         wanted = np.zeros(len(s.whole), bool)
@@ -199,6 +202,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         low, high = np.searchsorted(sentences, s.sentence[places], "left"), np.searchsorted(sentences, s.sentence[places], "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+        of_doc = np.array([tongue.get(g, tongues - 1) if own else 0 for g in s.langs], np.int64)
+        classes = classes + count * of_doc[s.doc[sentences]]
         words = np.concatenate([np.repeat(s.word[places], n), np.zeros(len(sentences), np.uint64)])
         return _word_counts(words, np.concatenate([classes[at], classes]), np.concatenate([weights[at], weights]))
 
@@ -206,7 +211,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         for ids, s in _blocks(batches, chunk_chars):
             mine = [shared_seeds.value.get(i, np.zeros(0, np.int64)) for i in ids]
             per_doc = np.array([len(m) for m in mine])
-            picked = np.flatnonzero(teaches(s) & (per_doc[s.doc] > 0))
+            picked = np.flatnonzero(s.whole & (per_doc[s.doc] > 0))
             n = per_doc[s.doc[picked]]
             flat = np.concatenate([mine[d] for d in s.doc[picked]] or [np.zeros(0, np.int64)])
             yield counts(s, np.repeat(picked, n), flat, np.repeat(1.0 / np.maximum(n, 1), n))
@@ -214,7 +219,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     def item_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _blocks(batches, chunk_chars):
             every = np.arange(len(s.whole))
-            yield counts(s, every, np.full(len(every), other), np.ones(len(every)))
+            yield counts(s, every, np.full(len(every), other), np.ones(len(every)), own=False)
 
     def gather(parts: DataFrame, excess: float, common: float, prior: float) -> WordTable:
         """Words that speak for a class, picked on the workers.
@@ -225,10 +230,11 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         the size of the corpus.
         """
         total = checkpointed(parts.groupBy("word", "class").agg(F.sum("weight").alias("weight")))
-        sentences = np.zeros(count)
+        sentences = np.zeros(tongues * count)
         for r in total.where("word = 0").collect():
             sentences[r["class"]] = r["weight"]
-        thin = sentences <= told_weight
+        sentences = sentences.reshape(tongues, count)
+        thin = sentences.sum(axis=0) <= told_weight
         live = np.count_nonzero(~thin[: len(names)])
         even = 1 / (min(live + 1, len(names)) if live else len(names))  # share of a word that goes with no subject in particular
         clear = even + excess * (1 - even)
@@ -237,9 +243,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in chunks(iter(batches), 4096):
                 classes = column(t, "classes")
-                mass = np.zeros((len(classes), count))
+                mass = np.zeros((len(classes), tongues * count))
                 mass[np.repeat(np.arange(len(classes)), np.diff(classes.offsets.to_numpy())), classes.flatten().to_numpy()] = column(t, "weights").flatten().to_numpy()
-                rate, share = speaking(mass, sentences, prior, thin)
+                rate, share = speaking(mass.reshape(-1, tongues, count), sentences, prior, thin)
                 best = share.argmax(axis=1)
                 keep = np.flatnonzero(share.max(axis=1) >= clear)
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), pa.array(share[keep].ravel()))
@@ -257,7 +263,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         """What a subject is said to be about, as two sentences of it: the least support a word needs."""
         s = Sentences([plain(t, lower=False) for _, t in told])
         every = np.arange(len(s.whole))
-        return pa.Table.from_batches([counts(s, every, np.array([code[n] for n, _ in told])[s.doc], np.full(len(every), 2.0))])
+        return pa.Table.from_batches([counts(s, every, np.array([code[n] for n, _ in told])[s.doc], np.full(len(every), 2.0), own=False)])
 
     told_weight = np.zeros(count)
     known = None
@@ -273,7 +279,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         counted = counted.unionByName(known)
     item_source = None
     if items is not None:
-        item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"))
+        item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"), F.lit("").alias("lang"))
         counted = counted.unionByName(item_source.mapInArrow(item_counts, COUNTED))
     table = gather(counted, 0.3, 0.3, 20.0)
 
@@ -288,7 +294,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                     if i in shared_seeds.value:
                         mine = slice(*np.searchsorted(s.doc, [d, d + 1]))
                         best[mine] = np.where(np.isin(best[mine], shared_seeds.value[i]) | (best[mine] >= other), best[mine], -1)
-                speaks = np.flatnonzero(s.whole & (best >= 0) & ((best == none) | teaches(s)))
+                speaks = np.flatnonzero(s.whole & (best >= 0))
                 yield counts(s, speaks, best[speaks], np.ones(len(speaks)))
 
         passed = source.mapInArrow(next_counts, COUNTED)

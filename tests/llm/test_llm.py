@@ -369,6 +369,23 @@ def test_subjects_of_the_table_that_no_label_notes(spark, data):
     assert not new & noted and new <= {r.subject for r in got.select("subject").distinct().collect()}
 
 
+def test_subject_of_another_language_is_learned(spark):
+    """A subject found only in German texts, another in both languages; the small words speak for neither."""
+    rng = random.Random(9)
+    words = {"crops": ["weizen", "gerste", "roggen", "hafer", "ernte"], "sport": ["sprint", "athlete", "race", "coach", "medal"], "law": ["consent", "privacy", "contract", "licence", "court"]}
+    docs, truth = [], set()
+    for i in range(360):
+        s = ["crops", "sport", "law", None, None, "sport"][i % 6]
+        german = s == "crops" or i % 6 > 3
+        say = (lambda a, b: f"Auch der {a} und die {b} wurden hier gesehen.") if german else (lambda a, b: f"The {a} and the {b} had been seen here.")
+        other = [f"{'haus' if german else 'room'}{k}" for k in range(40)]
+        docs.append((i, " ".join([say(rng.choice(words[s]), rng.choice(words[s])) for _ in range(4) if s] + [say(rng.choice(other), rng.choice(other)) for _ in range(4)]), "de" if german else "EN"))
+        truth |= {(i, s)} if s else set()
+    labels = [(i, s) for i, s in sorted(truth) if i < 240]
+    got = subject_shares(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, subject string"))
+    assert {(r.doc_id, r.subject) for r in got.where("sentences * 6 >= of").collect()} == truth
+
+
 def test_subjects(spark):
     rng = random.Random(11)
     words = {s: [f"{s}{k}" for k in "abcdefghijklmnopqrst"] for s in ("law", "sport", "crops")}
