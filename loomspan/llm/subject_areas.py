@@ -1,13 +1,13 @@
-"""Subject areas of documents, by words learned from labelled documents and one self-training pass.
-
-Two documents are linked through every word they share; the link is kept at the word ("document - word -
-document"), as the pairs themselves grow with the square of the documents. A link is verified by the
-word's specificity: a word that goes with no subject in particular carries nothing. Trusted seeds are
-the labelled documents (clamped in the pass: their sentences may only speak for their labels) and, for the class of
-passages in the manner of test items, the test items themselves. A round classifies all sentences with
-the broadcast word table and counts their words anew; one is the default, and labels aren't propagated until
-they settle (the README has figures for more). Sentences are the unit, so a document keeps several
-subjects.
+"""Subject areas of documents: label propagation over a verified graph of documents.
+
+Documents are linked through the words they share. As pairs of documents grow with the square of the corpus, a
+word's pairs are kept as one class row (document - word - document), which carries the same flow. A link is
+verified twice: the word must speak for a subject (its rate there against its rates elsewhere, by the labels of
+the round), and it carries a document's subject only as far as word and document agree on it; words that are
+evidently common to all subjects link nothing. Labels flow from the trusted seeds (labelled documents,
+what the subjects are about, and the test items as a class of their own) over documents and words and back by
+DataFrame joins, round by round until they settle. Seeds are clamped in every round. A document
+keeps several subjects. At the end each document's sentences are counted exactly, by the words that carry links.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.leakage import _BACK, _BASE, _WORD, _powers, plain
@@ -35,7 +34,8 @@ class Sentences:
     """Words of many texts with the sentence each belongs to.
 
     A sentence ends with ``. ? !`` before a blank, quote or bracket, or the end of the text; a line break before anything but a
-    lower-case letter, and the end of a text, end what is no sentence (greetings, headings, notes).
+    lower-case letter, and the end of a text, end what is no sentence (greetings, headings, notes). Words are
+    32-bit hashes (two of the few that carry links seldom meet another); those of which half or more are figures are codes.
     """
 
     def __init__(self, texts: list[str], langs: list[str] | None = None):
@@ -64,7 +64,10 @@ class Sentences:
         start, finish = upto[begin] - 1, upto[end]
         prefix = np.zeros(len(stream) + 1, np.uint64)
         np.cumsum((stream.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(stream) + 1)[:-1], out=prefix[1:])
-        self.word = (prefix[finish] - prefix[start]) * _powers(_BACK, len(stream) + 1)[start]
+        self.word = ((prefix[finish] - prefix[start]) * _powers(_BACK, len(stream) + 1)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.word[self.word == 0] = 1  # 0 counts sentences
+        figures = np.concatenate([[0], np.cumsum((stream >= 48) & (stream <= 57))])
+        self.code = 2 * (figures[finish] - figures[start]) >= finish - start
         ended_by_stop = stop[np.flatnonzero(border)]
         used, self.sentence = np.unique(number[begin], return_inverse=True)
         self.whole = ended_by_stop[used]
@@ -88,68 +91,61 @@ def speaking(mass: np.ndarray, sentences: np.ndarray, prior: float, thin: np.nda
     return rate, rate / np.maximum(rate.sum(axis=1, keepdims=True), 1e-12)
 
 
-class WordTable:
-    """Words that speak for a class and their share of each class."""
-
-    def __init__(self, words: np.ndarray, share: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.share = words[order], share[order]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.words >> np.uint64(44)] = True
-
-    def classify(self, s: Sentences, least: float) -> np.ndarray:
-        """Class of each sentence, -1 for none."""
-        count = self.share.shape[1] if self.share.ndim == 2 else 0
-        total = np.zeros((len(s.whole), count))
-        maybe = np.flatnonzero(self.sieve[s.word >> np.uint64(44)])
-        if len(maybe) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, s.word[maybe]), len(self.words) - 1)
-            hit = self.words[at] == s.word[maybe]
-            sentence, share = s.sentence[maybe[hit]], self.share[at[hit]]
-            if len(sentence):
-                first = np.flatnonzero(np.diff(sentence, prepend=-1))
-                total[sentence[first]] = np.add.reduceat(share, first, axis=0)
-        if not count:
-            return np.full(len(s.whole), -1)
-        best = total.argmax(axis=1)
-        return np.where(total.max(axis=1, initial=0) >= least, best, -1)
-
-
 def _texts(docs: DataFrame, id_col: str, text: str, lang: str | None) -> DataFrame:
     tongue = F.lower(F.substring(F.trim(lang), 1, 2)) if lang in docs.columns else F.lit(None).cast("string")
     return docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(tongue, F.lit("")).alias("lang"))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int], Sentences]]:
+def _blocks(batches: Iterable[pa.RecordBatch], chars: int, also: str = "lang") -> Iterator[tuple[list[int], Sentences, list]]:
+    """Ids, sentences and a further column of many texts at once."""
     ids: list[int] = []
     langs: list[str] = []
     texts: list[str] = []
+    more: list = []
     held = 0
     for table in chunks(iter(batches), 1):
-        for i, t, g in zip(*(column(table, c).to_pylist() for c in ("doc_id", "text", "lang"))):
+        for i, t, g, m in zip(*(column(table, c).to_pylist() for c in ("doc_id", "text", "lang", also))):
             ids.append(i)
             langs.append(g)
+            more.append(m)
             texts.append(plain(t, lower=False))
             held += len(t)
             if held >= chars:
-                yield ids, Sentences(texts, langs)
-                ids, texts, langs, held = [], [], [], 0
+                yield ids, Sentences(texts, langs), more
+                ids, texts, langs, more, held = [], [], [], [], 0
     if ids:
-        yield ids, Sentences(texts, langs)
+        yield ids, Sentences(texts, langs), more
+
 
+COUNTED = "word int, class int, weight double"
+EDGES = "doc_id bigint, lang string, words array<int>, ends array<int>"
 
-def _word_counts(words: np.ndarray, classes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((classes, words))
-    w, c, x = words[order], classes[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[len(w) > 0], (np.diff(w) != 0) | (np.diff(c) != 0)])) if len(w) else np.zeros(0, int)
-    sums = np.add.reduceat(x, first) if len(w) else np.zeros(0)
-    return pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(c[first].astype(np.int32)), pa.array(sums.astype(float))], names=["word", "class", "weight"])
 
+def _once(s: Sentences, some: np.ndarray) -> np.ndarray:
+    """Places among ``some`` of the first mention of a word in a sentence, by sentence."""
+    order = some[np.lexsort((s.word[some], s.sentence[some]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(s.sentence[order]) != 0) | (np.diff(s.word[order]) != 0)
+    return order[new]
 
-COUNTED = "word bigint, class int, weight double"
 
+def _statements(ids: list[int], s: Sentences, common: np.ndarray) -> pa.RecordBatch:
+    """Words of each document's whole sentences without common words and codes, and where each sentence ends among them."""
+    usable = s.whole[s.sentence] & ~s.code
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s.word), len(common) - 1)
+        usable &= common[at] != s.word
+    places = _once(s, np.flatnonzero(usable))
+    sentences = np.flatnonzero(s.whole)
+    ends = np.searchsorted(s.sentence[places], sentences, side="right")
+    docs = np.arange(len(ids) + 1)
+    by_doc, of_doc = np.searchsorted(s.doc[s.sentence[places]], docs), np.searchsorted(s.doc[sentences], docs)
+    ends = ends - by_doc[s.doc[sentences]]
+    lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.astype(np.int32))) for o, v in ((by_doc, s.word[places]), (of_doc, ends))]
+    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(s.langs, pa.string()), *lists], names=["doc_id", "lang", "words", "ends"])
 
-def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, subjects: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", about: str = "about", lang: str | None = "lang", rounds: int = 1, most_langs: int = 50, seed_docs: int = 50_000, chunk_chars: int = 4_000_000) -> DataFrame:
+
+def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None = None, subjects: DataFrame | None = None, *, id_col: str = "doc_id", text: str = "text", label: str = "subject", item_text: str = "text", about: str = "about", lang: str | None = "lang", most_rounds: int = 12, settled: float = 0.02, most_langs: int = 50, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, subject, sentences, of, share``: how many of a document's ``of`` sentences are about each subject.
 
     Labels compare trimmed and in lower case; null ids and labels don't count. Passages in the manner of
@@ -159,70 +155,62 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     ``subjects`` names all subjects and what each is ``about``; those words are a trusted seed besides the
     labelled documents, so a subject that no label notes is found too. Without it the subjects are those noted.
 
-    Seeds are at most ``seed_docs`` labelled documents (smallest hashes of their ids, so any size of corpus
-    draws them alike). Words are counted and picked on the workers; only those that speak for a class go to the
-    driver and are broadcast. Every round reads all documents. All whole
-    sentences teach words; a word's rate in a class is held against that of the class's mix of languages (first two letters
-    of ``lang``, the ``most_langs`` most common ones apart), so that small words don't pass for subject words.
+    A round (1) gives every document the subjects its linking words speak for, seeds only those noted for them, and
+    (2) gives every word the subjects of its documents, each mention shared among the document's subjects as
+    word and document agree. Rounds end when the words' subjects move by less than ``settled`` on average,
+    or after ``most_rounds``. All documents and all labels take part. The texts are read twice: the labelled ones for the first
+    words, then all of them for the links, which are laid out by document once; a round shuffles sums per word only.
+
+    All whole sentences teach words; a word's rate in a class is held against that of the class's mix of languages
+    (first two letters of ``lang``, the ``most_langs`` most common ones apart), so that small words don't pass for
+    subject words. Words are scored and picked on the workers; only those that speak for a class, or that every class
+    has in one sentence of a thousand or more, go to the driver: their number follows the words of a sentence, not the corpus.
     """
     spark = docs.sparkSession
     source = _texts(docs, id_col, text, lang)
     noted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(label)).alias("label")).where("label <> ''")
-    seeds = noted.groupBy("doc_id").agg(F.collect_set("label").alias("names")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(seed_docs)
-    given = {int(r[0]): sorted(r[1]) for r in seeds.collect()}
     told: list[tuple[str, str]] = []
     if subjects is not None:
         told = [(r[0], r[1] or "") for r in subjects.where(F.col(label).isNotNull()).select(F.lower(F.trim(label)), F.col(about)).where(F.trim(label) != "").collect()]
-    names = sorted({n for v in given.values() for n in v} | {n for n, _ in told})
+    names = sorted({r[0] for r in noted.select("label").distinct().collect()} | {n for n, _ in told})
     if not names:
         return spark.createDataFrame([], "doc_id bigint, subject string, sentences bigint, of bigint, share double")
     code = {n: i for i, n in enumerate(names)}
-    other, none = len(names), len(names) + 1  # passages in the manner of test items; sentences about nothing
+    other = len(names)  # passages in the manner of test items
+    none = other + 1  # about no subject
     count = none + 1
     spoken = [r[0] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()] or [""]
     tongue = {g: i for i, g in enumerate(spoken)}  # items and what subjects are about count to the main language
     tongues = len(spoken) + 1  # the rest together
-    seed_classes = {d: np.array([code[n] for n in v]) for d, v in given.items()}
-    shared_seeds = spark.sparkContext.broadcast(seed_classes)
-
-    def once(s: Sentences, some: np.ndarray) -> np.ndarray:
-        """Places among ``some`` of the first mention of a word in a sentence."""
-        order = some[np.lexsort((s.word[some], s.sentence[some]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(s.sentence[order]) != 0) | (np.diff(s.word[order]) != 0)
-        return order[new]
-
-    def counts(s: Sentences, sentences: np.ndarray, classes: np.ndarray, weights: np.ndarray, own: bool = True) -> pa.RecordBatch:
-        """Counts of words by language and class for (sentence, class, weight) triples, and of sentences as word 0."""
-        order = np.argsort(sentences, kind="stable")
-        sentences, classes, weights = sentences[order], classes[order], weights[order]
-        wanted = np.zeros(len(s.whole), bool)
-        wanted[sentences] = True
-        places = once(s, np.flatnonzero(wanted[s.sentence]))
-        low, high = np.searchsorted(sentences, s.sentence[places], "left"), np.searchsorted(sentences, s.sentence[places], "right")
-        n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+    numbered = F.create_map(*[F.lit(x) for n in names for x in (n, code[n])])
+    seeds = noted.groupBy("doc_id").agg(F.array_sort(F.collect_set(numbered[F.col("label")])).alias("noted"))
+
+    def counts(s: Sentences, classes: list[np.ndarray], weight: float = 1.0, own: bool = True) -> pa.RecordBatch:
+        """Counts of words by language and class, and of sentences as word 0; ``classes`` are those of each document."""
+        per_doc = np.array([len(c) for c in classes], np.int64)
+        places = _once(s, np.flatnonzero(s.whole[s.sentence] & ~s.code))
+        doc = np.concatenate([s.doc[s.sentence[places]], s.doc[s.whole]])
+        words = np.concatenate([s.word[places], np.zeros(len(doc) - len(places), np.int32)])
+        n = per_doc[doc]
+        first = np.cumsum(per_doc) - per_doc
+        at = np.repeat(first[doc] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         of_doc = np.array([tongue.get(g, tongues - 1) if own else 0 for g in s.langs], np.int64)
-        classes = classes + count * of_doc[s.doc[sentences]]
-        words = np.concatenate([np.repeat(s.word[places], n), np.zeros(len(sentences), np.uint64)])
-        return _word_counts(words, np.concatenate([classes[at], classes]), np.concatenate([weights[at], weights]))
-
-    def first_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s in _blocks(batches, chunk_chars):
-            mine = [shared_seeds.value.get(i, np.zeros(0, np.int64)) for i in ids]
-            per_doc = np.array([len(m) for m in mine])
-            picked = np.flatnonzero(s.whole & (per_doc[s.doc] > 0))
-            n = per_doc[s.doc[picked]]
-            flat = np.concatenate([mine[d] for d in s.doc[picked]] or [np.zeros(0, np.int64)])
-            yield counts(s, np.repeat(picked, n), flat, np.repeat(1.0 / np.maximum(n, 1), n))
+        flat = np.concatenate([*classes, np.zeros(0, np.int64)]).astype(np.int64)[at] + count * np.repeat(of_doc[doc], n)
+        keys, where = np.unique((np.repeat(words, n).astype(np.int64) << 32) + flat, return_inverse=True)
+        sums = np.bincount(where, weights=np.repeat(weight / np.maximum(n, 1), n), minlength=len(keys))
+        return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["word", "class", "weight"])
+
+    def seed_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, s, mine in _blocks(batches, chunk_chars, "noted"):
+            yield counts(s, [np.array(m, np.int64) for m in mine])
 
     def item_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s in _blocks(batches, chunk_chars):
-            every = np.arange(len(s.whole))
-            yield counts(s, every, np.full(len(every), other), np.ones(len(every)), own=False)
+        for ids, s, _ in _blocks(batches, chunk_chars):
+            s.whole[:] = True
+            yield counts(s, [np.array([other])] * len(ids), own=False)
 
-    def gather(parts: DataFrame, excess: float, common: float, prior: float) -> WordTable:
-        """Words that speak for a class, picked on the workers.
+    def gather(parts: DataFrame, excess: float, common: float, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that speak for a class with their shares, and the words common to all; picked on the workers.
 
         A word is kept if its share in one class is clear, by ``excess`` of the way from an even share to 1, and its rate there is at least ``common`` times that
         of the class's 20th most common clear word: rarer words that happen to fall into one class prove nothing.
@@ -237,7 +225,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         thin = sentences.sum(axis=0) <= told_weight
         live = np.count_nonzero(~thin[: len(names)])
         even = 1 / (min(live + 1, len(names)) if live else len(names))  # share of a word that goes with no subject in particular
-        clear = even + excess * (1 - even)
+        clear, dull = even + excess * (1 - even), even + 0.2 * (1 - even)
+        often = max(50.0, sentences.sum() / 1000)
         by_word = total.where("word <> 0").groupBy("word").agg(F.sum("weight").alias("n"), F.collect_list("class").alias("classes"), F.collect_list("weight").alias("weights"))
 
         def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,79 +235,117 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                 mass = np.zeros((len(classes), tongues * count))
                 mass[np.repeat(np.arange(len(classes)), np.diff(classes.offsets.to_numpy())), classes.flatten().to_numpy()] = column(t, "weights").flatten().to_numpy()
                 rate, share = speaking(mass.reshape(-1, tongues, count), sentences, prior, thin)
-                best = share.argmax(axis=1)
-                keep = np.flatnonzero(share.max(axis=1) >= clear)
+                best, top = share.argmax(axis=1), share.max(axis=1)
+                keep = np.flatnonzero((top >= clear) | ((top < dull) & (mass.sum(axis=1) >= often)))
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), pa.array(share[keep].ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [column(t, "word").take(pa.array(keep)), pa.array(best[keep].astype(np.int32)), pa.array(rate[keep, best[keep]]), shares], names=["word", "best", "rate", "shares"]
-                )
+                best = np.where(top[keep] >= clear, best[keep], -1)
+                yield pa.RecordBatch.from_arrays([column(t, "word").take(pa.array(keep)), pa.array(best.astype(np.int32)), pa.array(rate[keep, best]), shares], names=["word", "best", "rate", "shares"])
 
-        scored = checkpointed(by_word.where("n >= 2").mapInArrow(score, "word bigint, best int, rate double, shares array<double>"))
-        top = scored.withColumn("place", F.row_number().over(Window.partitionBy("best").orderBy(F.desc("rate"), "word"))).where("place <= 20")
+        scored = checkpointed(by_word.where("n >= 2").mapInArrow(score, "word int, best int, rate double, shares array<double>"))
+        top = scored.withColumn("place", F.row_number().over(Window.partitionBy("best").orderBy(F.desc("rate"), "word"))).where("place <= 20 and best >= 0")
         least = top.groupBy("best").agg((common * F.min("rate")).alias("least"))
-        rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "shares").collect()
-        return WordTable(np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.shares for r in rows]).reshape(-1, count))
-
-    def about_counts() -> pa.Table:
-        """What a subject is said to be about, as two sentences of it: the least support a word needs."""
-        s = Sentences([plain(t, lower=False) for _, t in told])
-        every = np.arange(len(s.whole))
-        return pa.Table.from_batches([counts(s, every, np.array([code[n] for n, _ in told])[s.doc], np.full(len(every), 2.0), own=False)])
+        rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "shares").orderBy("word").collect()  # one row per class on the right
+        dull_words = np.sort(np.array([r[0] for r in scored.where("best < 0").select("word").collect()], np.int32))
+        return np.array([r.word for r in rows], np.int32), np.array([r.shares for r in rows]).reshape(-1, count), dull_words
 
     told_weight = np.zeros(count)
-    known = None
-    if told:
-        told_counts = about_counts()
-        at, weight = (told_counts.filter(pa.compute.equal(told_counts["word"], 0))[c].to_numpy() for c in ("class", "weight"))
-        told_weight[at] = weight
-        known = spark.createDataFrame(told_counts).select("word", F.col("class").cast("int").alias("class"), "weight")
-
-    labelled = source.join(F.broadcast(seeds.select("doc_id")), "doc_id", "left_semi")
-    counted = labelled.mapInArrow(first_counts, COUNTED)
-    if known is not None:
-        counted = counted.unionByName(known)
-    item_source = None
+    fixed = spark.createDataFrame([], COUNTED)
+    if told:  # what a subject is said to be about, as two sentences of it: the least support a word needs
+        s = Sentences([plain(t, lower=False) for _, t in told])
+        s.whole[:] = True
+        spoken_of = pa.Table.from_batches([counts(s, [np.array([code[n]]) for n, _ in told], 2.0, own=False)])
+        for w, c, x in zip(*(spoken_of[k].to_pylist() for k in ("word", "class", "weight"))):
+            told_weight[c] += x if w == 0 else 0
+        fixed = fixed.unionByName(spark.createDataFrame(spoken_of).select(F.col("word").cast("int"), F.col("class").cast("int"), "weight"))
     if items is not None:
         item_source = items.where(F.col(item_text).isNotNull()).select(F.lit(0).cast("bigint").alias("doc_id"), F.col(item_text).alias("text"), F.lit("").alias("lang"))
-        counted = counted.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-    table = gather(counted, 0.3, 0.3, 20.0)
-
-    for _ in range(rounds):
-        current = spark.sparkContext.broadcast(table)
-
-        def next_counts(batches: Iterable[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
-            for ids, s in _blocks(batches, chunk_chars):
-                best = current.value.classify(s, 0.9)
-                best[best < 0] = none
-                for d, i in enumerate(ids):  # clamped: a seed's sentences speak for its labels only
-                    if i in shared_seeds.value:
-                        mine = slice(*np.searchsorted(s.doc, [d, d + 1]))
-                        best[mine] = np.where(np.isin(best[mine], shared_seeds.value[i]) | (best[mine] >= other), best[mine], -1)
-                speaks = np.flatnonzero(s.whole & (best >= 0))
-                yield counts(s, speaks, best[speaks], np.ones(len(speaks)))
-
-        passed = source.mapInArrow(next_counts, COUNTED)
-        if item_source is not None:
-            passed = passed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
-        if known is not None:
-            passed = passed.unionByName(known)
-        table = gather(passed, 0.565, 0.15, 0.0)
-
-    final = spark.sparkContext.broadcast(table)
+        fixed = fixed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
+    fixed = checkpointed(fixed)
+    seeded = source.join(seeds, "doc_id")
+    words, shares, dull = gather(seeded.mapInArrow(seed_counts, COUNTED).unionByName(fixed), 0.3, 0.3, 20.0)
+
+    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, s, _ in _blocks(batches, chunk_chars):
+            yield _statements(ids, s, dull)
+
+    tongue_of = F.coalesce(F.create_map(*[F.lit(x) for g in spoken for x in (g, tongue[g])])[F.col("lang")], F.lit(tongues - 1)).cast("int")
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = source.mapInArrow(edges, EDGES).select("doc_id", tongue_of.alias("tongue"), "words", "ends")
+    graph = checkpointed(placed.repartition(slices, "doc_id").join(seeds.hint("shuffle_hash"), "doc_id", "left"))
+
+    def linking(words: np.ndarray, shares: np.ndarray) -> DataFrame:
+        """The linking words; broadcast as long as they are as few as they should be."""
+        offsets = np.arange(len(words) + 1, dtype=np.int32) * count
+        parts = {"word": pa.array(words), "class": pa.array(shares.argmax(axis=1).astype(np.int32)), "s": pa.array(shares.max(axis=1, initial=0)), "share": pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel()))}
+        rows = spark.createDataFrame(pa.table(parts), "word int, class int, s double, share array<double>")
+        return F.broadcast(rows) if len(words) <= 200_000 else rows
+
+    def labels_of(links: DataFrame) -> DataFrame:
+        """``graph`` with ``now``: the subjects of each document as (class, weight), weights adding up to 1."""
+        told_by = graph.select("doc_id", F.explode("words").alias("word")).join(links.where(F.col("class") != none), "word")
+        per_doc = told_by.groupBy("doc_id", "class").agg(F.sum("s").alias("s")).groupBy("doc_id").agg(F.collect_list(F.struct("class", "s")).alias("scores"), F.sum("s").alias("total"))
+        strong = F.when(F.col("total") >= 2, F.filter("scores", lambda x: x["s"] >= 0.1 * F.col("total")))
+        strong = F.coalesce(strong, F.array().cast("array<struct<class:int,s:double>>"))
+        alike = F.transform("noted", lambda c: F.struct(c.alias("class"), F.lit(1.0).alias("s")))
+        agreed = F.filter("strong", lambda x: F.array_contains("noted", x["class"]))
+        clamped = F.when(F.col("noted").isNull(), F.col("strong")).when(F.size(agreed) > 0, agreed).otherwise(alike)
+        joined = graph.join(per_doc.hint("shuffle_hash"), "doc_id", "left").withColumn("strong", strong).withColumn("clamped", clamped)
+        # the rest of a document speaks for none; a sentence on a subject holds about two words of it
+        quiet = F.when(F.size("clamped") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("total") / (2 * F.size("ends"))))
+        weighed = joined.withColumn("even", _even("clamped")).withColumn("quiet", F.coalesce(quiet, F.lit(0.0)))
+        rest = F.array(F.struct(F.lit(none).alias("class"), F.col("quiet").alias("s")))
+        now = F.when(F.col("quiet") == 0, F.col("even")).when(F.col("quiet") == 1, rest).otherwise(F.concat(F.transform("even", lambda x: F.struct(x["class"].alias("class"), (x["s"] * (1 - F.col("quiet"))).alias("s"))), rest))
+        return weighed.select("doc_id", "tongue", "words", F.size("ends").alias("n"), now.alias("now"))
+
+    def masses(links: DataFrame) -> DataFrame:
+        mentions = labels_of(links).where(F.size("now") > 0).select("tongue", "now", "n", F.explode(F.concat("words", F.array(F.lit(0)))).alias("word")).join(links.select("word", "share"), "word", "left")
+        agreed = F.transform("now", lambda x: F.struct(x["class"].alias("class"), (x["s"] * F.get("share", x["class"])).alias("s")))
+        flow = F.when((F.size("now") == 1) | F.col("share").isNull(), F.col("now")).otherwise(_even("agreed"))
+        spread = mentions.withColumn("agreed", F.when(F.size("now") > 1, agreed)).select("tongue", "word", F.when(F.col("word") == 0, F.col("n")).otherwise(1).alias("times"), F.inline(flow))
+        summed = spread.groupBy("word", (F.col("class") + F.col("tongue") * count).cast("int").alias("class")).agg(F.sum(F.col("s") * F.col("times")).alias("weight"))
+        return summed.unionByName(fixed)
+
+    for _ in range(most_rounds):
+        before = dict(zip(words.tolist(), shares))
+        words, shares, _ = gather(masses(linking(words, shares)), 0.565, 0.15, 0.0)
+        nothing = np.zeros(count)
+        now = dict(zip(words.tolist(), shares))
+        moved = sum(np.abs(now.get(w, nothing) - before.get(w, nothing)).sum() for w in {*now, *before})
+        if moved <= settled * max(len(now), 1):
+            break
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s in _blocks(batches, chunk_chars):
-            best = final.value.classify(s, 0.8)
-            counted_in = s.whole & (best != other)
-            of = np.bincount(s.doc[counted_in], minlength=len(ids))
-            about = np.zeros((len(ids), count), np.int64)
-            use = counted_in & (best >= 0) & (best < other)
-            np.add.at(about, (s.doc[use], best[use]), 1)
-            d, c = np.nonzero(about)
-            n = about[d, c]
+        for t in chunks(iter(batches), 4096):
+            flat, ends, ids = column(t, "words"), column(t, "ends"), column(t, "doc_id")
+            end = ends.flatten().to_numpy()
+            of_doc = np.repeat(np.arange(len(ids)), np.diff(ends.offsets.to_numpy()))
+            start = np.where(np.diff(of_doc, prepend=-1) != 0, 0, np.concatenate([[0], end[:-1]])) if len(end) else end
+            sentence = np.repeat(np.arange(len(end)), end - start)
+            word = flat.flatten().to_numpy()
+            total = np.zeros((len(end), count))
+            if len(words) and len(word):
+                at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                hit = words[at] == word
+                sentence, share = sentence[hit], shares[at[hit]]
+                if len(sentence):
+                    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+                    total[sentence[first]] = np.add.reduceat(share, first, axis=0)
+            best = np.where(total.max(axis=1, initial=0) >= 0.8, total.argmax(axis=1), -1)
+            of = np.bincount(of_doc[best != other], minlength=len(ids))
+            found = np.zeros((len(ids), count), np.int64)
+            use = (best >= 0) & (best < other)
+            np.add.at(found, (of_doc[use], best[use]), 1)
+            d, c = np.nonzero(found)
+            n = found[d, c]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, np.int64)[d]), pa.array([*names, "", ""], pa.string()).take(pa.array(c)), pa.array(n), pa.array(of[d].astype(np.int64)), pa.array(n / np.maximum(of[d], 1))],
+                [ids.take(pa.array(d)), pa.array([*names, "", ""], pa.string()).take(pa.array(c)), pa.array(n), pa.array(of[d].astype(np.int64)), pa.array(n / np.maximum(of[d], 1))],
                 names=["doc_id", "subject", "sentences", "of", "share"],
             )
 
-    return source.mapInArrow(classify, "doc_id bigint, subject string, sentences bigint, of bigint, share double")
+    return graph.select("doc_id", "words", "ends").mapInArrow(classify, "doc_id bigint, subject string, sentences bigint, of bigint, share double")
+
+
+def _even(name: str) -> Column:
+    """(class, s) pairs with weights that add up to 1; none if they are all 0."""
+    total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x["s"])
+    return F.when(total > 0, F.transform(name, lambda x: F.struct(x["class"].alias("class"), (x["s"] / total).alias("s"))))
