@@ -48,12 +48,15 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(archive)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make an own one only if none is set."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; an own one is made only if none is set and all runs on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomspan-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -62,6 +65,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of ``keys``, written to the checkpoint folder so that later plans know: joins and aggregates on the keys need no shuffle.
+
+    Planned without adaptive execution, whose plans don't tell their partitioning; the setting is put back.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Join Arrow batches to tables of about ``rows`` rows, so that vector kernels see long arrays."""
     held: list[pa.RecordBatch] = []
