@@ -1,10 +1,10 @@
 """Evaluation texts leaking into a corpus: pigeonhole pieces, then Myers' bit-parallel distance.
 
 A stretch of ``words`` consecutive item words that appears with at most one edit has at least one of its
-two halves intact (error budget plus one pieces). All halves of all stretches of the items are indexed
-by hash; corpus texts are probed at every word; the other half is verified beside each hit with Myers'
-algorithm, a vector of candidates at a time. Words are compared without what lies between them, so that
-line breaks inside words don't matter.
+two halves intact (error budget plus one pieces). Both halves of all different stretches of the items are
+indexed by hash; corpus texts are probed at every word; the whole other half is verified beside each hit with
+Myers' algorithm, a vector of candidates at a time. A stretch that many items hold is looked for once. Words are
+compared without what lies between them, so that line breaks inside words don't matter.
 """
 
 from __future__ import annotations
@@ -34,12 +34,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-#: Letters and digits have a class of their own; other bytes share classes, which the exact check sorts out.
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[97:123] = np.arange(26)
-_CLASS[48:58] = np.arange(26, 36)
-_CLASS[128:] = 36 + np.arange(128) % 27
-_END = 63
+_END = 10  # a line break: no byte of a word
 
 LEAKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
 
@@ -107,106 +102,142 @@ def _powers(base: np.uint64, size: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """Halves of all stretches of the items, sorted by hash."""
+    """Different stretches of the items, with their halves sorted by hash, and the items that hold each."""
 
     ids: np.ndarray
     words: Words
     half: int
-    hashes: np.ndarray
-    at: np.ndarray
+    at: np.ndarray  # first word of each stretch
+    halves: dict[int, tuple[np.ndarray, np.ndarray]]  # 1: first halves, -1: second halves: hashes in order, stretches
     sieve: np.ndarray
+    items: np.ndarray  # the items of all stretches, one stretch behind another
+    first: np.ndarray
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str], half: int) -> ItemIndex:
         words = Words([plain(t) for t in texts])
-        at, hashes = words.grams(half)
-        long = (words.first_word[1:] - words.first_word[:-1] >= 2 * half)[words.doc[at]] if len(at) else np.zeros(0, bool)
-        at, hashes = at[long], hashes[long]
-        order = np.argsort(hashes, kind="stable")
+        at, hashes = words.grams(2 * half)
+        _, first, stretch = np.unique(hashes, return_index=True, return_inverse=True)
+        holds = np.unique(stretch.astype(np.int64) * max(len(texts), 1) + words.doc[at]) if len(at) else np.zeros(0, np.int64)
+        count = max(len(texts), 1)
+        begin = at[first]
+        pieces, piece_hash = words.grams(half)
+        halves = {}
         sieve = np.zeros(1 << 22, bool)
-        sieve[hashes >> np.uint64(42)] = True
-        return cls(np.array(ids, np.int64), words, half, hashes[order], at[order], sieve)
+        for step, place in ((1, begin), (-1, begin + half)):
+            piece = piece_hash[np.searchsorted(pieces, place)]
+            order = np.argsort(piece, kind="stable")
+            halves[step] = (piece[order], order)
+            sieve[piece >> np.uint64(42)] = True
+        return cls(np.array(ids, np.int64), words, half, begin, halves, sieve, holds % count, np.searchsorted(holds // count, np.arange(len(begin) + 1)))
 
 
 def _flank(stream: np.ndarray, start: np.ndarray, limit: np.ndarray, step: int, width: int) -> np.ndarray:
-    """Character classes of ``width`` characters from ``start`` in direction ``step``; _END beyond ``limit``."""
+    """``width`` characters from ``start`` in direction ``step``; _END beyond ``limit``."""
     at = start[:, None] + step * np.arange(width)
     inside = at < limit[:, None] if step > 0 else at >= limit[:, None]
-    return np.where(inside, _CLASS[stream[np.where(inside, at, 0)]], _END) if len(stream) else np.full(at.shape, _END, np.uint8)
+    return np.where(inside, stream[np.where(inside, at, 0)], _END) if len(stream) else np.full(at.shape, _END, np.uint8)
 
 
 def myers_prefix(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, budget: int) -> np.ndarray:
-    """Edit distance of each pattern (at most 64 characters) to its text's best prefix; > ``budget`` is cut off.
+    """Edit distance of each pattern to its text's best prefix; > ``budget`` is cut off.
 
-    Bit-parallel over the pattern, one vector lane per candidate.
+    Bit-parallel over the pattern in blocks of 64 characters, one vector lane per candidate.
     """
     lanes, widest = pattern.shape
     one, row = np.uint64(1), np.arange(lanes)
-    peq = np.zeros((lanes, 64), np.uint64)
+    blocks = max(1, -(-widest // 64))
+    peq = np.zeros((blocks, lanes, 256), np.uint64)
     for k in range(widest):
         live = k < size
-        peq[row[live], pattern[live, k]] |= one << np.uint64(k)
-    peq[:, _END] = 0
-    top = (size - 1).clip(0).astype(np.uint64)
-    pv, mv = np.full(lanes, ~np.uint64(0)), np.zeros(lanes, np.uint64)
+        peq[k // 64, row[live], pattern[live, k]] |= one << np.uint64(k % 64)
+    peq[:, :, _END] = 0
+    last, top = (size - 1).clip(0) // 64, ((size - 1).clip(0) % 64).astype(np.uint64)
+    pv, mv = np.full((blocks, lanes), ~np.uint64(0)), np.zeros((blocks, lanes), np.uint64)
     score, best = size.astype(np.int64).copy(), np.full(lanes, budget + 1, np.int64)
+    sign = np.uint64(63)
     for j in range(text.shape[1]):
-        eq = peq[row, text[:, j]]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv), pv & xh
-        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
-        ph, mh = (ph << one) | one, mh << one
-        pv, mv = mh | ~(xv | ph), ph & xv
+        up, down = np.full(lanes, one), np.zeros(lanes, np.uint64)  # what the block before hands on: +1 at the text's start
+        for b in range(blocks):
+            eq = peq[b, row, text[:, j]]
+            xv = eq | mv[b]
+            eq = eq | down
+            xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
+            ph, mh = mv[b] | ~(xh | pv[b]), pv[b] & xh
+            step = ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+            score += np.where(last == b, step, 0)
+            next_up, next_down = ph >> sign, mh >> sign
+            ph, mh = (ph << one) | up, (mh << one) | down
+            pv[b], mv[b] = mh | ~(xv | ph), ph & xv
+            up, down = next_up, next_down
         best = np.minimum(best, score)
-    return np.where(size == 0, 0, best)
+    return np.where(size <= 0, 0, best)
 
 
-def leaks_in(index: ItemIndex, docs: Words, budget: int, lanes: int = 16384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, item number, fewest edits) for every document with a leaked stretch."""
+def leaks_in(index: ItemIndex, docs: Words, budget: int, lanes: int = 4096, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, item number, fewest edits) for every document with a leaked stretch.
+
+    Hits are verified ``most`` at a time, so that a piece that many stretches begin with takes time, not memory.
+    """
     none = np.zeros(0, np.int64)
     at, hashes = docs.grams(index.half)
-    if not len(at) or not len(index.hashes):
+    if not len(at) or not len(index.at):
         return none, none, none
     maybe = np.flatnonzero(index.sieve[hashes >> np.uint64(42)])
     at, hashes = at[maybe], hashes[maybe]
-    low, high = np.searchsorted(index.hashes, hashes, "left"), np.searchsorted(index.hashes, hashes, "right")
-    count = high - low
-    doc_word = np.repeat(at, count)
-    entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    item_word = index.at[entry]
     found = []
-    for step in (1, -1):
-        items, half = index.words, index.half
-        item = items.doc[item_word]
-        if step > 0:
-            room = item_word + 2 * half <= items.first_word[item + 1]
-            inner, outer = item_word + half, item_word + 2 * half
-        else:
-            room = item_word - half >= items.first_word[item]
-            inner, outer = item_word, item_word - half
-        d, i, inner, outer = doc_word[room], item[room], inner[room], outer[room]
-        for s in range(0, len(d), lanes):
-            dw, it, x, y = d[s : s + lanes], i[s : s + lanes], items.start[inner[s : s + lanes]], items.start[outer[s : s + lanes]]
-            doc = docs.doc[dw]
-            size = np.abs(y - x)
-            width = int(min(size.max(initial=0), 64))
-            if step > 0:
-                here, end = docs.start[dw + half], docs.doc_end[doc]
-                pattern, text = _flank(items.stream, x, y, 1, width), _flank(docs.stream, here, end, 1, width + budget)
-            else:
-                here, end = docs.start[dw] - 1, docs.doc_start[doc]
-                pattern, text = _flank(items.stream, x - 1, y, -1, width), _flank(docs.stream, here, end, -1, width + budget)
-            edits = myers_prefix(pattern, np.minimum(size, 64), text, budget)
-            edits = np.where((edits == 0) & ~_exact(items.stream, docs.stream, docs.is_start, x, here, end, size, step), 1, edits)
+    for step, (pieces, stretches) in index.halves.items():
+        low, high = np.searchsorted(pieces, hashes, "left"), np.searchsorted(pieces, hashes, "right")
+        upto = np.cumsum(high - low)
+        cuts = [0]
+        while cuts[-1] < len(at):
+            done = upto[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, done + most, "right"))))
+        for s, e in zip(cuts, cuts[1:]):
+            count = (high - low)[s:e]
+            doc_word = np.repeat(at[s:e], count)
+            entry = np.repeat(low[s:e] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            stretch, edits = _verify(index, docs, step, doc_word, stretches[entry], budget, lanes)
             good = edits <= budget
-            found.append((doc[good], it[good], edits[good]))
-    doc, item, edits = (np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
-    order = np.lexsort((edits, item, doc))
-    doc, item, edits = doc[order], item[order], edits[order]
+            found.append(_fewest(docs.doc[doc_word[good]], stretch[good], edits[good]))
+    doc, stretch, edits = _fewest(*(np.concatenate(x) for x in zip(*found)))
+    n = np.diff(index.first)[stretch]
+    item = index.items[np.repeat(index.first[stretch] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return _fewest(np.repeat(doc, n), item, np.repeat(edits, n))
+
+
+def _fewest(doc: np.ndarray, what: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row per (doc, what), with the fewest edits."""
+    order = np.lexsort((edits, what, doc))
+    doc, what, edits = doc[order], what[order], edits[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return doc[new], item[new], edits[new]
+    new[1:] = (doc[1:] != doc[:-1]) | (what[1:] != what[:-1])
+    return doc[new], what[new], edits[new]
+
+
+def _verify(index: ItemIndex, docs: Words, step: int, doc_word: np.ndarray, stretch: np.ndarray, budget: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edits of the other half of each stretch beside the hit at ``doc_word``; every flank is compared whole."""
+    items, half = index.words, index.half
+    begin = index.at[stretch]
+    x, y = (items.start[begin + half], items.start[begin + 2 * half]) if step > 0 else (items.start[begin + half], items.start[begin])
+    size = np.abs(y - x)
+    out = np.zeros(len(stretch), np.int64)
+    by_size = np.argsort(size, kind="stable")  # long flanks together: they take more blocks
+    for s in range(0, len(by_size), lanes):
+        now = by_size[s : s + lanes]
+        dw, a, b, n = doc_word[now], x[now], y[now], size[now]
+        doc = docs.doc[dw]
+        width = int(n.max(initial=0))
+        if step > 0:
+            here, end = docs.start[dw + half], docs.doc_end[doc]
+            pattern, text = _flank(items.stream, a, b, 1, width), _flank(docs.stream, here, end, 1, width + budget)
+        else:
+            here, end = docs.start[dw] - 1, docs.doc_start[doc]
+            pattern, text = _flank(items.stream, a - 1, b, -1, width), _flank(docs.stream, here, end, -1, width + budget)
+        edits = myers_prefix(pattern, n, text, budget)
+        # a stretch whose last word goes on in the text isn't there as it is
+        out[now] = np.where((edits == 0) & ~_exact(items.stream, docs.stream, docs.is_start, a, here, end, n, step), 1, edits)
+    return stretch, out
 
 
 def _exact(a: np.ndarray, b: np.ndarray, is_start: np.ndarray, x: np.ndarray, here: np.ndarray, end: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
@@ -225,7 +256,8 @@ def _exact(a: np.ndarray, b: np.ndarray, is_start: np.ndarray, x: np.ndarray, he
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 12, max_edits: int = 1, item_block: int = 20_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, item_id, edits``: documents that hold ``words`` consecutive words of an item.
 
-    ``edits`` is the fewest edits in the second half of any such stretch, 0 for the words as they are.
+    ``edits`` is the fewest edits (characters inserted, deleted or changed) in one half of any such stretch, the other being
+    as it is; 0 for the words as they are, and 1 if only the last word goes on in the document.
     The items are a stated query set: they are read to the driver in blocks of ``item_block`` and every
     block is run against all documents; whole texts are searched. Items shorter than ``words`` words and
     null or empty texts give no rows; copies of documents or items are all reported. Narrow: no shuffle.
