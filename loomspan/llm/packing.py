@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
+import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +26,25 @@ from loomspan.session import checkpointed, chunks, column
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+@functools.lru_cache(maxsize=2)
+def _encoding(vocabulary: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_lengths(docs: DataFrame, id_col: str, text: str, vocabulary: str) -> DataFrame:
-    """``id, tokens`` of every document that isn't blank, by the public byte-level vocabulary at ``vocabulary``."""
+    """``id, tokens`` of every document that isn't blank, by the public byte-level vocabulary at ``vocabulary``.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    The vocabulary is a file of the driver; it is sent to the workers. Null ids and null texts give no row.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(SparkFiles.get(name))
         for table in chunks(iter(batches), 1000):
             sizes = [len(encoding.encode_ordinary(t)) for t in column(table, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(table, "id"), pa.array(sizes, pa.int64())], names=["id", "tokens"])
@@ -161,7 +174,7 @@ def fill_containers(lengths: DataFrame, *, capacity: int = 2048, id_col: str = "
     within = Window.partitionBy("tokens", "chunk").orderBy("id", "part")
     ranked = items.withColumn("k", F.row_number().over(within) - 1).join(offset, ["tokens", "chunk"]).withColumn("rank", F.col("k") + F.col("offset"))
     # A plan row covers a range of ranks of one length; ranges are cut at multiples of `step` for an equi-join.
-    step = 1 << 16
+    step = 1 << 10  # few rows of the plan meet in a slot
     cut = plan.withColumn("slot", F.explode(F.sequence(F.floor(F.col("from_rank") / step), F.floor((F.col("to_rank") - 1) / step))))
     return (
         ranked.withColumn("slot", F.floor(F.col("rank") / step))

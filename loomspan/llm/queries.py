@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.loci import with_locus
 from loomspan.llm.leakage import find_leaks
 from loomspan.llm.overlap_sizes import overlap_sizes
+from loomspan.llm.packing import fill_containers, token_lengths
 from loomspan.llm.profile_clusters import describe_clusters, profile_clusters
 from loomspan.llm.quantiles import combine, percentiles, summaries
 from loomspan.llm.subject_areas import subject_shares
@@ -91,6 +92,16 @@ def p3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_clusters(records, profile_clusters(records))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", capacity: int = 2048) -> DataFrame:
+    """The container of every document that isn't blank, by its length in tokens."""
+    return fill_containers(token_lengths(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary), capacity=capacity)
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a stretch of an item with at most one edit in it, and the fewest edits."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("edits = 0").select("doc_id", "item_id")
@@ -114,7 +125,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sizes": p1_sizes, "p6_found": p6_found, "p6_daily": p6_daily, "p8_found": p8_found, "p3_found": p3_found, "p3_profiles": p3_profiles, "p9_found": p9_found, "p9_corpus": p9_corpus}
+    return {"p1_found": p1_found, "p1_sizes": p1_sizes, "p6_found": p6_found, "p6_daily": p6_daily, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p3_found": p3_found, "p3_profiles": p3_profiles, "p9_found": p9_found, "p9_corpus": p9_corpus}
 
 
 def oracle_sql() -> dict[str, str]:
