@@ -20,46 +20,50 @@ from loomspan.session import checkpointed, chunks, column
 COUNTS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("shared", T.LongType())])
 
 
-def pair_counts(values: np.ndarray, offsets: np.ndarray, heavy_degree: int, tile: int = 2048, block: int = 8192):
+def pair_counts(values: np.ndarray, offsets: np.ndarray, heavy_degree: int, tile: int = 2048, block: int = 8192, most: int = 1 << 21):
     """Counts of the pairs (a <= b, itself included) of set keys over lists of distinct set keys.
 
-    ``values[offsets[i]:offsets[i + 1]]`` are the sets of identifier i. Yields arrays (a, b, count).
+    ``values[offsets[i]:offsets[i + 1]]`` are the sets of identifier i. Yields arrays (a, b, count); a pair may come more than
+    once and its counts add up. Memory is bounded by ``most`` pairs and one pair of tiles.
     """
     keys, code = np.unique(values, return_inverse=True)
     degree = np.diff(offsets)
     sets = len(keys)
-    light = []
     for d in np.unique(degree[(degree > 0) & (degree <= heavy_degree)]):
         first = offsets[:-1][degree == d]
         rows = np.sort(code[first[:, None] + np.arange(d)], axis=1)
         x, y = np.triu_indices(d)
-        light.append((rows[:, x].astype(np.int64) * sets + rows[:, y]).ravel())
-    if light:
-        pair, count = np.unique(np.concatenate(light), return_counts=True)
-        yield keys[pair // sets], keys[pair % sets], count
+        for at in range(0, len(rows), most // len(x) + 1):
+            some = rows[at : at + most // len(x) + 1].astype(np.int64)
+            pair, count = np.unique((some[:, x] * sets + some[:, y]).ravel(), return_counts=True)
+            yield keys[pair // sets], keys[pair % sets], count
     heavy = np.flatnonzero(degree > heavy_degree)
-    tiles = range(0, sets, tile)
-    total = {}
-    for at in range(0, len(heavy), block):
-        some = heavy[at : at + block]
-        size = degree[some]
-        local = np.repeat(np.arange(len(some)), size)
-        start = np.repeat(offsets[:-1][some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        member = code[start + np.arange(len(start))]
-        dense = {}
+    size = degree[heavy]
+    local = np.repeat(np.arange(len(heavy)), size)
+    start = np.repeat(offsets[:-1][heavy] - (np.cumsum(size) - size), size)
+    member = code[start + np.arange(len(start))]
+    tiles = range(0, sets if len(heavy) else 0, tile)
+    parts = {}  # the memberships in each tile, by identifier
+    for t in tiles:
+        inside = np.flatnonzero((member >= t) & (member < t + tile))
+        parts[t] = local[inside], member[inside] - t, min(tile, sets - t)
+
+    def dense(t: int, at: int) -> np.ndarray:
+        rows, cols, width = parts[t]
+        a, b = np.searchsorted(rows, [at, at + block])
+        out = np.zeros((min(block, len(heavy) - at), width), np.float32)
+        out[rows[a:b] - at, cols[a:b]] = 1
+        return out
+
+    for s in tiles:
         for t in tiles:
-            inside = (member >= t) & (member < t + tile)
-            if inside.any():
-                dense[t] = np.zeros((len(some), min(tile, sets - t)), np.float32)
-                dense[t][local[inside], member[inside] - t] = 1
-        for s in dense:
-            for t in dense:
-                if s <= t:
-                    product = (dense[s].T @ dense[t]).astype(np.int64)  # exact: a block has fewer than 2**24 rows
-                    total[s, t] = total[s, t] + product if (s, t) in total else product
-    for (s, t), product in total.items():
-        x, y = np.nonzero(np.triu(product) if s == t else product)
-        yield keys[x + s], keys[y + t], product[x, y]
+            if s <= t and len(parts[s][0]) and len(parts[t][0]):
+                total = np.zeros((parts[s][2], parts[t][2]), np.int64)  # of one pair of tiles, however many sets there are
+                for at in range(0, len(heavy), block):
+                    left = dense(s, at)
+                    total += (left.T @ (left if s == t else dense(t, at))).astype(np.int64)  # exact: a block has fewer than 2**24 rows
+                x, y = np.nonzero(np.triu(total) if s == t else total)
+                yield keys[x + s], keys[y + t], total[x, y]
 
 
 def shared_counts(memberships: DataFrame, set_col: str, id_cols: list[str], *, heavy_degree: int = 12, chunk_rows: int = 200_000) -> DataFrame:
