@@ -31,6 +31,8 @@ class RankSketch:
         self.count = 0
         self.least = np.inf
         self.most = -np.inf
+        task = TaskContext.get()
+        self.salt = task.partitionId() if task else 0  # copied partitions throw different coins
         self.levels: list[list] = []  # each [compactions, number of sections, items]
 
     def _capacity(self, sections: int) -> int:
@@ -69,7 +71,7 @@ class RankSketch:
                 stretch = min(ones + 1, level[1])
                 kept = self._capacity(level[1]) // 2 + (level[1] - stretch) * self.section
                 low = (len(items) - kept) & ~1
-                odd = (level[0] * 0x9E3779B1 + h * 0x85EBCA6B + len(items)) >> 7 & 1  # a coin that repeats for repeated input
+                odd = (level[0] * 0x9E3779B1 + h * 0x85EBCA6B + len(items) + self.salt * 0xC2B2AE35) >> 7 & 1  # a coin that repeats if a task is run again
                 level[2] = items[low:]
                 above = self._level(h + 1)
                 above[2] = np.concatenate([above[2], items[odd:low:2]])
