@@ -3,10 +3,11 @@
 Random-hyperplane signatures bring similar records into common buckets. In every bucket the records are
 taken in hash order: the smallest one that nobody has absorbed becomes a pivot and absorbs all similar
 ones; every record is held against every pivot of its bucket, and records near the border of a pivot's
-reach also against each other. Hot buckets are cut into parts; their pivots meet in a second round. Links
-to pivots are then joined to components. The buckets are a shortcut that joins most of what is similar; an
-exact pass then holds every record against every record of another component, in tiles of dense products,
-so that no link depends on a bucket, a part or a pivot.
+reach also against each other. Hot buckets are cut into parts. Links to pivots are then joined to components. The
+buckets are a shortcut that joins much of what is similar; an exact pass then holds every record against every
+record of another component, in tiles of dense products, so that no link depends on a bucket, a part or a pivot.
+Members go to their closest pivot, and the medoids of clusters (or of pivots' groups) are computed from sums of
+standardised profiles, without pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from loomspan.session import checkpointed, chunks, column
 #: Design point of the buckets: angle between similar records whose missing entries are filled with their mean.
 #: It decides how much the buckets join before the exact pass, not what is found.
 ANGLE = 23.0
-MISSED = 0.003
+MISSED = 0.2
 LINKS = "rid bigint, pivot bigint, r double"
 
 
@@ -109,26 +110,55 @@ def open_links(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray,
             c = parent[c]
         return c
 
-    def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = x.shape[1]
+
+    def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Standardised rows (0 where missing), what is known, squares, missing entries, and the most that any k entries hold of the squares."""
         has = np.isfinite(v)
         z = np.where(has, v - np.where(has, v, 0).sum(axis=1, keepdims=True) / np.maximum(has.sum(axis=1, keepdims=True), 1), 0)
         z /= np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
+        held = np.zeros((len(v), width + 1))
+        held[:, 1:] = np.cumsum(-np.sort(-z * z, axis=1), axis=1)
         z = z.astype(np.float32)
-        return z, has.astype(np.float32), z * z
-
-    (zx, hx, qx), (zy, hy, qy) = prepared(x), prepared(y)
+        return z, has.astype(np.float32), z * z, width - has.sum(axis=1), held
+
+    def whole(a: slice, b: slice) -> np.ndarray:
+        """Pairs of a tile that may be similar, from all five products."""
+        n, sx, sy = hx[a] @ hy[b].T, zx[a] @ hy[b].T, hx[a] @ zy[b].T
+        cov = n * (zx[a] @ zy[b].T) - sx * sy
+        vx, vy = n * (qx[a] @ hy[b].T) - sx * sx, n * (hx[a] @ qy[b].T) - sy * sy
+        # single precision decides what is clear; the rest, and what little variance is left to, is computed again
+        return ((cov >= (least - 0.01) * np.sqrt(np.maximum(vx * vy, 0))) | (np.minimum(vx, vy) < 0.01)) & (n > 2.5)
+
+    def clear(a: slice, b: slice) -> np.ndarray | None:
+        """The same from one product, by what the missing entries can change at most; None if that says too little.
+
+        With c the product over common entries, r = (c - s t / n) / sqrt(v w), where s and t are the sums and v and w the
+        variances left there. What is lost of a row is at most ``held`` by as many entries as any row of the other side misses.
+        """
+        lost_x, lost_y = int(my[b].max(initial=0)), int(mx[a].max(initial=0))
+        n = width - lost_x - lost_y
+        if n < 3:
+            return None
+        ex, ey = kx[a][:, lost_x], ky[b][:, lost_y]
+        u, w = np.maximum(1 - ex * (1 + lost_x / n), 0), np.maximum(1 - ey * (1 + lost_y / n), 0)
+        least_c = least * np.sqrt(u * w.min(initial=1)) - np.sqrt(lost_x * ex * (lost_y * ey).max(initial=0)) / n - 1e-4
+        maybe = zx[a] @ zy[b].T >= least_c[:, None].astype(np.float32)
+        return maybe if np.count_nonzero(maybe) < 0.2 * maybe.size else None
+
+    # rows that miss much come last, so that most tiles miss little
+    ox, oy = np.argsort(np.isnan(x).sum(axis=1), kind="stable"), np.argsort(np.isnan(y).sum(axis=1), kind="stable")
+    x, y, cx, cy = x[ox], y[oy], cx[ox], cy[oy]
+    (zx, hx, qx, mx, kx), (zy, hy, qy, my, ky) = prepared(x), prepared(y)
     found: list[tuple[int, int, float]] = []
     for s in range(0, len(x), rows):
         a = slice(s, s + rows)
         for t in range(0, len(y), cols):
             b = slice(t, t + cols)
-            n, sx, sy = hx[a] @ hy[b].T, zx[a] @ hy[b].T, hx[a] @ zy[b].T
-            cov = n * (zx[a] @ zy[b].T) - sx * sy
-            vx, vy = n * (qx[a] @ hy[b].T) - sx * sx, n * (hx[a] @ qy[b].T) - sy * sy
-            # single precision decides what is clear; the rest, and what little variance is left to, is computed again
-            maybe = (cov >= (least - 0.01) * np.sqrt(np.maximum(vx * vy, 0))) | (np.minimum(vx, vy) < 0.01)
-            maybe &= (n > 2.5) & (cx[a][:, None] != cy[b][None, :])
-            i, j = np.nonzero(maybe)
+            maybe = clear(a, b)
+            i, j = np.nonzero(whole(a, b) if maybe is None else maybe)
+            other = cx[a][i] != cy[b][j]
+            i, j = i[other], j[other]
             for k in range(0, len(i), 1 << 15):
                 p, q = i[k : k + (1 << 15)] + s, j[k : k + (1 << 15)] + t
                 r = paired(x[p], y[q])
@@ -142,7 +172,7 @@ def open_links(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray,
                     parent = parent[parent]
                 cx, cy = parent[cx], parent[cy]
     p, q, r = zip(*found) if found else ((), (), ())
-    return np.array(p, int), np.array(q, int), np.array(r, float)
+    return ox[np.array(p, int)], oy[np.array(q, int)], np.array(r, float)
 
 
 def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -170,9 +200,8 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def profile_links(records: DataFrame, width: int, *, least: float = 0.9, count: int | None = None, most: int = 4096, seed: int = 7) -> DataFrame:
-    """``rid, pivot, r``: links of each record to similar pivots. ``records`` has ``rid`` and ``conditions``, one row per profile."""
-    count = count if count is not None else records.count()
+def signed_profiles(records: DataFrame, width: int, *, count: int, seed: int = 7) -> DataFrame:
+    """``rid, x, keys``: log2(1 + value) in single precision (NaN where missing) and the buckets of each record."""
     bits = max(6, math.ceil(math.log2(max(count, 1) / 24 + 1)))
     tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - ANGLE / 180) ** bits))
     rng = np.random.default_rng(seed)
@@ -196,12 +225,16 @@ def profile_links(records: DataFrame, width: int, *, least: float = 0.9, count:
                 names=["rid", "x", "keys"],
             )
 
-    signed = checkpointed(records.select("rid", "conditions").mapInArrow(sign, "rid bigint, x array<float>, keys array<bigint>"))
+    return checkpointed(records.select("rid", "conditions").mapInArrow(sign, "rid bigint, x array<float>, keys array<bigint>"))
+
+
+def profile_links(signed: DataFrame, width: int, *, least: float = 0.9, most: int = 4096, seed: int = 7) -> DataFrame:
+    """``rid, pivot, r``: links of each record to similar pivots of its buckets."""
     placed = signed.select("rid", "x", F.explode("keys").alias("bucket"))
     hot = placed.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / most).alias("parts"))
     hot = checkpointed(hot)  # at most rows * tables / most buckets
     split = placed.join(hot, "bucket", "left").select(
-        "bucket", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.col("parts").isNotNull().alias("again"), "rid", "x"
+        "bucket", F.coalesce(F.pmod(F.xxhash64("rid", "bucket"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "rid", "x"
     )
 
     def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,17 +245,12 @@ def profile_links(records: DataFrame, width: int, *, least: float = 0.9, count:
         def out(table: pa.Table) -> pa.RecordBatch:
             bucket, part = column(table, "bucket").to_numpy(), column(table, "part").to_numpy()
             ids = column(table, "rid").to_numpy()
-            again = column(table, "again").to_numpy(zero_copy_only=False)
             x = column(table, "x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0)) + 1
             links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip([0, *cut], [*cut, len(bucket)]):
                 if e - s > 1:
-                    a, b, r, pivot = absorb(ids[s:e], x[s:e].astype(float), least)
-                    links.append((a, b, r))
-                    if again[s]:
-                        mark = ids[s:e][pivot]
-                        links.append((np.full(len(mark), -1 - bucket[s]), mark, np.zeros(len(mark))))
+                    links.append(absorb(ids[s:e], x[s:e].astype(float), least)[:3])
             a, b, r = (np.concatenate(v) for v in zip(*links)) if links else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(r.astype(float))], names=names)
 
@@ -240,38 +268,30 @@ def profile_links(records: DataFrame, width: int, *, least: float = 0.9, count:
         if held:
             yield out(pa.concat_tables(held).combine_chunks())
 
-    def round_of(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.xxhash64("rid", F.lit(seed))).mapInArrow(cluster, LINKS)
+    dealt = split.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.xxhash64("rid", F.lit(seed)))
+    return dealt.mapInArrow(cluster, LINKS).groupBy("rid", "pivot").agg(F.max("r").alias("r"))
 
-    first = checkpointed(round_of(split).groupBy("rid", "pivot").agg(F.max("r").alias("r")))
-    links = first.where("r > 0")
-    left = first.where("rid < 0").select((-1 - F.col("rid")).alias("bucket"), F.col("pivot").alias("rid"))
-    if not hot.isEmpty():
-        met = left.join(signed.select("rid", "x"), "rid").select("bucket", F.lit(0).alias("part"), F.lit(False).alias("again"), "rid", "x")
-        links = links.unionByName(round_of(met).groupBy("rid", "pivot").agg(F.max("r").alias("r")))
-    return links
 
-
-def links_between(profiles: DataFrame, labels: DataFrame, width: int, *, least: float = 0.9, count: int, tile: int = 40_000) -> DataFrame:
+def links_between(signed: DataFrame, labels: DataFrame, width: int, *, least: float = 0.9, count: int, tile: int = 40_000) -> DataFrame:
     """``a, b``: components that a pair of similar records joins; every pair of records of two components is compared.
 
-    ``profiles`` has ``rid`` and ``conditions``, ``labels`` the component (``node, component``) of records that
+    ``signed`` has ``rid`` and ``x``, ``labels`` the component (``node, component``) of records that
     have one. Records are dealt to groups of about ``tile``; each pair of groups is a task.
     """
-    groups = max(8, math.ceil(count / tile))
+    groups = max(6, math.ceil(count / tile))
     cells = groups * (groups + 1) // 2
     own = F.col("own")
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    placed = profiles.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select(
-        F.coalesce("component", "rid").alias("at"), "conditions", F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(groups)).cast("int").alias("own")
+    placed = signed.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select(
+        F.coalesce("component", "rid").alias("at"), "x", F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(groups)).cast("int").alias("own")
     )
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
-        (high * (high + 1) / 2 + low).cast("int").alias("cell"), (own == low).alias("first"), (own == high).alias("second"), "at", "conditions"
+        (high * (high + 1) / 2 + low).cast("int").alias("cell"), (own == low).alias("first"), (own == high).alias("second"), "at", "x"
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [
-            (column(b, "first").to_numpy(zero_copy_only=False), column(b, "second").to_numpy(zero_copy_only=False), column(b, "at").to_numpy(), _matrix(column(b, "conditions"), width))
+            (column(b, "first").to_numpy(zero_copy_only=False), column(b, "second").to_numpy(zero_copy_only=False), column(b, "at").to_numpy(), column(b, "x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float))
             for b in chunks(iter(batches), 4096)
         ]
         if parts:
@@ -290,6 +310,7 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
     copies of a profile are one class and count as similar if the profile has at least three positive
     values that differ. Null arrays, records without variance and null ids are in no cluster; arrays may
     differ in length. Two records need three common entries. ``pivot`` is the closest pivot of the record's class.
+    Logarithms are held in single precision, which moves a correlation by less than one in a million.
     """
     clean = F.transform(F.col(values), lambda v: F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), v.cast("double")))
     usable = df.where(F.col(id_col).isNotNull() & F.col(values).isNotNull()).select(F.col(id_col).cast("bigint").alias("rid"), clean.alias("conditions"))
@@ -302,9 +323,10 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
     size = profiles.agg(F.count(F.lit(1)), F.max(F.size("conditions"))).first()
     if not size[0]:
         return reps.select("rid", F.col("rep").alias("head_rid"), F.col("rep").alias("pivot"))
-    links = checkpointed(profile_links(profiles, int(size[1]), least=least, count=int(size[0]), **options))
+    signed = signed_profiles(profiles, int(size[1]), count=int(size[0]))
+    links = checkpointed(profile_links(signed, int(size[1]), least=least, **options))
     near = components(links, "rid", "pivot")
-    rest = checkpointed(links_between(profiles, near, int(size[1]), least=least, count=int(size[0])))
+    rest = checkpointed(links_between(signed, near, int(size[1]), least=least, count=int(size[0])))
     if not rest.isEmpty():
         wide = components(rest, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         alone = wide.join(near, wide["component"] == near["node"], "left_anti").select(F.col("component").alias("node"), "whole")
@@ -320,32 +342,31 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
     )
 
 
-def describe_clusters(df: DataFrame, clusters: DataFrame, id_col: str = "rid", values: str = "conditions", *, typical: int = 3) -> DataFrame:
-    """``head_rid, size, place, rid, r``: the most typical members of each cluster, best first.
+def describe_clusters(df: DataFrame, clusters: DataFrame, id_col: str = "rid", values: str = "conditions", *, by: str = "head_rid", typical: int = 3) -> DataFrame:
+    """``head_rid, size, place, rid, r``: the most typical members of each cluster, best first; the first is its medoid.
 
-    Members are ranked by their correlation with the mean profile of the cluster (records centred to
-    mean 0 first, as levels differ); ties go to the smaller id. Means are combined before the shuffle.
+    ``r`` is a member's mean correlation with the other members. As a correlation is the product of two standardised
+    profiles, that mean is one product with the sum of all of them, so no pairs are made; sums are combined before the
+    shuffle. Missing entries count as the record's mean. Ties go to the smaller id. ``by`` = ``pivot`` describes the
+    groups of the closest pivots instead. Null ids and groups of one have no typical member.
     """
     logs = F.transform(F.col(values), lambda v: F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), F.log2(v.cast("double") + 1)))
     known = F.filter("x", lambda v: v.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v, lambda a: a / F.greatest(F.size(known), F.lit(1)))
-    rows = df.select(F.col(id_col).cast("bigint").alias("rid"), logs.alias("x")).withColumn("x", F.transform("x", lambda v: v - mean))
-    member = rows.join(clusters.select("rid", "head_rid"), "rid")
-    centre = member.select("head_rid", F.posexplode("x").alias("pos", "v")).groupBy("head_rid", "pos").agg(F.avg("v").alias("m"))
-    centres = centre.groupBy("head_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
-    sizes = clusters.groupBy("head_rid").agg(F.count(F.lit(1)).alias("size"))
-
-    pairs = F.filter(F.arrays_zip("x", "c"), lambda p: p["x"].isNotNull() & p["c"].isNotNull())
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + f(p))
-    n, sx, sy = F.size(pairs), total(lambda p: p["x"]), total(lambda p: p["c"])
-    cov = n * total(lambda p: p["x"] * p["c"]) - sx * sy
-    var = (n * total(lambda p: p["x"] * p["x"]) - sx * sx) * (n * total(lambda p: p["c"] * p["c"]) - sy * sy)
+    rows = df.select(F.col(id_col).cast("bigint").alias("rid"), logs.alias("x")).withColumn("x", F.transform("x", lambda v: F.coalesce(v - mean, F.lit(0.0))))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
+    rows = rows.select("rid", F.transform("x", lambda v: v / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("x"))
+    member = rows.join(clusters.select("rid", F.col(by).alias("head_rid")), "rid")
+    sums = member.select("head_rid", F.posexplode("x").alias("pos", "v")).groupBy("head_rid", "pos").agg(F.sum("v").alias("m"))
+    centres = sums.groupBy("head_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
+    sizes = clusters.groupBy(F.col(by).alias("head_rid")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    product = F.aggregate(F.zip_with("x", F.slice("c", F.lit(1), F.size("x")), lambda v, c: v * c), F.lit(0.0), lambda a, v: a + v)
     rank = Window.partitionBy("head_rid").orderBy(F.desc("r"), "rid")
     return (
         member.join(centres, "head_rid")
-        .select("head_rid", "rid", F.round(F.when(var > 0, cov / F.sqrt(var)).otherwise(0.0), 9).alias("r"))
+        .join(sizes, "head_rid")
+        .select("head_rid", "size", "rid", F.round((product - 1) / (F.col("size") - 1), 9).alias("r"))
         .withColumn("place", F.row_number().over(rank))
         .where(F.col("place") <= typical)
-        .join(sizes, "head_rid")
         .select("head_rid", "size", "place", "rid", "r")
     )
