@@ -140,6 +140,8 @@ def test_clusters_match_brute_force(spark, most):
     want = brute_clusters([r[0] for r in rows], [r[1] for r in rows])
     assert got == want
     top = describe_clusters(df, clusters).collect()
+    groups = {r.head_rid: r["size"] for r in describe_clusters(df.drop("pivot"), clusters, by="pivot").collect()}
+    assert groups and set(groups) <= set(got) and max(groups.values()) <= len(got)
     sizes = {}
     for v in want.values():
         sizes[v] = sizes.get(v, 0) + 1
@@ -148,6 +150,17 @@ def test_clusters_match_brute_force(spark, most):
     assert profile_clusters(df.limit(0)).count() == 0
 
 
+def test_medoid_is_the_member_closest_to_all_others(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(10, 1.2, 48)
+    rows = [(i, [float(v) for v in 2 ** (base + rng.normal(0, 0.15, 48) + rng.normal(0, 1)) - 1]) for i in range(12)]
+    df = spark.createDataFrame(rows, "rid long, conditions array<double>")
+    r = np.corrcoef(np.log2(1 + np.array([v for _, v in rows])))
+    mean = (r.sum(axis=1) - 1) / 11
+    top = sorted(describe_clusters(df, profile_clusters(df)).collect(), key=lambda x: x.place)
+    assert [x.rid for x in top] == list(np.argsort(-mean)[:3]) and np.allclose([x.r for x in top], np.sort(mean)[::-1][:3])
+
+
 def test_chain_is_one_cluster(spark):
     rng = np.random.default_rng(4)
     a, b = rng.normal(10, 1, 48), rng.normal(10, 1, 48)
@@ -259,6 +272,20 @@ def test_fill_containers(spark):
     assert fill_containers(df.limit(0)).count() == 0
 
 
+def test_containers_of_all_documents(spark, data):
+    """Every document once, none over the capacity, little space unused against the sum of all lengths."""
+    from loomspan.llm.queries import p7_containers
+
+    rows = p7_containers(spark, data, capacity=256).collect()
+    load, parts = {}, {}
+    for r in rows:
+        load[r.container] = load.get(r.container, 0) + r.tokens
+        parts[r.id] = parts.get(r.id, 0) + r.tokens
+    want = {r[0] for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").where(F.regexp_replace("text", r"[\\s\u00a0]+", "") != "").select("doc_id").collect()}
+    assert set(parts) == want and max(load.values()) <= 256 and len(rows) == len({(r.id, r.part) for r in rows})
+    assert len(load) <= 1.03 * sum(load.values()) / 256 + 1
+
+
 def test_token_lengths(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     df = spark.createDataFrame([(1, "the cat sat"), (2, ""), (3, "  \n"), (4, None), (5, "x" * 20_000)], "doc_id long, text string")
@@ -308,6 +335,36 @@ def test_leak_shapes(spark):
     assert [(r.doc_id, r.edits) for r in loose] == [(1, 1)]
 
 
+def test_myers_over_several_blocks():
+    rng = np.random.default_rng(1)
+    pattern = rng.integers(97, 101, (200, 150)).astype(np.uint8)
+    text = np.concatenate([pattern, rng.integers(97, 101, (200, 3)).astype(np.uint8)], axis=1)
+    size = rng.integers(0, 151, 200)
+    for k in range(200):
+        for at in rng.integers(0, 150, k % 4):
+            text[k, at] = 120
+        if k % 5 == 0:
+            text[k] = np.insert(text[k], rng.integers(0, 150), 121)[:-1]
+    for budget in (1, 3):
+        got = myers_prefix(pattern, size, text, budget)
+        for p, m, t, g in zip(pattern, size, text, got):
+            assert g == min([budget + 1, *levenshtein(p[:m], t)[1:]]) if m else g == 0
+
+
+def test_long_flanks_are_compared_whole():
+    """Twelve long words: a change behind the 64th character of a half counts like any other."""
+    words = [f"{c}{'immunoprecipitation' * 2}{k}" for k, c in enumerate("abcdefghijklmno")]
+    item = " ".join(words)
+    docs = {
+        "same": words[1:13], "two words replaced": [*words[1:11], "other", "things"], "late letter": [*words[1:12], words[12][:-1] + "x"], "early letter": ["x" + words[1][1:], *words[2:13]],
+        "two letters": [*words[1:12], "xx" + words[12][2:]], "goes on": [*words[1:12], words[12] + "s"], "accents": [*words[1:12], words[12][:-2] + "éé"],
+    }
+    index = ItemIndex.build([5, 6], [item, item], 6)
+    d, i, e = leaks_in(index, Words([plain(" ".join(w)) for w in docs.values()]), 1, most=1)
+    got = {list(docs)[k]: int(x) for k, x in zip(d, e)}
+    assert got == {"same": 0, "late letter": 1, "early letter": 1, "goes on": 1} and sorted(set(i.tolist())) == [0, 1] and len(d) == 8
+
+
 def test_leaks_match_brute_force():
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcde", k=rng.randrange(1, 4))) for _ in range(12)]
