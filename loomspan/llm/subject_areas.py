@@ -16,11 +16,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.leakage import _BACK, _BASE, _WORD, _powers, plain
-from loomspan.session import checkpointed, chunks, column
+from loomspan.session import checkpointed, chunks, column, laid_out
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -156,8 +156,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
     labelled documents, so a subject that no label notes is found too. Without it the subjects are those noted.
 
     A round (1) gives every document the subjects its linking words speak for, seeds only those noted for them, and
-    (2) gives every word the subjects of its documents, each mention shared among the document's subjects as
-    word and document agree. Rounds end when the words' subjects move by less than ``settled`` on average,
+    (2) gives every word the subjects of its documents: a mention goes to the word's subject where the document has it,
+    else to the document's. Rounds end when the shares of the mentioned words move by less than ``settled`` on average,
     or after ``most_rounds``. All documents and all labels take part. The texts are read twice: the labelled ones for the first
     words, then all of them for the links, which are laid out by document once; a round shuffles sums per word only.
 
@@ -209,8 +209,8 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
             s.whole[:] = True
             yield counts(s, [np.array([other])] * len(ids), own=False)
 
-    def gather(parts: DataFrame, excess: float, common: float, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words that speak for a class with their shares, and the words common to all; picked on the workers.
+    def gather(parts: DataFrame, excess: float, common: float, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words that speak for a class with their shares and mentions, and the words common to all; picked on the workers.
 
         A word is kept if its share in one class is clear, by ``excess`` of the way from an even share to 1, and its rate there is at least ``common`` times that
         of the class's 20th most common clear word: rarer words that happen to fall into one class prove nothing.
@@ -239,14 +239,14 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
                 keep = np.flatnonzero((top >= clear) | ((top < dull) & (mass.sum(axis=1) >= often)))
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * count), pa.array(share[keep].ravel()))
                 best = np.where(top[keep] >= clear, best[keep], -1)
-                yield pa.RecordBatch.from_arrays([column(t, "word").take(pa.array(keep)), pa.array(best.astype(np.int32)), pa.array(rate[keep, best]), shares], names=["word", "best", "rate", "shares"])
+                yield pa.RecordBatch.from_arrays([column(t, "word").take(pa.array(keep)), pa.array(best.astype(np.int32)), pa.array(rate[keep, best]), column(t, "n").take(pa.array(keep)), shares], names=["word", "best", "rate", "n", "shares"])
 
-        scored = checkpointed(by_word.where("n >= 2").mapInArrow(score, "word int, best int, rate double, shares array<double>"))
+        scored = checkpointed(by_word.where("n >= 2").mapInArrow(score, "word int, best int, rate double, n double, shares array<double>"))
         top = scored.withColumn("place", F.row_number().over(Window.partitionBy("best").orderBy(F.desc("rate"), "word"))).where("place <= 20 and best >= 0")
         least = top.groupBy("best").agg((common * F.min("rate")).alias("least"))
-        rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "shares").orderBy("word").collect()  # one row per class on the right
+        rows = scored.join(F.broadcast(least), "best").where("rate >= least").select("word", "n", "shares").orderBy("word").collect()  # one row per class on the right
         dull_words = np.sort(np.array([r[0] for r in scored.where("best < 0").select("word").collect()], np.int32))
-        return np.array([r.word for r in rows], np.int32), np.array([r.shares for r in rows]).reshape(-1, count), dull_words
+        return np.array([r.word for r in rows], np.int32), np.array([r.shares for r in rows]).reshape(-1, count), np.array([r.n for r in rows]), dull_words
 
     told_weight = np.zeros(count)
     fixed = spark.createDataFrame([], COUNTED)
@@ -262,29 +262,27 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         fixed = fixed.unionByName(item_source.mapInArrow(item_counts, COUNTED))
     fixed = checkpointed(fixed)
     seeded = source.join(seeds, "doc_id")
-    words, shares, dull = gather(seeded.mapInArrow(seed_counts, COUNTED).unionByName(fixed), 0.3, 0.3, 20.0)
+    words, shares, _, dull = gather(seeded.mapInArrow(seed_counts, COUNTED).unionByName(fixed), 0.3, 0.3, 20.0)
 
     def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s, _ in _blocks(batches, chunk_chars):
             yield _statements(ids, s, dull)
 
     tongue_of = F.coalesce(F.create_map(*[F.lit(x) for g in spoken for x in (g, tongue[g])])[F.col("lang")], F.lit(tongues - 1)).cast("int")
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = source.mapInArrow(edges, EDGES).select("doc_id", tongue_of.alias("tongue"), "words", "ends")
-    graph = checkpointed(placed.repartition(slices, "doc_id").join(seeds.hint("shuffle_hash"), "doc_id", "left"))
+    graph = laid_out(placed.join(seeds, "doc_id", "left"), "doc_id")
 
     def linking(words: np.ndarray, shares: np.ndarray) -> DataFrame:
-        """The linking words; broadcast as long as they are as few as they should be."""
-        offsets = np.arange(len(words) + 1, dtype=np.int32) * count
-        parts = {"word": pa.array(words), "class": pa.array(shares.argmax(axis=1).astype(np.int32)), "s": pa.array(shares.max(axis=1, initial=0)), "share": pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel()))}
-        rows = spark.createDataFrame(pa.table(parts), "word int, class int, s double, share array<double>")
+        """The linking words with the class each speaks for; broadcast as long as they are as few as they should be."""
+        parts = {"word": pa.array(words), "class": pa.array(shares.argmax(axis=1).astype(np.int32)), "s": pa.array(shares.max(axis=1, initial=0))}
+        rows = spark.createDataFrame(pa.table(parts), "word int, class int, s double")
         return F.broadcast(rows) if len(words) <= 200_000 else rows
 
     def labels_of(links: DataFrame) -> DataFrame:
-        """``graph`` with ``now``: the subjects of each document as (class, weight), weights adding up to 1."""
+        """``graph`` with ``now``: the subjects of each document as (class, s), s adding up to 1. By document throughout: no shuffle."""
         told_by = graph.select("doc_id", F.explode("words").alias("word")).join(links.where(F.col("class") != none), "word")
         per_doc = told_by.groupBy("doc_id", "class").agg(F.sum("s").alias("s")).groupBy("doc_id").agg(F.collect_list(F.struct("class", "s")).alias("scores"), F.sum("s").alias("total"))
-        strong = F.when(F.col("total") >= 2, F.filter("scores", lambda x: x["s"] >= 0.1 * F.col("total")))
+        strong = F.when(F.col("total") >= 2, F.filter("scores", lambda x: x["s"] * 6 >= F.col("total")))
         strong = F.coalesce(strong, F.array().cast("array<struct<class:int,s:double>>"))
         alike = F.transform("noted", lambda c: F.struct(c.alias("class"), F.lit(1.0).alias("s")))
         agreed = F.filter("strong", lambda x: F.array_contains("noted", x["class"]))
@@ -292,26 +290,27 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
         joined = graph.join(per_doc.hint("shuffle_hash"), "doc_id", "left").withColumn("strong", strong).withColumn("clamped", clamped)
         # the rest of a document speaks for none; a sentence on a subject holds about two words of it
         quiet = F.when(F.size("clamped") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("total") / (2 * F.size("ends"))))
-        weighed = joined.withColumn("even", _even("clamped")).withColumn("quiet", F.coalesce(quiet, F.lit(0.0)))
+        weighed = joined.withColumn("quiet", F.coalesce(quiet, F.lit(0.0)))
+        total = F.aggregate("clamped", F.lit(0.0), lambda a, x: a + x["s"])
+        even = F.transform("clamped", lambda x: F.struct(x["class"].alias("class"), (x["s"] * (1 - F.col("quiet")) / total).alias("s")))
         rest = F.array(F.struct(F.lit(none).alias("class"), F.col("quiet").alias("s")))
-        now = F.when(F.col("quiet") == 0, F.col("even")).when(F.col("quiet") == 1, rest).otherwise(F.concat(F.transform("even", lambda x: F.struct(x["class"].alias("class"), (x["s"] * (1 - F.col("quiet"))).alias("s"))), rest))
+        now = F.when(F.col("quiet") == 0, even).when(F.col("quiet") == 1, rest).otherwise(F.concat(even, rest))
         return weighed.select("doc_id", "tongue", "words", F.size("ends").alias("n"), now.alias("now"))
 
     def masses(links: DataFrame) -> DataFrame:
-        mentions = labels_of(links).where(F.size("now") > 0).select("tongue", "now", "n", F.explode(F.concat("words", F.array(F.lit(0)))).alias("word")).join(links.select("word", "share"), "word", "left")
-        agreed = F.transform("now", lambda x: F.struct(x["class"].alias("class"), (x["s"] * F.get("share", x["class"])).alias("s")))
-        flow = F.when((F.size("now") == 1) | F.col("share").isNull(), F.col("now")).otherwise(_even("agreed"))
-        spread = mentions.withColumn("agreed", F.when(F.size("now") > 1, agreed)).select("tongue", "word", F.when(F.col("word") == 0, F.col("n")).otherwise(1).alias("times"), F.inline(flow))
-        summed = spread.groupBy("word", (F.col("class") + F.col("tongue") * count).cast("int").alias("class")).agg(F.sum(F.col("s") * F.col("times")).alias("weight"))
-        return summed.unionByName(fixed)
+        """Where a word's class is one of the document's, the mention is that class's; else the document's subjects share it."""
+        labelled = labels_of(links).where(F.size("now") > 0).withColumn("classes", F.col("now.class"))
+        mentions = labelled.select("tongue", "now", "classes", "n", F.explode(F.concat("words", F.array(F.lit(0)))).alias("word")).join(links.drop("s"), "word", "left")
+        flow = F.when(F.array_contains("classes", F.col("class")), F.array(F.struct("class", F.lit(1.0).alias("s")))).otherwise(F.col("now"))
+        spread = mentions.select("tongue", "word", F.when(F.col("word") == 0, F.col("n")).otherwise(1).alias("times"), F.inline(flow).alias("to", "s"))
+        return spread.groupBy("word", (F.col("to") + F.col("tongue") * count).cast("int").alias("class")).agg(F.sum(F.col("s") * F.col("times")).alias("weight")).unionByName(fixed)
 
     for _ in range(most_rounds):
         before = dict(zip(words.tolist(), shares))
-        words, shares, _ = gather(masses(linking(words, shares)), 0.565, 0.15, 0.0)
+        words, shares, often, _ = gather(masses(linking(words, shares)), 0.565, 0.15, 0.0)
         nothing = np.zeros(count)
-        now = dict(zip(words.tolist(), shares))
-        moved = sum(np.abs(now.get(w, nothing) - before.get(w, nothing)).sum() for w in {*now, *before})
-        if moved <= settled * max(len(now), 1):
+        moved = sum(n * np.abs(now - before.get(w, nothing)).sum() for w, now, n in zip(words.tolist(), shares, often)) / max(often.sum(), 1)
+        if moved <= settled:
             break
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +343,3 @@ def subject_shares(docs: DataFrame, labels: DataFrame, items: DataFrame | None =
 
     return graph.select("doc_id", "words", "ends").mapInArrow(classify, "doc_id bigint, subject string, sentences bigint, of bigint, share double")
 
-
-def _even(name: str) -> Column:
-    """(class, s) pairs with weights that add up to 1; none if they are all 0."""
-    total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x["s"])
-    return F.when(total > 0, F.transform(name, lambda x: F.struct(x["class"].alias("class"), (x["s"] / total).alias("s"))))
