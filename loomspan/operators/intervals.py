@@ -7,15 +7,18 @@ are part of the join key, so a chromosome that holds everything is still spread.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import operator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.loci import MINUS, PLUS, distance, expand, loc, midpoint, overlaps, pointify
 from loomspan.operators.periods import covered_and_gaps
-from loomspan.session import checkpointed
+from loomspan.session import checkpointed, laid_out
 
 BIN = 10_000
 #: An interval over more bins than this is long: it is joined on bins as many times as wide.
@@ -93,18 +96,38 @@ def meet(a: DataFrame, b: DataFrame, wide: callable, delta: int, *, logic: str =
     if logic not in ("not", "notinleft", "notinright"):
         raise ValueError(f"unknown logic {logic!r}")
 
-    def without(side: DataFrame, other: DataFrame, key: str) -> DataFrame:
-        found = _pairs(side, other, loc_key, wide, bin_size, long_intervals).select(F.col(f"a.{key}").alias("_hit")).distinct()
-        return side.join(found, side[key] == F.col("_hit"), "left_anti").withColumn("loc", pointify(F.col(loc_key)))
-
     parts = []
     if logic in ("not", "notinleft"):
-        parts.append(without(b, a, b_id))
+        parts.append(without(b, a, wide, loc_key=loc_key))
     if logic in ("not", "notinright"):
-        parts.append(without(a, b, a_id))
+        parts.append(without(a, b, wide, loc_key=loc_key))
+    parts = [p.withColumn("loc", pointify(F.col(loc_key))) for p in parts]
     return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
+def without(df: DataFrame, other: DataFrame, wide: callable, *, loc_key: str = "loc", block_bits: int = 20) -> DataFrame:
+    """Rows of ``df`` whose ``wide`` interval overlaps none of ``other``; rows with a null or reversed interval overlap nothing.
+
+    Existence only, no pairs: the rows of ``other`` become covered periods, which are disjoint, and each row is tested
+    against the last period that begins at or before its end. That look runs in blocks of positions, with the last
+    period of the blocks before carried in, so neither a pile-up nor a hot chromosome makes one big task.
+    """
+    w, o = wide(F.col(loc_key)), wide(other[loc_key])
+    periods = covered_and_gaps(other.select(o["chrom"].alias("chrom"), o["left"].alias("left"), o["right"].alias("right")), ["chrom"], "left", "right").where("kind = 'covered'")
+    sound = F.coalesce(w["chrom"].isNotNull() & (w["left"] <= w["right"]), F.lit(False))
+    asked = df.select(F.struct("*").alias("row"), w["chrom"].alias("chrom"), w["right"].alias("pos"), w["left"].alias("from"), sound.alias("sound"))
+    spots = periods.select(F.lit(None).cast(asked.schema["row"].dataType).alias("row"), "chrom", F.col("lo").alias("pos"), F.lit(None).cast("bigint").alias("from"), F.col("hi").alias("until"))
+    both = spots.unionByName(asked.where("sound").drop("sound").withColumn("until", F.lit(None).cast("bigint")))
+    both = both.withColumn("block", F.shiftright("pos", block_bits))
+    in_block = Window.partitionBy("chrom", "block").orderBy("pos", F.col("until").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_in", F.last("until", ignorenulls=True).over(in_block)).where("row is not null")
+    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("chrom", "block").agg(F.max("until").alias("_last"))
+    blocks = blocks.select("chrom", "block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    alone = seen.join(blocks, ["chrom", "block"]).where(F.coalesce(F.coalesce("_in", "_carry") < F.col("from"), F.lit(True)))
+    return alone.select("row.*").unionByName(asked.where("not sound").select("row.*"))
+
+
 def in_list(df: DataFrame, other: DataFrame, *, mode: str = "collide", delta: int = 200, loc_key: str = "loc", key: str = "rid", bin_size: int = BIN) -> DataFrame:
     """``df`` with ``found`` and ``nearest_dist``: is there a row of ``other`` within reach, and the smallest distance to one."""
     wide = (lambda l: expand(pointify(l), delta)) if mode == "collide" else (lambda l: expand(l, delta))
@@ -243,12 +266,13 @@ def cluster_blocks(rows: DataFrame, list_ix: str, lists: int, *, merge_distance:
     return out.select("island.chrom", "island.left", "island.right", "members", cid.alias("cid"))
 
 
-def dedupe_by_loc(df: DataFrame, *, mode: str = "pointify_expand", delta: int = 200, loc_key: str = "loc", order: str = "rid", strand: str | None = None, delete_any_matches: bool = False, bin_size: int | None = None) -> DataFrame:
+def dedupe_by_loc(df: DataFrame, *, mode: str = "pointify_expand", delta: int = 200, loc_key: str = "loc", order: str = "rid", strand: str | None = None, delete_any_matches: bool = False, bin_size: int = 1 << 24) -> DataFrame:
     """Keep a row if it overlaps no earlier kept row (by ``order``, a unique key); with ``delete_any_matches`` only rows that overlap none.
 
-    The greedy choice is made in rounds: a row that comes first in every bin it touches is kept, and rows
-    overlapping it are dropped. Only the first row of a bin is compared with the bin's rows, so a pile of
-    overlapping rows costs one comparison each. Null locs are kept.
+    Of rows with the same interval only the first can be kept. The others are taken in order inside blocks of
+    ``bin_size`` positions, one pass a block; a row over a block's border is settled when all its blocks agree, and what waits
+    for one goes into the next round. Rounds are bounded by the blocks of a chromosome, whatever the rows or
+    the length of a chain; most data takes two. Null locs are kept.
     """
     wide = (lambda l: expand(pointify(l), delta)) if mode == "pointify_expand" else (lambda l: l)
     by = [strand] if strand else []
@@ -256,49 +280,112 @@ def dedupe_by_loc(df: DataFrame, *, mode: str = "pointify_expand", delta: int =
         placed = islands(df, wide, loc_key=loc_key, by=by)
         alone = placed.groupBy("island", *by).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_id")).where("n = 1")
         return df.join(alone.select("_id"), df[order] == F.col("_id"), "left_semi").unionByName(df.where(F.col(loc_key).isNull()))
-    size = bin_size or (2 * (2 * delta + 1) if mode == "pointify_expand" else 2000)
     w = wide(F.col(loc_key))
     where = F.concat_ws("\x01", w["chrom"], *[F.col(c).cast("string") for c in by])
-    left = checkpointed(df.where(F.col(loc_key).isNotNull()).select(F.col(order).alias("id"), where.alias("c"), w["left"].alias("l"), w["right"].alias("r")))
+    spans = df.where(F.col(loc_key).isNotNull()).groupBy(where.alias("c"), w["left"].alias("l"), w["right"].alias("r")).agg(F.min(order).alias("id"))
+    low, high = F.floor(F.least("l", "r") / bin_size), F.floor(F.greatest("l", "r") / bin_size)
+    left = checkpointed(spans.withColumn("kept", F.lit(False)))
+    kind = df.schema[order].dataType.simpleString()
     kept: list[DataFrame] = []
     while not left.isEmpty():
-        touched = left.select("*", F.explode(F.sequence(F.floor(F.col("l") / size), F.floor(F.col("r") / size))).alias("bin"))
-        leaders = touched.groupBy("c", "bin").agg(F.min_by(F.struct("id", "l", "r"), "id").alias("f"))
-        spans = F.floor(F.col("f.r") / size) - F.floor(F.col("f.l") / size) + 1
-        certain = leaders.groupBy("f.id").agg(F.count(F.lit(1)).alias("n"), F.first(spans).alias("spans")).where("n = spans").select("id")
-        certain = checkpointed(certain)
-        kept.append(certain)
-        chosen = leaders.join(certain.withColumnRenamed("id", "_id"), F.col("f.id") == F.col("_id"), "left_semi")
-        hit = touched.join(chosen, ["c", "bin"]).where((F.col("r") >= F.col("f.l")) & (F.col("l") <= F.col("f.r"))).select("id").distinct()
-        left = checkpointed(left.join(hit, "id", "left_anti"))
+        placed = left.select("*", (low != high).alias("shared"), F.explode(F.sequence(low, high)).alias("block"))
+        told = placed.repartition("c", "block").sortWithinPartitions("c", "block", F.desc("kept"), "id").mapInArrow(_settle, f"id {kind}, verdict int, shared boolean, c string, l bigint, r bigint")
+        told = checkpointed(told)
+        # 0 dropped, 1 kept, 2 waits; a row over a border is kept if no block drops it and none waits
+        border = told.where("shared").groupBy("id", "c", "l", "r").agg(F.min("verdict").alias("least"), F.max("verdict").alias("most"))
+        border = border.select("id", F.when(F.col("least") == 0, 0).otherwise(F.col("most")).alias("verdict"), "c", "l", "r")
+        now = checkpointed(told.where("not shared").select("id", "verdict", "c", "l", "r").unionByName(border))
+        kept.append(now.where("verdict = 1").select("id"))
+        waiting = now.where("verdict = 2").select("c", "l", "r", "id", F.lit(False).alias("kept"))
+        if waiting.isEmpty():
+            break
+        # what was kept over a border has to be known to those who wait
+        left = checkpointed(waiting.unionByName(border.where("verdict = 1").select("c", "l", "r", "id", F.lit(True).alias("kept"))))
     if not kept:
         return df
     ids = functools.reduce(DataFrame.unionAll, kept).withColumnRenamed("id", "_id")
     return df.join(ids, df[order] == F.col("_id"), "left_semi").unionByName(df.where(F.col(loc_key).isNull()))
 
 
-def most_disjoint(df: DataFrame, *, loc_key: str = "loc", order: str = "rid") -> DataFrame:
-    """A largest set of pairwise disjoint intervals per chromosome: greedy by right end, then length, then ``order``.
-
-    Runs on islands, which are independent of each other; within one island rows stream in order.
+def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts of rows that come by (chromosome, block), already kept ones first, then in order."""
+    at = None
+    lefts: list[int] = []  # kept intervals are disjoint
+    rights: list[int] = []
+    wait_l: list[int] = []  # waiting ones are merged where they overlap
+    wait_r: list[int] = []
+    for batch in batches:
+        verdicts, told = [], []
+        c, block, left, right, shared, kept = (batch.column(n).to_pylist() for n in ("c", "block", "l", "r", "shared", "kept"))
+        for k in range(batch.num_rows):
+            if (c[k], block[k]) != at:
+                at = (c[k], block[k])
+                lefts, rights, wait_l, wait_r = [], [], [], []
+            l, r = left[k], right[k]
+            i = bisect.bisect_right(lefts, r)
+            if kept[k]:
+                lefts.insert(i, l)
+                rights.insert(i, r)
+                continue
+            told.append(k)
+            if i and rights[i - 1] >= l:
+                verdicts.append(0)
+                continue
+            j = bisect.bisect_right(wait_l, r)
+            waits = j > 0 and wait_r[j - 1] >= l
+            verdicts.append(2 if waits else 1)
+            if waits or shared[k]:  # later rows can't be sure of this one
+                first = bisect.bisect_left(wait_r, l)
+                if first < j:
+                    l, r = min(l, wait_l[first]), max(r, wait_r[j - 1])
+                wait_l[first:j], wait_r[first:j] = [l], [r]
+            else:
+                lefts.insert(i, l)
+                rights.insert(i, r)
+        some = batch.take(pa.array(told, pa.int64()))
+        yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(verdicts, pa.int32()), *[some.column(n) for n in ("shared", "c", "l", "r")]], names=["id", "verdict", "shared", "c", "l", "r"])
+
+
+def most_disjoint(df: DataFrame, *, loc_key: str = "loc", order: str = "rid", block_bits: int = 24) -> DataFrame:
+    """A largest set of pairwise disjoint intervals per chromosome: greedy by right end, then length, then ``order`` (a unique key).
+
+    A sweep in blocks of right ends. A block needs nothing from the blocks before but the last chosen end; in the first round
+    every block starts without one, then the blocks whose carried-in end changed run again. Choices
+    made with and without an end before them soon agree, so that most data takes three rounds; the blocks of a chromosome are
+    the bound. Null and reversed intervals are never chosen.
     """
-    import pandas as pd
-
-    placed = islands(df, lambda l: l, loc_key=loc_key).select(F.col(order).alias("_id"), F.col("island"), F.col(f"{loc_key}.left").alias("l"), F.col(f"{loc_key}.right").alias("r"))
-
-    def pick(frames):
-        at, reach = None, None
-        for pdf in frames:
-            out = []
-            for i, key, l, r in zip(pdf["_id"], pdf["k"], pdf["l"], pdf["r"]):
-                if key != at:
-                    at, reach = key, None
-                if reach is None or l > reach:
-                    out.append(i)
-                    reach = r
-            yield pd.DataFrame({"_id": out})
-
+    span = F.col(loc_key)
+    rows = df.where((span["left"] <= span["right"]) & span["chrom"].isNotNull()).groupBy(span["chrom"].alias("c"), span["left"].alias("l"), span["right"].alias("r")).agg(F.min(order).alias("id"))
+    rows = laid_out(rows.withColumn("block", F.shiftright("r", block_bits)), "c", "block")
     kind = df.schema[order].dataType.simpleString()
-    rows = placed.withColumn("k", F.concat_ws("\x01", "island.chrom", "island.left", "island.right")).drop("island")
-    chosen = rows.repartition("k").sortWithinPartitions("k", "r", F.col("r") - F.col("l"), "_id").mapInPandas(pick, f"_id {kind}")
-    return df.join(chosen, df[order] == F.col("_id"), "left_semi")
+    schema = f"c string, block bigint, r bigint, id {kind}"
+    carried = rows.select("c", "block").distinct().withColumn("reach", F.lit(None).cast("bigint"))
+    todo = checkpointed(carried)
+    chosen: DataFrame | None = None
+    blocks = todo
+    while True:
+        taken = rows.join(todo.hint("shuffle_hash"), ["c", "block"]).sortWithinPartitions("c", "block", "r", F.col("r") - F.col("l"), "id").mapInArrow(_sweep, schema)
+        taken = taken if chosen is None else taken.unionByName(chosen.join(todo, ["c", "block"], "left_anti"))
+        chosen = checkpointed(taken)
+        ends = blocks.select("c", "block").join(chosen.groupBy("c", "block").agg(F.max("r").alias("end")), ["c", "block"], "left")
+        before = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = checkpointed(ends.select("c", "block", F.max("end").over(before).alias("reach")))
+        todo = checkpointed(carried.join(blocks.withColumnRenamed("reach", "was"), ["c", "block"]).where(~F.col("reach").eqNullSafe(F.col("was"))).drop("was"))
+        blocks = carried
+        if todo.isEmpty():
+            return df.join(chosen.select(F.col("id").alias("_id")), df[order] == F.col("_id"), "left_semi")
+
+
+def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (chromosome, block) in order of their ends, each with the end carried into its block: those chosen."""
+    at, reach = None, None
+    for batch in batches:
+        c, block, left, right, carried = (batch.column(n).to_pylist() for n in ("c", "block", "l", "r", "reach"))
+        picked = []
+        for k in range(batch.num_rows):
+            if (c[k], block[k]) != at:
+                at, reach = (c[k], block[k]), carried[k]
+            if reach is None or left[k] > reach:
+                picked.append(k)
+                reach = right[k]
+        yield batch.select(["c", "block", "r", "id"]).take(pa.array(picked, pa.int64()))
