@@ -1,7 +1,8 @@
 """Readers of delimited, sequence and track files.
 
-Text is read in splits; ``numbered_lines`` gives every line its place in its file without a single-task
-pass, which is what skipping, record grouping and stateful formats need.
+Text is read in splits; ``numbered_lines`` gives every line its place in its file by counting the lines of the
+splits first, without sorting or moving any line. Skipping, record grouping and stateful formats need that;
+``read_table(..., numbered=False)`` reads formats that skip nothing in one narrow pass.
 """
 
 from __future__ import annotations
@@ -14,20 +15,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.loci import loc, tss
-from loomspan.operators.rows import with_ordinal
+from loomspan.session import checkpointed
 from loomspan.sources.formats import FORMATS, Format
 
 #: First cells that mark a header row.
 HEADERS = ["chipseq_loc", "loc", "chr", "#", "Gene Name", "GenBank", "RefSeq", "Systematic", "mm8.refGene.chrom", "mm8", "chromosome", "mm9.refGene.chrom", "mm9", "=" * 69, "=" * 70, "=" * 71]
 
 
+#: So many splits' line counts are broadcast (about 100 bytes each), more are joined.
+MOST_SPLITS = 500_000
+
+
+def _split_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, block, line, _i``: lines in the order of each split; gz files are read as they are, CR-only line ends too."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.explode(F.split("value", "\r(?=.)")).alias("line"))
+    return text.select("file", "block", F.regexp_replace("line", "[\r\n]+$", "").alias("line"), F.monotonically_increasing_id().alias("_i"))
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, ordinal, line``: lines with their number from 0 within each file; gz files are read as they are, CR-only line ends too."""
-    text = spark.read.text(path)
-    placed = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.explode(F.split("value", "\r(?=.)")).alias("line"))
-    numbered = with_ordinal(placed.withColumn("_k", F.monotonically_increasing_id()), "_o", ["file", "_b", "_i", "_k"])
-    first = numbered.groupBy("file").agg(F.min("_o").alias("_first"))
-    return numbered.join(F.broadcast(first), "file").select("file", (F.col("_o") - F.col("_first")).alias("ordinal"), F.regexp_replace("line", "[\r\n]+$", "").alias("line"))  # one row per file
+    """``file, ordinal, line``: lines with their number from 0 within each file.
+
+    One pass counts the lines of every split, one reads them: both plan the same splits in the same partitions, where a
+    split's lines are counted up from its first. An empty file gives no row.
+    """
+    lines = _split_lines(spark, path)
+    splits = lines.groupBy("file", "block").agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpointed(splits.select("file", "block", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    starts = F.broadcast(starts) if starts.count() <= MOST_SPLITS else starts
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("_i") - F.col("_from") + F.col("_start")).alias("ordinal"), "line")
 
 
 def _split_csv(line: Column) -> Column:
@@ -94,13 +110,19 @@ def compile_key(text: str, cells: Column) -> Column:
     raise ValueError(f"unknown function {name!r} in a format")
 
 
-def data_lines(spark: SparkSession, path: str | list[str], fmt: Format) -> DataFrame:
-    """``file, ordinal, line, cells``: the lines a format takes for data."""
-    lines = numbered_lines(spark, path)
+def data_lines(spark: SparkSession, path: str | list[str], fmt: Format, *, numbered: bool = True) -> DataFrame:
+    """``file, ordinal, line, cells``: the lines a format takes for data.
+
+    Without ``numbered`` the ordinal only grows within a split; a format that skips lines by number needs it.
+    """
+    if numbered or fmt.skip_till or fmt.end_with or fmt.skip >= 0:
+        lines = numbered_lines(spark, path)
+    else:
+        lines = _split_lines(spark, path).select("file", F.col("_i").alias("ordinal"), "line")
     if fmt.skip_till:
         first = lines.where(F.col("line").contains(fmt.skip_till)).groupBy("file").agg(F.min("ordinal").alias("_from"))
         lines = lines.join(F.broadcast(first), "file").where(F.col("ordinal") > F.col("_from")).drop("_from")  # one row per file
-    else:
+    elif fmt.skip >= 0:
         lines = lines.where(F.col("ordinal") > fmt.skip)
     if fmt.end_with:
         last = lines.where(F.col("line").contains(fmt.end_with)).groupBy("file").agg(F.min("ordinal").alias("_to"))
@@ -117,9 +139,12 @@ def data_lines(spark: SparkSession, path: str | list[str], fmt: Format) -> DataF
     return lines.where(~F.coalesce(F.get("cells", 0).isin(*HEADERS), F.lit(False)))
 
 
-def read_table(spark: SparkSession, path: str | list[str], fmt: str | Format, *, infer: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], fmt: str | Format, *, infer: bool = True, numbered: bool = True) -> DataFrame:
     """List of a named or own format, with ``rid``, the row's place. Short rows give null keys.
 
+    Without ``numbered``, ``rid`` is unique but counts from no file's beginning, and a format that skips
+    nothing is read in one narrow pass without counting lines first.
+
     ``infer`` narrows each text column to BIGINT, DOUBLE or a locus if all its values allow it: one column
     has one type.
     """
@@ -129,7 +154,7 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | Format, *,
     if f.sniff:
         names = sniff_header(spark, path, f)
         f = f.update(keys={n: str(i) for i, n in enumerate(names)})
-    rows = data_lines(spark, path, f)
+    rows = data_lines(spark, path, f, numbered=numbered)
     made = [compile_key(e, F.col("cells")).alias(k) for k, e in f.keys.items()]
     if f.gtf is not None:
         pairs = F.regexp_extract_all(F.get("cells", f.gtf), F.lit(r'(\w+) "?([^";]*)"?'), 0)
@@ -139,8 +164,8 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | Format, *,
 
 
 def sniff_header(spark: SparkSession, path: str | list[str], fmt: Format) -> list[str]:
-    """Keys from the first line."""
-    line = numbered_lines(spark, path).where("ordinal = 0").limit(1)
+    """Keys from the first line of a file, which is looked for in the first splits only."""
+    line = _split_lines(spark, path).where("block = 0").limit(1)
     cells = F.split("line", "\t") if fmt.tsv else _split_csv(F.col("line"))
     got = line.select(F.transform(cells, lambda c: F.trim(c))).first()
     return list(got[0]) if got else []
@@ -184,7 +209,8 @@ def read_expression(spark: SparkSession, path: str, keys: dict[str, int], first:
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``name, seq``: multi-line records joined, case kept."""
-    text = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    text = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "")
+    text = text.select(F.regexp_replace("value", "^>", "").alias("value"))  # a `>` inside a header begins no record
     head = F.substring_index(F.regexp_replace("value", "\r\n?", "\n"), "\n", 1)
     return text.select(F.trim(head).alias("name"), F.regexp_replace(F.regexp_replace("value", "^[^\r\n]*", ""), "\\s", "").alias("seq"))
 
