@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.loci import midpoint
@@ -31,6 +31,31 @@ def load_cooler_dump(rows: DataFrame, bin_size: int) -> DataFrame:
     return good.select(F.col("chrom1").alias("chrom"), F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), F.col("balanced").cast("double").alias("score"))
 
 
+def read_hicpro(spark: SparkSession, matrix: str, bed: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels (``bin1, bin2, score``) and bins (``bin_id, chrom, left, right``) of a matrix file and its bed of bins, for ``load_triplets``."""
+    pixels = spark.read.schema("bin1 bigint, bin2 bigint, score double").option("sep", "\t").csv(matrix)
+    bins = spark.read.schema("chrom string, left bigint, right bigint, bin_id bigint").option("sep", "\t").csv(bed)
+    return pixels, bins
+
+
+def read_cooler(spark: SparkSession, path: str) -> DataFrame:
+    """The eight columns of a dump of pixels, gz or not, for ``load_cooler_dump``."""
+    names = ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "count", "balanced"]
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", "\t").csv(path).where("chrom1 <> 'chrom1'")
+
+
+def domains(tads: DataFrame, contacts: DataFrame, bin_size: int) -> DataFrame:
+    """``chrom, left, right, inside, across``: contacts within each domain (``chrom, left, right``) and from it to elsewhere on the chromosome."""
+    lo, hi = F.floor(F.col("left") / bin_size), F.floor(F.col("right") / bin_size)
+    bins = tads.distinct().withColumn("lo", lo).withColumn("hi", hi).withColumn("bin", F.explode(F.sequence(lo, hi)))
+    ends = contacts.select("chrom", "i", "j", "score", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("bin"))
+    hits = bins.join(ends, ["chrom", "bin"])
+    within = F.col("i").between(F.col("lo"), F.col("hi")) & F.col("j").between(F.col("lo"), F.col("hi"))
+    # a contact inside is met from both of its ends
+    share = F.when(F.col("i") == F.col("j"), F.col("score")).otherwise(F.col("score") / 2)
+    return hits.groupBy("chrom", "left", "right").agg(F.sum(F.when(within, share).otherwise(0.0)).alias("inside"), F.sum(F.when(within, 0.0).otherwise(F.col("score"))).alias("across"))
+
+
 def region(contacts: DataFrame, chrom: str, left: int, right: int, bin_size: int) -> DataFrame:
     lo, hi = left // bin_size, right // bin_size
     return contacts.where((F.col("chrom") == chrom) & F.col("i").between(lo, hi) & F.col("j").between(lo, hi))
@@ -46,12 +71,11 @@ def observed_expected(contacts: DataFrame) -> DataFrame:
 def compartments(contacts: DataFrame, chrom: str, bins: int) -> list[float]:
     """First eigenvector of the correlation of the observed/expected matrix of one chromosome.
 
-    A dense matrix of ``bins`` squared on the driver: meant for coarse bins; more than 5,000 is an error.
+    A dense matrix of ``bins`` squared on the driver (8 bytes an entry): meant for coarse bins, whose number follows
+    the genome and not the reads.
     """
     import numpy as np
 
-    if bins > 5000:
-        raise ValueError("too many bins for a dense matrix")
     m = np.zeros((bins, bins))
     for r in observed_expected(contacts.where(F.col("chrom") == chrom)).select("i", "j", "oe").toLocalIterator():
         m[r.i, r.j] = m[r.j, r.i] = r.oe
@@ -117,7 +141,21 @@ def dense_rows(contacts: DataFrame, chrom: str, bins: int) -> DataFrame:
 
 def pca_of(contacts: DataFrame, chrom: str, bins: int, k: int) -> DataFrame:
     """``i, scores`` of the principal components of log2(score + 0.1) of one chromosome's rows."""
+    return components_of(contacts, chrom, bins, k)[0]
+
+
+def components_of(contacts: DataFrame, chrom: str, bins: int, k: int) -> tuple[DataFrame, list[float]]:
+    """``i, scores`` as in ``pca_of``, and the percent of the variance that each component holds."""
     from loomspan.operators.learn import pca
 
     rows = dense_rows(contacts, chrom, bins).select("i", F.transform("values", lambda x: F.log2(x + 0.1)).alias("conditions"))
-    return pca(rows, k)[0].select("i", "scores")
+    scores, _, explained = pca(rows, k)
+    return scores.select("i", "scores"), [100.0 * float(e) for e in explained]
+
+
+def embed_bins(contacts: DataFrame, chrom: str, bins: int, *, method: str = "tsne", **options) -> DataFrame:
+    """Bins of one chromosome placed in the plane by ``learn.embed``; the number of bins follows the genome."""
+    from loomspan.operators.learn import embed
+
+    rows = dense_rows(contacts, chrom, bins).select("i", F.transform("values", lambda x: F.log2(x + 0.1)).alias("conditions"))
+    return embed(rows, "i", method, **options)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.matrix import fold
@@ -14,6 +14,49 @@ CONTAMINANTS = {
 }
 
 
+def _wide(spark: SparkSession, path: str | list[str], mark: str) -> tuple[DataFrame, list[str]]:
+    """Rows of tab-separated files as ``cells``, and the header that holds ``mark``; files of one call have one header."""
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").contains(mark)).limit(1).collect()
+    if not head:
+        raise ValueError(f"no header with {mark!r}")
+    return lines.where(~F.col("value").contains(mark) & (F.trim("value") != "")).select(F.split("value", "\t").alias("cells")), [x.strip() for x in head[0][0].strip().split("\t")]
+
+
+def read_maxquant(spark: SparkSession, path: str | list[str], *, lfq: bool = False, split_names: bool = True) -> DataFrame:
+    """``name, pid, sample, intensity, peptides`` of protein group tables; see ``melt``.
+
+    Samples are found by their ``Razor + unique peptides`` columns; ``lfq`` takes the normalised intensities. Groups without a
+    gene name go. Pids are the majority ids where there are any, else the group's.
+    """
+    rows, head = _wide(spark, path, "Protein IDs")
+    kind = "LFQ intensity" if lfq else "Intensity"
+    samples = [h.replace("Razor + unique peptides ", "") for h in head if h.startswith("Razor + unique peptides ")]
+    wanted = ["Gene names", "Majority protein IDs" if "Majority protein IDs" in head else "Protein IDs", *[f"{k} {s}" for s in samples for k in (kind, "Razor + unique peptides")]]
+    wide = rows.select(*[F.get("cells", head.index(c)).alias(c) for c in wanted if c in head])
+    samples = [s for s in samples if f"{kind} {s}" in head]
+    return melt(wide, samples, name="Gene names", pid=wanted[1], intensity=kind + " {}", split_names=split_names)
+
+
+def read_company(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_maxquant``, of tables headed ``Protein accession`` with the name in the third column; short rows and blank cells count as 0."""
+    rows, head = _wide(spark, path, "Protein accession")
+    samples = [h.replace("Razor + unique peptides ", "") for h in head if h.startswith("Razor + unique peptides ") and h.replace("Razor + unique peptides ", "Intensity ") in head]
+    cell = lambda i: F.coalesce(F.nullif(F.get("cells", i), F.lit("")), F.lit("0"))
+    wide = rows.select(F.get("cells", 0).alias("pid"), F.get("cells", 2).alias("name"), *[cell(head.index(c)).alias(c) for s in samples for c in (f"Intensity {s}", f"Razor + unique peptides {s}")])
+    return melt(wide, samples, split_names=False)
+
+
+def read_company_samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_company``, one file per sample, named by its file: accession, name, peptides and intensity in columns 0, 2, 6 and 9."""
+    lines = spark.read.text(path).where(~F.col("value").contains("Accession") & (F.trim("value") != ""))
+    sample = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.(txt|tsv)(\.gz)?$", "")
+    cells = lines.select(sample.alias("sample"), F.split("value", "\t").alias("c"))
+    number = lambda i: F.coalesce(F.get("c", i).try_cast("double"), F.lit(0.0))
+    rows = cells.select(F.get("c", 2).alias("name"), F.get("c", 0).alias("pid"), "sample", (number(9) / 1e6).alias("i"), number(6).alias("p")).where("name <> ''")
+    return rows.groupBy("name", "sample").agg(F.min("pid").alias("pid"), F.avg("i").alias("intensity"), F.avg(F.floor("p")).alias("peptides")).select("name", "pid", "sample", "intensity", "peptides")
+
+
 def melt(wide: DataFrame, samples: list[str], *, name: str = "name", pid: str = "pid", intensity: str = "Intensity {}", peptides: str = "Razor + unique peptides {}", split_names: bool = True) -> DataFrame:
     """``name, pid, sample, intensity, peptides``: wide search-engine columns to rows, intensity in millions.
 

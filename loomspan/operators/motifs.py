@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.loci import MINUS
@@ -191,8 +191,61 @@ def pwm_hits(df: DataFrame, weights: list[list[float]], *, key: str, seq: str =
 
 
 def best_score(df: DataFrame, weights: list[list[float]], *, key: str, seq: str = "seq") -> DataFrame:
-    """``key, score``: best window of each sequence on either strand."""
-    return pwm_hits(df, weights, key=key, seq=seq, threshold=-math.inf).groupBy(key).agg(F.max("score").alias("score"))
+    """``key, score``: best window of each sequence on either strand, reduced where it is scored; ``key`` is unique, sequences without a window go."""
+    matrix = np.array(weights, float)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(iter(batches), 10_000):
+            best = [max(map(np.max, both)) if len(both[0]) else None for both in (window_scores(t, matrix) for t in column(table, "s").to_pylist())]
+            yield pa.RecordBatch.from_arrays([column(table, "k"), pa.array(best, pa.float64())], names=[key, "score"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.col(seq).isNotNull()).select(F.col(key).alias("k"), F.col(seq).alias("s")).mapInArrow(scan, f"`{key}` {kind}, score double").where("score is not null")
+
+
+def error_rate(df: DataFrame, weights: list[list[float]], *, seq: str = "seq", first: float = 0.75, step: float = 0.007, steps: int = 30) -> DataFrame:
+    """``threshold, hits``: how many windows on either strand reach each of ``steps`` thresholds, from one scan.
+
+    Windows are counted by the highest threshold they reach on the workers; null sequences and windows with another letter than ACGT don't count.
+    """
+    matrix = np.array(weights, float)
+    limits = first + step * np.arange(steps)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(iter(batches), 10_000):
+            total = np.zeros(steps + 1, np.int64)
+            for text in column(table, "s").to_pylist():
+                for s in window_scores(text, matrix):
+                    total += np.bincount(np.searchsorted(limits, s[s >= first], side="right"), minlength=steps + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps, dtype=np.int32)), pa.array(total[1:])], names=["k", "n"])
+
+    reached = df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("s")).mapInArrow(scan, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    every = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("k"))
+    upwards = Window.partitionBy().orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
+    counts = every.join(reached, "k", "left").select("k", F.sum(F.coalesce("n", F.lit(0))).over(upwards).alias("hits"))
+    return counts.select((first + step * F.col("k")).alias("threshold"), "hits")
+
+
+def periodicity(df: DataFrame, word: str, *, seq: str = "seq", windows: list[int] = (10, 50, 100, 500, 1000, 2000)) -> DataFrame:
+    """``window, pos, hits, mean``: how often a motif begins at each place of the sequences and of their reverse complements, with moving averages.
+
+    ``mean`` is over ``window`` places from ``pos`` on, places without a hit count as 0, and there is one only where all of them
+    lie within the longest sequence. Matches don't overlap. Null and empty sequences give none.
+    """
+    usable = df.where(F.length(seq) > 0).select(F.upper(seq).alias("s"))
+    both = usable.select(F.explode(F.array("s", rc(F.col("s")))).alias("s"))
+    mark = to_regex(word).upper()
+    before = F.transform(F.split("s", mark, -1), lambda x: F.length(x))
+    found = F.transform(F.regexp_extract_all("s", F.lit(f"({mark})"), 1), lambda x: F.length(x))
+    starts = F.transform(F.sequence(F.lit(0), F.size("f") - 1), lambda i: F.aggregate(F.slice("b", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("f", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    hits = both.select(before.alias("b"), found.alias("f")).where("size(f) > 0").select(F.explode(starts).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("hits"))
+    longest = usable.agg(F.max(F.length("s")).alias("size"))
+    places = longest.where("size is not null").select("size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("pos"))
+    filled = places.join(hits, "pos", "left").select("size", "pos", F.coalesce("hits", F.lit(0)).alias("hits"))
+    total = filled.withColumn("upto", F.sum("hits").over(Window.partitionBy().orderBy("pos")))  # a row per place of a sequence
+    wide = total.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window"))
+    ends = wide.select("window", (F.col("pos") - F.col("window") + 1).alias("pos"), F.col("upto").alias("end"))
+    return wide.join(ends, ["window", "pos"]).select("window", "pos", "hits", ((F.col("end") - F.col("upto") + F.col("hits")) / F.col("window")).alias("mean"))
 
 
 def sequence_chunks(chroms: DataFrame, size: int = 65_536) -> DataFrame:
@@ -218,13 +271,33 @@ def get_sequences(loci: DataFrame, pieces: DataFrame, *, size: int = 65_536, loc
 
 def motif_set_hits(df: DataFrame, motifs: dict[str, list[list[float]]], *, key: str, seq: str = "seq", z: float = 4.0) -> DataFrame:
     """``motif, key, pos, strand, score, z``: windows of several motifs whose score is over mean + z * deviation of all the motif's windows in the sequence."""
-    parts = None
-    for name, weights in motifs.items():
-        rows = pwm_hits(df, weights, key=key, seq=seq, threshold=-math.inf).withColumn("motif", F.lit(name))
-        parts = rows if parts is None else parts.unionByName(rows)
-    spread = parts.groupBy("motif", key).agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
-    scored = parts.join(spread, ["motif", key]).withColumn("z", F.try_divide(F.col("score") - F.col("_m"), F.col("_s")))
-    return scored.where(F.col("z") > z).select("motif", key, "pos", "strand", "score", "z")
+    matrices = {name: np.array(weights, float) for name, weights in motifs.items()}
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mean and deviation are made with the scores, so only hits leave the worker."""
+        for table in chunks(iter(batches), 10_000):
+            texts = column(table, "s").to_pylist()
+            for name, matrix in matrices.items():
+                rows, pos, minus, score, over = [], [], [], [], []
+                for i, text in enumerate(texts):
+                    s = np.array(window_scores(text, matrix))
+                    spread = s.std() if s.size else 0.0
+                    if spread > 0:
+                        far = (s - s.mean()) / spread
+                        strand, at = np.nonzero(far > z)
+                        rows.append(np.full(len(at), i))
+                        pos.append(at)
+                        minus.append(strand)
+                        score.append(s[strand, at])
+                        over.append(far[strand, at])
+                place = np.concatenate(rows) if rows else np.zeros(0, int)
+                of = lambda x, kind=float: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
+                signs = pa.array(["+", "-"]).take(of(minus, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(place), pa.string()), column(table, "k").take(pa.array(place)), of(pos, np.int32), signs, of(score), of(over)], names=["motif", key, "pos", "strand", "score", "z"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(seq).isNotNull()).select(F.col(key).alias("k"), F.col(seq).alias("s"))
+    return rows.mapInArrow(scan, f"motif string, `{key}` {kind}, pos int, strand string, score double, z double")
 
 
 def scramble(word: str, number: int, seed: int) -> list[str]:

@@ -222,6 +222,39 @@ def cluster_heat(track: DataFrame, clusters: DataFrame, *, distance: int = 1000,
     return sums.join(sizes, "cid").select("cid", "bin", (F.col("s") / F.col("n")).alias("mean"))
 
 
+def cluster_pileup(track: DataFrame, clusters: DataFrame, *, window: int = 1000) -> DataFrame:
+    """``cid, offset, value``: mean signal at each distance from the middles of the blocks of each cluster id; see ``pileup``, one for each id, from one join."""
+    placed = clusters.select(F.xxhash64("chrom", "left", "right").alias("rid"), "cid", loc(F.col("chrom"), F.col("left"), F.col("right")).alias("loc"))
+    middle = F.shiftright(F.col("loc.left") + F.col("loc.right"), 1)
+    hits = _clipped(track, placed, loc(F.col("loc.chrom"), middle - window, middle + window))
+    at = F.sequence(F.col("from") - F.col("l._w.left") - window, F.col("to") - 1 - F.col("l._w.left") - window)
+    sums = hits.select(F.col("l.cid").alias("cid"), "value", F.explode(at).alias("offset")).where(F.col("offset") < window).groupBy("cid", "offset").agg(F.sum("value").alias("s"))
+    sizes = placed.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    return sums.join(sizes, "cid").select("cid", "offset", (F.col("s") / F.col("n")).alias("value"))
+
+
+def save_track(track: DataFrame, path: str, *, total_reads: int | None = None, name: str | None = None) -> None:
+    """Store a track: its runs by chromosome, and a table of what is known of it (name, library size, chromosomes with their ends)."""
+    from loomspan.sources.writers import write_track
+
+    write_track(track, f"{path}/runs")
+    ends = track.groupBy("chrom").agg(F.max("end").alias("size"))
+    ends.withColumn("total_reads", F.lit(total_reads).cast("bigint")).withColumn("name", F.lit(name).cast("string")).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def open_track(spark, path: str) -> tuple[DataFrame, dict]:
+    """A stored track and ``total_reads``, ``name`` and the ``chromosomes`` with their ends."""
+    about = spark.read.parquet(f"{path}/about").collect()  # a row per chromosome
+    first = about[0] if about else None
+    info = {"total_reads": first and first.total_reads, "name": first and first["name"], "chromosomes": {r.chrom: r["size"] for r in about}}
+    return spark.read.parquet(f"{path}/runs"), info
+
+
+def per_million(track: DataFrame, total_reads: int) -> DataFrame:
+    """Values per million reads of the library."""
+    return track.withColumn("value", F.col("value") * (1e6 / total_reads))
+
+
 def list_heat(tracks: DataFrame, by: str, peaks: DataFrame, *, key: str = "rid", **options) -> DataFrame:
     """``by, key, bin, value`` for several tracks stacked in one frame."""
     wide = tracks.select(F.concat_ws("\x01", by, "chrom").alias("chrom"), by, "start", "end", "value")

@@ -196,15 +196,36 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_expression(spark: SparkSession, path: str, keys: dict[str, int], first: int, last: int | None = None, *, tsv: bool = True) -> tuple[DataFrame, list[str]]:
-    """Matrix file: key columns, and the columns from ``first`` (to before ``last``) as ``conditions``; names come from the header."""
+def read_expression(spark: SparkSession, path: str, keys: dict[str, int], first: int, last: int | None = None, *, tsv: bool = True, errors: str | None = None, nan_value: float = 0.0) -> tuple[DataFrame, list[str]]:
+    """Matrix file: key columns, and the columns from ``first`` (to before ``last``) as ``conditions``; names come from the header.
+
+    ``errors``: ``interleaved`` (each value followed by its error) or ``behind`` (all errors behind the values) give ``err`` as well, and
+    names without ``mean_`` and ``err_``. What is no number counts as ``nan_value``.
+    """
+    if errors not in (None, "interleaved", "behind"):
+        raise ValueError("errors must be interleaved or behind")
     f = Format(keys={k: str(i) for k, i in keys.items()}, tsv=tsv)
     names = sniff_header(spark, path, f)[first:last]
     rows = data_lines(spark, path, f)
     width = len(names)
-    values = F.transform(F.slice("cells", first + 1, width), lambda x: F.coalesce(F.nanvl(x.try_cast("double"), F.lit(0.0)), F.lit(0.0)))
-    padded = F.slice(F.concat(values, F.array_repeat(F.lit(0.0), width)), 1, width)
-    return rows.select(F.col("ordinal").alias("rid"), *[compile_key(str(i), F.col("cells")).alias(k) for k, i in keys.items()], padded.alias("conditions")), names
+    fill = F.lit(float(nan_value))
+    values = F.transform(F.slice("cells", first + 1, width), lambda x: F.coalesce(F.nanvl(x.try_cast("double"), fill), fill))
+    padded = F.slice(F.concat(values, F.array_repeat(fill, width)), 1, width)
+    made = {"conditions": padded}
+    if errors:
+        places = (range(0, width, 2), range(1, width, 2)) if errors == "interleaved" else (range(width // 2), range(width // 2, width))
+        made = {c: F.transform(F.array(*[F.lit(i) for i in at]), lambda i: F.get(padded, i)) for c, at in zip(("conditions", "err"), places)}
+        names = [re.sub("^mean_", "", names[i]) for i in places[0]]
+    ids = [] if "rid" in keys else [F.col("ordinal").alias("rid")]
+    return rows.select(*ids, *[compile_key(str(i), F.col("cells")).alias(k) for k, i in keys.items()], *[v.alias(c) for c, v in made.items()]), names
+
+
+def read_go(spark: SparkSession, path: str | list[str], fmt: str | Format) -> DataFrame:
+    """List of enriched terms with ``qvalue`` or ``pvalue``; a ``~`` in a name becomes ``:``."""
+    got = read_table(spark, path, fmt)
+    if not {"qvalue", "pvalue"} & set(got.columns):
+        raise ValueError("a list of terms needs a qvalue or a pvalue")
+    return got.withColumn("name", F.translate("name", "~", ":"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
