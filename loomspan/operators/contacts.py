@@ -49,11 +49,10 @@ def domains(tads: DataFrame, contacts: DataFrame, bin_size: int) -> DataFrame:
     lo, hi = F.floor(F.col("left") / bin_size), F.floor(F.col("right") / bin_size)
     bins = tads.distinct().withColumn("lo", lo).withColumn("hi", hi).withColumn("bin", F.explode(F.sequence(lo, hi)))
     ends = contacts.select("chrom", "i", "j", "score", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("bin"))
-    hits = bins.join(ends, ["chrom", "bin"])
-    within = F.col("i").between(F.col("lo"), F.col("hi")) & F.col("j").between(F.col("lo"), F.col("hi"))
-    # a contact inside is met from both of its ends
-    share = F.when(F.col("i") == F.col("j"), F.col("score")).otherwise(F.col("score") / 2)
-    return hits.groupBy("chrom", "left", "right").agg(F.sum(F.when(within, share).otherwise(0.0)).alias("inside"), F.sum(F.when(within, 0.0).otherwise(F.col("score"))).alias("across"))
+    # a contact inside is met from both of its ends; the first one counts
+    hits = bins.join(ends, ["chrom", "bin"]).withColumn("within", F.col("i").between(F.col("lo"), F.col("hi")) & F.col("j").between(F.col("lo"), F.col("hi")))
+    once = hits.where(~F.col("within") | (F.col("bin") == F.col("i")))
+    return once.groupBy("chrom", "left", "right").agg(F.sum(F.when(F.col("within"), F.col("score")).otherwise(0.0)).alias("inside"), F.sum(F.when(F.col("within"), 0.0).otherwise(F.col("score"))).alias("across"))
 
 
 def region(contacts: DataFrame, chrom: str, left: int, right: int, bin_size: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomspan.operators.matrix import V
 
 #: Points that a driver-side method takes at most.
-MOST_POINTS = 20_000
+MOST_POINTS = 10_000
 
 
 def _gathered(df: DataFrame, key: str) -> tuple[list, np.ndarray]:
@@ -155,26 +155,41 @@ def leaf_order(merges: np.ndarray, n: int) -> list[int]:
 
 
 def tree(df: DataFrame, key: str, *, method: str = "complete", clusters: int | None = None) -> tuple[list, np.ndarray, np.ndarray | None]:
-    """Keys in leaf order, merges and, if asked, cluster numbers in the keys' original order."""
+    """Keys in leaf order, merges and, if asked, the cluster number of each key, in the same order as the keys."""
     keys, x = _gathered(df, key)
     m = linkage(x, method)
-    return [keys[i] for i in leaf_order(m, len(keys))], m, cut_tree(m, len(keys), clusters) if clusters else None
+    order = leaf_order(m, len(keys))
+    return [keys[i] for i in order], m, cut_tree(m, len(keys), clusters)[order] if clusters else None
+
+
+def column_tree(df: DataFrame, names: list[str], *, method: str = "complete", clusters: int | None = None) -> tuple[list, np.ndarray, np.ndarray | None]:
+    """``tree`` over the conditions, whatever the number of rows: their distances come from sums of products, made in one aggregate."""
+    flat = df.select(F.transform(V, lambda x: x.cast("double")).alias("v"))
+    n = len(names)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = flat.agg(F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in pairs]).alias("s")).first()[0]
+    gram = np.zeros((n, n))
+    for (i, j), s in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = s or 0.0
+    values, vectors = np.linalg.eigh(gram)
+    m = linkage(vectors * np.sqrt(np.maximum(values, 0)), method)
+    order = leaf_order(m, n)
+    return [names[i] for i in order], m, cut_tree(m, n, clusters)[order] if clusters else None
 
 
 def mds(points: np.ndarray, k: int = 2) -> np.ndarray:
     """Classical multidimensional scaling."""
-    sq = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
-    n = len(points)
-    j = np.eye(n) - 1 / n
-    values, vectors = np.linalg.eigh(-0.5 * j @ sq @ j)
-    order = np.argsort(-values)[:k]
-    return vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    # doubly centred squared distances are products of centred points, so their coordinates come from those: no matrix of all pairs
+    left, size, _ = np.linalg.svd(points - points.mean(axis=0), full_matrices=False)
+    out = left[:, :k] * size[:k]
+    return np.pad(out, ((0, 0), (0, k - out.shape[1])))
 
 
 def tsne(points: np.ndarray, *, perplexity: float = 30.0, rounds: int = 500, seed: int = 1) -> np.ndarray:
     """Exact t-SNE to two dimensions, started from the first two principal components."""
     n = len(points)
-    sq = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
+    size = (points**2).sum(axis=1)
+    sq = np.maximum(size[:, None] + size - 2 * points @ points.T, 0)
     p = np.zeros((n, n))
     target = math.log(min(perplexity, (n - 1) / 3 if n > 3 else 1.0001))
     for i in range(n):
@@ -197,7 +212,8 @@ def tsne(points: np.ndarray, *, perplexity: float = 30.0, rounds: int = 500, see
     step, gain = np.zeros_like(y), np.ones_like(y)
     rate = max(n / 48, 50.0)
     for k in range(rounds):
-        q = 1 / (1 + ((y[:, None, :] - y[None, :, :]) ** 2).sum(-1))
+        size = (y**2).sum(axis=1)
+        q = 1 / (1 + np.maximum(size[:, None] + size - 2 * y @ y.T, 0))
         np.fill_diagonal(q, 0)
         pq = ((12 if k < 250 else 1) * p - np.maximum(q / q.sum(), 1e-12)) * q
         grad = 4 * (pq.sum(1)[:, None] * y - pq @ y)
@@ -208,10 +224,73 @@ def tsne(points: np.ndarray, *, perplexity: float = 30.0, rounds: int = 500, see
     return y
 
 
+def umap(points: np.ndarray, *, neighbours: int = 15, min_dist: float = 0.1, rounds: int = 200, k: int = 2, seed: int = 1) -> np.ndarray:
+    """Uniform manifold approximation: a fuzzy graph of nearest neighbours, laid out by attraction along it and sampled repulsion.
+
+    Neighbours are found in blocks of distances; memory grows with points * neighbours. Copies of a point are its nearest neighbours.
+    """
+    n = len(points)
+    near = min(neighbours, n - 1)
+    rng = np.random.default_rng(seed)
+    if near < 1:
+        return np.zeros((n, k))
+    square = (points**2).sum(axis=1)
+    who, far = np.zeros((n, near), int), np.zeros((n, near))
+    for s in range(0, n, 512):
+        d = np.maximum(square[s : s + 512, None] + square - 2 * points[s : s + 512] @ points.T, 0)
+        d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+        some = np.argpartition(d, near - 1, axis=1)[:, :near]
+        who[s : s + len(d)], far[s : s + len(d)] = some, np.sqrt(np.take_along_axis(d, some, axis=1))
+    rho = far.min(axis=1, keepdims=True)
+    low, high = np.zeros((n, 1)), np.full((n, 1), np.inf)
+    sigma = np.ones((n, 1))
+    for _ in range(64):  # the width at which a point's memberships add up to log2 of its neighbours
+        over = np.exp(-np.maximum(far - rho, 0) / sigma).sum(axis=1, keepdims=True) > math.log2(max(near, 2))
+        high, low = np.where(over, sigma, high), np.where(over, low, sigma)
+        sigma = np.where(np.isinf(high), sigma * 2, (low + high) / 2)
+    member = np.exp(-np.maximum(far - rho, 0) / np.maximum(sigma, 1e-9)).ravel()
+    a, b = np.repeat(np.arange(n), near), who.ravel()
+    keys, where = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+    total = np.bincount(where, weights=member)
+    both = np.zeros(len(keys))
+    first = np.bincount(where, weights=np.where(a < b, member, 0))
+    both = first * (total - first)
+    weight = total - both  # union of both directions
+    head, tail = keys // n, keys % n
+    # the curve 1 / (1 + p d^2q) closest to a step at ``min_dist`` with an exponential tail
+    x = np.linspace(0, 3, 300)
+    y = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist)))
+    grid = [((1 / (1 + p * x ** (2 * q)) - y) ** 2).sum() for p in np.linspace(0.3, 3, 55) for q in np.linspace(0.5, 1.5, 41)]
+    at = int(np.argmin(grid))
+    p, q = np.linspace(0.3, 3, 55)[at // 41], np.linspace(0.5, 1.5, 41)[at % 41]
+    centred = points - points.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred.T @ centred)
+    out = centred @ axes[:k].T if points.shape[1] >= k else np.pad(centred, ((0, 0), (0, k - points.shape[1])))
+    out = 10 * out / max(np.abs(out).max(), 1e-12) + rng.normal(0, 1e-4, (n, k))
+    chance = weight / weight.max()
+    for step in range(rounds):
+        rate = 1 - step / rounds
+        on = rng.random(len(keys)) < chance
+        h, t = head[on], tail[on]
+        diff = out[h] - out[t]
+        d = (diff**2).sum(axis=1, keepdims=True)
+        pull = np.clip(-2 * p * q * np.where(d > 0, d, 1) ** (q - 1) / (1 + p * d**q) * diff * (d > 0), -4, 4) * rate
+        np.add.at(out, h, pull)
+        np.add.at(out, t, -pull)
+        h = np.concatenate([h, t])
+        for _ in range(5):
+            t = rng.integers(0, n, len(h))
+            diff = out[h] - out[t]
+            d = (diff**2).sum(axis=1, keepdims=True)
+            push = np.clip(2 * q / ((0.001 + d) * (1 + p * d**q)) * diff, -4, 4) * rate
+            np.add.at(out, h, push)
+    return out
+
+
 def embed(df: DataFrame, key: str, method: str, **options) -> DataFrame:
-    """``key, x, y`` of a driver-side map: ``mds`` or ``tsne``."""
+    """``key, x, y`` of a driver-side map: ``mds``, ``tsne`` or ``umap``."""
     keys, x = _gathered(df, key)
-    y = {"mds": mds, "tsne": tsne}[method](x, **options)
+    y = {"mds": mds, "tsne": tsne, "umap": umap}[method](x, **options)
     return df.sparkSession.createDataFrame(pd.DataFrame({key: keys, "x": y[:, 0], "y": y[:, 1]}))
 
 
@@ -326,6 +405,75 @@ def longest_path(edges: list[tuple]) -> list:
     return best
 
 
+def threshold_clusters(points: np.ndarray, keys: list, groups: int) -> dict:
+    """Key to cluster: complete linkage cut at the highest threshold with at least ``groups`` clusters.
+
+    Thresholds go down from 1.099 to 0.1 of the largest distance in steps of 0.001; below the last the nearest number stands.
+    """
+    n = len(points)
+    if not n:
+        return {}
+    merges = linkage(points, "complete")
+    square = (points**2).sum(axis=1)
+    widest = max((math.sqrt(max(0.0, float((square[s : s + 512, None] + square - 2 * points[s : s + 512] @ points.T).max()))) for s in range(0, n, 512)), default=0.0)
+    heights = merges[:, 2]
+    for step in range(1000):
+        limit = (1.099 - 0.001 * step) * widest
+        if n - np.count_nonzero(heights <= limit) >= groups:
+            break
+    root = list(range(2 * n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k, (a, b, h, _) in enumerate(merges):
+        if h <= limit:
+            root[find(int(a))] = root[find(int(b))] = n + k
+    seen: dict = {}
+    return {key: seen.setdefault(find(i), len(seen)) for i, key in enumerate(keys)}
+
+
+def branch_paths(edges: list[tuple], expected: int, *, alike: float = 51.0) -> list[list]:
+    """The longest path of a small graph, then its ``expected`` longest different branches.
+
+    A branch is a shortest path from a node of the longest path to another node, cut where it comes back to that path, of more
+    than two nodes. Of branches that share ``alike`` percent or more of the smaller one's nodes with a longer one, the longer stays.
+    """
+    spine = longest_path(edges)
+    near: dict = {}
+    for a, b, *_ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found = set()
+    for start in spine:
+        before, queue = {start: None}, [start]
+        for v in queue:
+            for w in sorted(near[v], key=str):
+                if w not in before:
+                    before[w] = v
+                    queue.append(w)
+        for end in queue:
+            path, v = [], end
+            while v != start:
+                path.append(v)
+                v = before[v]
+            outside = []
+            for v in reversed(path):
+                if v in spine:
+                    break
+                outside.append(v)
+            if len(outside) > 2:
+                found.add(tuple(outside))
+    kept: list[tuple] = []
+    for p in sorted(found, key=lambda p: (-len(p), str(p))):
+        if all(100.0 * len(set(p) & set(q)) / min(len(p), len(q)) < alike for q in kept):
+            kept.append(p)
+    return [spine, *map(list, kept[:expected])]
+
+
 def graph_clusters(edges: list[tuple], nodes: list, clusters: int) -> dict:
     """Node to group: the strongest threshold on r at which the graph falls into at least so many parts."""
     order = sorted(edges, key=lambda e: -e[2])
@@ -401,15 +549,18 @@ def rooted_edges(edges: list[tuple], root, threshold: float, most_links: int = 2
 def correlated_edges(df: DataFrame, key: str, *, low: float, most_links: int = 5) -> list[tuple]:
     """(a, b, r) of the rows' correlations, strongest first, while both ends have fewer than ``most_links`` edges."""
     keys, x = _gathered(df, key)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        r = np.nan_to_num(np.corrcoef(x))
-    i, j = np.triu_indices(len(keys), 1)
-    order = np.lexsort((j, i, -r[i, j]))
+    centred = x - x.mean(axis=1, keepdims=True)
+    size = np.sqrt((centred**2).sum(axis=1, keepdims=True))
+    unit = np.where(size > 0, centred / np.where(size > 0, size, 1), 0)
+    parts = []
+    for s in range(0, len(keys), 512):  # only what reaches ``low`` is kept
+        r = unit[s : s + 512] @ unit.T
+        i, j = np.nonzero((r >= low) & (np.arange(len(keys)) > np.arange(s, s + len(r))[:, None]))
+        parts.append((i + s, j, r[i, j]))
+    i, j, r = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, int),) * 3
     degree, out = dict.fromkeys(range(len(keys)), 0), []
-    for k in order:
-        a, b, w = int(i[k]), int(j[k]), float(r[i[k], j[k]])
-        if w < low:
-            break
+    for k in np.lexsort((j, i, -r)):
+        a, b, w = int(i[k]), int(j[k]), float(r[k])
         if degree[a] < most_links and degree[b] < most_links:
             degree[a] += 1
             degree[b] += 1

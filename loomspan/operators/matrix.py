@@ -269,10 +269,11 @@ def digitize(df: DataFrame, steps: int, low: float | None = None, high: float |
 
 
 def quantile_normalise(df: DataFrame, names: list[str], key: str) -> DataFrame:
-    """Values replaced by the mean, over columns, of the values of the same rank; ties by key.
+    """Values replaced by the mean, over columns, of the values of the same rank; equal values of a column get one value.
 
-    Ranks are per column, so the largest group is one column; a rank is a distributed ordinal, not a
-    single-task window, and needs a sort of each column.
+    Tied values get the median of the means of their ranks. As those means grow with the rank, the median is that of the middle
+    ranks, so a tie of a third of all rows is one row here. A rank is a distributed ordinal, not a single-task
+    window, and needs a sort of each column. An empty table stays empty.
     """
     from loomspan.operators.rows import with_ordinal
 
@@ -281,7 +282,11 @@ def quantile_normalise(df: DataFrame, names: list[str], key: str) -> DataFrame:
     first = ordered.groupBy("ix").agg(F.min("_o").alias("_first"))  # one row per column
     ranked = ordered.join(F.broadcast(first), "ix").withColumn("_rank", F.col("_o") - F.col("_first"))
     means = ranked.groupBy("_rank").agg(F.avg("value").alias("_mean"))
-    placed = ranked.join(means, "_rank")
+    ties = ranked.groupBy("ix", "value").agg(F.min("_rank").alias("_at"), F.count(F.lit(1)).alias("_n"))
+    low, high = F.col("_at") + F.floor((F.col("_n") - 1) / 2), F.col("_at") + F.floor(F.col("_n") / 2)
+    middle = ties.select("ix", "value", low.alias("_rank"), high.alias("_high")).join(means, "_rank").withColumnRenamed("_mean", "_low_mean").drop("_rank")
+    middle = middle.withColumnRenamed("_high", "_rank").join(means, "_rank").select("ix", "value", ((F.col("_low_mean") + F.col("_mean")) / 2).alias("_mean"))
+    placed = ranked.select("ix", "value", key).join(middle, ["ix", "value"])
     back = placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "_mean"))), lambda s: s["_mean"]).alias(V))
     return df.drop(V).join(back, key)
 

@@ -95,17 +95,51 @@ def motif_summary(df: DataFrame, word: str, *, seq: str = "seq", strands: bool =
     return s.select("num_motifs", "with_motif", F.try_divide(F.col("with_motif") * 100.0, F.col("_n")).alias("percent"))
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points of a text, one per letter."""
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _allowed(word: str) -> np.ndarray:
+    """For each place of a degenerate word, which of the first 128 code points fit; what is beyond fits none."""
+    out = np.zeros((len(word), 129), bool)
+    for i, letter in enumerate(word.upper()):
+        out[i, [ord(b) for b in DEGENERATE[letter]]] = True
+    return out
+
+
 def motif_positions(df: DataFrame, word: str, *, key: str, seq: str = "seq", strands: bool = True) -> DataFrame:
-    """``key, pos, strand, match``: every place, overlaps included, counted from 0."""
-    size = len(word)
-    places = F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - size + 1)).otherwise(F.array().cast("array<int>"))
-    back = rc_word(word.upper())
-    rows = df.select(key, F.upper(seq).alias("_s"), F.explode(places).alias("p")).select(key, (F.col("p") - 1).alias("pos"), F.substring("_s", F.col("p"), size).alias("match"))
-    forward = rows.where(F.col("match").rlike(f"^{to_regex(word)}$")).withColumn("strand", F.lit("+"))
-    if not strands or back == word.upper():
-        return forward.select(key, "pos", "strand", "match")
-    backward = rows.where(F.col("match").rlike(f"^{to_regex(back)}$")).withColumn("strand", F.lit("-"))
-    return forward.unionByName(backward).select(key, "pos", "strand", "match")
+    """``key, pos, strand, match``: every place, overlaps included, counted from 0.
+
+    Sequences are matched as vectors, in time proportional to their length. Null and short sequences give none.
+    """
+    size, back = len(word), rc_word(word.upper())
+    sides = [("+", _allowed(word))] + ([("-", _allowed(back))] if strands and back != word.upper() else [])
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(iter(batches), 2_000):
+            rows, pos, strand, match = [], [], [], []
+            for i, text in enumerate(column(table, "s").to_pylist()):
+                code = np.minimum(_codes(text), 128)
+                n = len(code) - size + 1
+                if n <= 0:
+                    continue
+                for sign, fits in sides:
+                    good = np.ones(n, bool)
+                    for k in range(size):
+                        good &= fits[k, code[k : k + n]]
+                    at = np.flatnonzero(good)
+                    rows.append(np.full(len(at), i))
+                    pos.append(at)
+                    strand += [sign] * len(at)
+                    match += [text[p : p + size] for p in at.tolist()]
+            place = np.concatenate(rows) if rows else np.zeros(0, int)
+            at = np.concatenate(pos) if pos else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([column(table, "k").take(pa.array(place)), pa.array(at.astype(np.int32)), pa.array(strand, pa.string()), pa.array(match, pa.string())], names=[key, "pos", "strand", "match"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.length(seq) >= size).select(F.col(key).alias("k"), F.upper(seq).alias("s"))
+    return rows.mapInArrow(scan, f"`{key}` {kind}, pos int, strand string, match string")
 
 
 def position_profile(df: DataFrame, word: str, *, key: str, seq: str = "seq", strands: bool = True) -> DataFrame:
@@ -114,9 +148,33 @@ def position_profile(df: DataFrame, word: str, *, key: str, seq: str = "seq", st
 
 
 def kmer_counts(df: DataFrame, k: int, *, seq: str = "seq") -> DataFrame:
-    """``kmer, count`` over all sequences."""
-    words = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda p: F.substring(seq, p, k))
-    return df.where(F.length(seq) >= k).select(F.explode(words).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
+    """``kmer, count`` over all sequences, case kept. Words are counted per batch of sequences on the workers, then added up."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(iter(batches), 2_000):
+            texts = [t for t in column(table, "s").to_pylist() if len(t) >= k]
+            if not texts:
+                continue
+            letters, code = np.unique(np.concatenate([_codes(t) for t in texts]), return_inverse=True)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            first = np.repeat(np.cumsum(size) - size, size - k + 1)
+            start = first + np.arange(len(first)) - np.repeat(np.cumsum(size - k + 1) - (size - k + 1), size - k + 1)
+            base = len(letters)
+            if base**k < 1 << 62:
+                packed = np.zeros(len(start), np.int64)
+                for i in range(k):
+                    packed = packed * base + code[start + i]
+                words, n = np.unique(packed, return_counts=True)
+                digits = np.stack([words // base ** (k - 1 - i) % base for i in range(k)], axis=1)
+                names = ["".join(map(chr, row)) for row in letters[digits].tolist()]
+            else:
+                whole = "".join(texts)
+                words, n = np.unique(np.array([whole[p : p + k] for p in start.tolist()]), return_counts=True)
+                names = words.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+
+    some = df.where(F.length(seq) >= k).select(F.col(seq).alias("s"))
+    return some.mapInArrow(count, "kmer string, n bigint").groupBy("kmer").agg(F.sum("n").alias("count"))
 
 
 def base_frequencies(df: DataFrame, *, seq: str = "seq") -> DataFrame:

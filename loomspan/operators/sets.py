@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,33 +66,59 @@ def venn(rows: DataFrame, list_col: str, key: str, lists: list[str]) -> DataFram
 def pairwise(rows: DataFrame, list_col: str, key: str, lists: list[str], *, jaccard: bool = False) -> DataFrame:
     """``a, b, hits, score`` of every pair of named lists: shared keys over the smaller list, or Jaccard; no hits count as 1.
 
-    The pairs are counted in one pass over the membership masks; at most 63 lists.
+    The pairs are counted in one pass over the membership masks; over 63 lists, over the different sets of lists that keys are in.
     """
     if len(lists) > 63:
-        raise ValueError("at most 63 lists")
+        return _pairs_of_many(rows, list_col, key, lists, jaccard)
     masks = venn(rows, list_col, key, lists)  # at most min(keys, 2**lists) rows
     has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
     hit = lambda t: F.coalesce(F.sum(F.when(t, F.col("count"))), F.lit(0))
     pairs = [(i, j) for i in range(len(lists)) for j in range(i + 1, len(lists))]
     made = [F.struct(F.lit(lists[i]).alias("a"), F.lit(lists[j]).alias("b"), hit(has(i) & has(j)).alias("hits"), hit(has(i)).alias("na"), hit(has(j)).alias("nb")) for i, j in pairs]
     rows = masks.agg(F.array(*made).alias("p")).select(F.inline("p"))
+    return _scored(rows, jaccard)
+
+
+def _scored(rows: DataFrame, jaccard: bool) -> DataFrame:
     n = F.greatest("hits", F.lit(1))
     whole = F.col("na") + F.col("nb") - n if jaccard else F.least("na", "nb")
     return rows.select("a", "b", "hits", F.try_divide(n.cast("double"), whole).alias("score"))
 
 
+def _pairs_of_many(rows: DataFrame, list_col: str, key: str, lists: list[str], jaccard: bool) -> DataFrame:
+    """``pairwise`` for any number of lists; keys that are in the same lists are counted first and expanded once."""
+    number = {n: i for i, n in enumerate(lists)}
+    named = rows.sparkSession.createDataFrame(list(number.items()), f"`{list_col}` string, _i int")
+    wanted = rows.where(F.col(key).isNotNull()).join(F.broadcast(named), list_col)  # one row per list
+    together = wanted.groupBy(key).agg(F.sort_array(F.collect_set("_i")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    sizes = together.select(F.explode("l").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("size"))
+    hits = together.select(F.explode(_pairs("l")).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("hits"))
+    order = named.select(F.array_sort(F.collect_list("_i")).alias("l"))
+    every = order.select(F.explode(_pairs("l")).alias("p")).select("p.a", "p.b")  # the result has these rows
+    sized = named.join(sizes, named["_i"] == sizes["i"], "left").select("_i", F.col(list_col).alias("name"), F.coalesce("size", F.lit(0)).alias("size"))
+    one, two = sized.select(F.col("_i").alias("a"), F.col("name").alias("na_"), F.col("size").alias("na")), sized.select(F.col("_i").alias("b"), F.col("name").alias("nb_"), F.col("size").alias("nb"))
+    full = every.join(hits, ["a", "b"], "left").join(one, "a").join(two, "b")
+    return _scored(full.select(F.col("na_").alias("a"), F.col("nb_").alias("b"), F.coalesce("hits", F.lit(0)).alias("hits"), "na", "nb"), jaccard)
+
+
+def _pairs(name: str) -> Column:
+    """Pairs (a, b) of the entries of an array, the earlier one first."""
+    return F.flatten(F.transform(name, lambda x, i: F.transform(F.slice(name, i + 2, F.size(name)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
 def compare_bins(rows: DataFrame, list_col: str, chrom: str, left: str, *, bin_size: int = 2000) -> DataFrame:
-    """``a, b, score``: similarity of lists by the bins their left ends mark: (shared bins + 1) / smaller number of rows.
+    """``a, b, score``: similarity of every two lists by the bins their left ends mark: (shared bins + 1) / smaller number of rows.
 
-    The pairs are made per bin over the lists that mark it, so a bin gives at most (lists choose 2) rows.
+    Bins that the same lists mark are counted first, and the pairs made once for each such set of lists. Null list names don't count.
     """
-    sizes = rows.groupBy(list_col).agg(F.count(F.lit(1)).alias("n"))
-    marked = rows.select(list_col, chrom, F.floor(F.col(left) / bin_size).alias("bin")).distinct()
+    sizes = rows.where(F.col(list_col).isNotNull()).groupBy(list_col).agg(F.count(F.lit(1)).alias("n"))
+    marked = rows.where(F.col(list_col).isNotNull()).select(list_col, chrom, F.floor(F.col(left) / bin_size).alias("bin")).distinct()
     per_bin = marked.groupBy(chrom, "bin").agg(F.sort_array(F.collect_set(list_col)).alias("l"))
-    ends = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    hits = per_bin.select(F.explode(ends).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("hits"))
-    left_n, right_n = sizes.select(F.col(list_col).alias("a"), F.col("n").alias("na")), sizes.select(F.col(list_col).alias("b"), F.col("n").alias("nb"))
-    return hits.join(left_n, "a").join(right_n, "b").select("a", "b", ((F.col("hits") + 1) / F.least("na", "nb")).alias("score"))
+    together = per_bin.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    hits = together.select(F.explode(_pairs("l")).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("hits"))
+    every = sizes.agg(F.sort_array(F.collect_list(F.struct(list_col, "n"))).alias("l")).select(F.explode(_pairs("l")).alias("p"))  # the result has these rows
+    named = every.select(F.col(f"p.a.{list_col}").alias("a"), F.col(f"p.b.{list_col}").alias("b"), F.least("p.a.n", "p.b.n").alias("least"))
+    return named.join(hits, ["a", "b"], "left").select("a", "b", ((F.coalesce("hits", F.lit(0)) + 1) / F.col("least")).alias("score"))
 
 
 def occupancy(rows: DataFrame, list_col: str, chrom: str, left: str, lists: list[str], *, resolution: int = 1000, score: str | None = None) -> DataFrame:

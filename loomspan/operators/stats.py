@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.special import chi2_upper, normal_two_sided, t_two_sided
 from loomspan.operators.matrix import V, to_long
+from loomspan.operators.rows import with_ordinal
 from loomspan.session import checkpointed
 
 
@@ -196,15 +197,18 @@ def density(df: DataFrame, value: str, low: float, high: float, bins: int) -> Da
 def adjust(df: DataFrame, p: str, key: str, name: str = "q") -> DataFrame:
     """Benjamini-Hochberg values of a column of p-values; null stays null.
 
-    A running minimum from the largest p down needs all of them in order: the table has a row per test, of
-    conditions against a baseline or of terms, not of data.
+    Ties go by ``key``. The rank is a distributed ordinal; the running minimum from the largest p down is taken inside blocks of
+    ranks, with the least of the later blocks carried in.
     """
-    some = df.where(F.col(p).isNotNull())
-    n = some.agg(F.count(F.lit(1))).scalar()
-    rank = F.row_number().over(Window.orderBy(p, key))
-    raw = some.withColumn("_n", n).withColumn("_r", rank).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
-    low = F.min("_q").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn(name, F.least(low, F.lit(1.0))).drop("_n", "_r", "_q").unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    some = with_ordinal(df.where(F.col(p).isNotNull()), "_r", [p, key])
+    n = df.where(F.col(p).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    raw = some.withColumn("_n", n).withColumn("_q", F.col(p) * F.col("_n") / (F.col("_r") + 1)).withColumn("_b", F.shiftright("_r", 16))
+    down = Window.partitionBy("_b").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy().orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    carried = raw.groupBy("_b").agg(F.min("_q").alias("_l")).select("_b", F.min("_l").over(later).alias("_later"))
+    low = raw.withColumn("_low", F.min("_q").over(down)).join(carried, "_b")
+    done = low.withColumn(name, F.least("_low", F.coalesce("_later", F.lit(1.0)), F.lit(1.0))).select(*df.columns, name)
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def tests_against(df: DataFrame, names: list[str], baseline: str, *, test: str = "welch") -> list[tuple[str, float, float]]:

@@ -89,12 +89,14 @@ def cells(f: str, names: list[str] = NAMES) -> str:
     return ", ".join(f"round({f.replace('{}', n)}, 6) as {n}" for n in names)
 
 
-DNA = "dna as (select doc_id as rid, translate(md5(cast(doc_id as varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from documents)"
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+DNA = f"dna as (select * from (select doc_id as rid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') as seq from documents) where seq <> '')"
 
 
 def dna(spark: SparkSession, d: str) -> DataFrame:
-    word = F.translate(F.md5(F.col("doc_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("rid"), word.alias("seq"))
+    """Sequences made of the letters of whole texts; texts without a letter give none."""
+    word = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _BASES)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("rid"), word.alias("seq")).where("seq <> ''")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

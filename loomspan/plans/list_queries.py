@@ -266,10 +266,10 @@ def make_unique(spark, d):
 
 def _two(spark, d):
     li = table(spark, d, "lineitem")
-    return [li.where(f"l_returnflag = '{f}'").select("l_suppkey", "l_linenumber") for f in "AR"]
+    return [li.select("l_suppkey", "l_linenumber"), li.select(F.col("l_partkey").alias("l_suppkey"), "l_linenumber")]
 
 
-_TWO = "a as (select l_suppkey, l_linenumber from lineitem where l_returnflag = 'A'), b as (select l_suppkey, l_linenumber from lineitem where l_returnflag = 'R')"
+_TWO = "a as (select l_suppkey, l_linenumber from lineitem), b as (select l_partkey as l_suppkey, l_linenumber from lineitem)"
 
 
 @query(f"with {_TWO} select * from a union all select * from b")
@@ -282,7 +282,7 @@ def set_or(spark, d):
     return sets.union(*_two(spark, d))
 
 
-@query("with a as (select distinct l_suppkey, l_linenumber from lineitem where l_returnflag = 'A'), b as (select l_suppkey, l_linenumber from lineitem where l_returnflag = 'R') select a.* from a join b using (l_suppkey, l_linenumber)")
+@query("with a as (select distinct l_suppkey, l_linenumber from lineitem), b as (select l_partkey as l_suppkey, l_linenumber from lineitem) select a.* from a join b using (l_suppkey, l_linenumber)")
 def set_and(spark, d):
     a, b = _two(spark, d)
     return sets.intersect(a.distinct(), b)
@@ -319,7 +319,7 @@ def jaccard_compare(spark, d):
 @query(
     f"""with {PEAKS}, n as (select list, count(*) as n from peaks group by 1), b as (select distinct list, chrom, lo // 2000 as bin from peaks),
     h as (select x.list as a, y.list as b, count(*) as hits from b x join b y on x.chrom = y.chrom and x.bin = y.bin and x.list < y.list group by all)
-    select a, b, round((hits + 1) / least(p.n, q.n), 6) as score from h join n p on p.list = a join n q on q.list = b"""
+    select p.list as a, q.list as b, round((coalesce(hits, 0) + 1) / least(p.n, q.n), 6) as score from n p join n q on p.list < q.list left join h on h.a = p.list and h.b = q.list"""
 )
 def compare_bins(spark, d):
     p = peaks(spark, d).select("list", F.col("loc.chrom").alias("chrom"), F.col("loc.left").alias("left"))
@@ -338,13 +338,12 @@ def overlap_grid(spark, d):
 
 
 @query(
-    """with t as (select o_orderpriority as list, o_custkey as term, 1.0 / (1 + o_totalprice) as p from orders where o_totalprice > 1000), r as (select *, row_number() over (partition by list order by p, term) as k from t),
+    """with t as (select o_orderpriority as list, o_custkey as term, 1.0 / (1 + o_totalprice) as p from orders), r as (select *, row_number() over (partition by list order by p, term) as k from t),
     b as (select distinct term from r where k <= 5), l as (select distinct list from t), v as (select list, term, min(p) as p from t group by all)
     select b.term, l.list, round(coalesce(-log10(v.p + 1e-300), 0), 6) as value from b cross join l left join v on v.list = l.list and v.term = b.term"""
 )
 def top_terms(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 1000")
-    t = o.select(F.col("o_orderpriority").alias("list"), F.col("o_custkey").alias("term"), (1.0 / (1 + F.col("o_totalprice"))).alias("p"))
+    t = table(spark, d, "orders").select(F.col("o_orderpriority").alias("list"), F.col("o_custkey").alias("term"), (1.0 / (1 + F.col("o_totalprice"))).alias("p"))
     return sets.top_terms(t, "list", "term", "p").withColumn("value", F.round("value", 6))
 
 
@@ -386,10 +385,10 @@ def merge_tables(spark, d):
     return keyjoin.merge_tables([a, b], "k").select("k", F.col("conditions")[0].alias("v0"), F.col("conditions")[1].alias("v1"))
 
 
-@query("select p_partkey, cast(p_partkey in (select l_partkey from lineitem where l_quantity > 48) as double) as hit from part")
+@query("select c_custkey, cast(c_custkey in (select o_custkey from orders) as double) as hit from customer")
 def hits_along(spark, d):
-    members = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return keyjoin.hits_along(table(spark, d, "part").select("p_partkey"), members, "p_partkey")
+    members = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return keyjoin.hits_along(table(spark, d, "customer").select("c_custkey"), members, "c_custkey")
 
 
 # --- interval joins ---------------------------------------------------------------------------------
@@ -504,7 +503,15 @@ def dedupe_delete_any(spark, d):
     return intervals.dedupe_by_loc(peaks(spark, d), mode="overlap", delete_any_matches=True).select("rid")
 
 
-@query()
+@query(
+    f"""with recursive {PEAKS}, w as (select rid, chrom, (lo + hi) // 2 - 200 as l, (lo + hi) // 2 + 200 as r from peaks),
+    x as (select *, max(r) over (partition by chrom order by l, r, rid rows between unbounded preceding and 1 preceding) as reach from w),
+    y as (select *, sum(case when reach is null or l > reach then 1 else 0 end) over (partition by chrom order by l, r, rid rows unbounded preceding) as island from x),
+    k as (select *, row_number() over (partition by chrom, island order by rid) as n, count(*) over (partition by chrom, island) as size from y),
+    g as (select chrom, island, 1::bigint as n, size, [{{'id': rid, 'l': l, 'r': r}}] as kept from k where n = 1
+      union all select g.chrom, g.island, k.n, g.size, case when len(list_filter(g.kept, lambda e: e.l <= k.r and e.r >= k.l)) = 0 then list_append(g.kept, {{'id': k.rid, 'l': k.l, 'r': k.r}}) else g.kept end from g join k on k.chrom = g.chrom and k.island = g.island and k.n = g.n + 1)
+    select unnest(kept).id as rid from g where n = size"""
+)
 def dedupe_by_loc(spark, d):
     return intervals.dedupe_by_loc(peaks(spark, d)).select("rid")
 
@@ -523,6 +530,11 @@ def cluster_blocks(spark, d):
     return out.select("chrom", F.col("left").alias("lo"), F.col("right").alias("hi"), "cid")
 
 
-@query()
+@query(
+    f"""with recursive {PEAKS}, k as (select *, row_number() over (partition by chrom order by hi, hi - lo, rid) as n from peaks),
+    g as (select chrom, rid, hi, n from k where n = 1
+      union all select chrom, f.rid, f.hi, f.n from (select g.chrom, min_by({{'rid': k.rid, 'hi': k.hi, 'n': k.n}}, k.n) as f from g join k on k.chrom = g.chrom and k.n > g.n and k.lo > g.hi group by g.chrom))
+    select rid from g"""
+)
 def most_disjoint(spark, d):
     return intervals.most_disjoint(peaks(spark, d)).select("rid")

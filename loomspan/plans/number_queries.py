@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from loomspan import streaming
 from loomspan.functions import arrays
-from loomspan.operators import contacts, learn, massspec, motifs, stats, tracks
+from loomspan.operators import contacts, intervals, learn, massspec, motifs, stats, tracks
 from loomspan.operators import matrix as mx
 from loomspan.operators import rows as row_ops
 from loomspan.plans.base import DNA, GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, cells, columns, dna, genes, matrix, peaks, query, reads
 from loomspan.plans.general import table
+from loomspan.plans.list_queries import PRIORITIES
 
 M = f"with {MATRIX} select rid, "
 SUM = " + ".join(NAMES)
@@ -194,8 +195,9 @@ def bundle(spark, d):
 
 
 @query(
-    f"""with {LONG}, k as (select *, row_number() over (partition by ix order by value, rid) as k from long), a as (select k, avg(value) as v from k group by k)
-    select rid, """ + ", ".join(f"round(max(case when cond = '{n}' then v end), 6) as {n}" for n in NAMES) + " from k join a using (k) group by rid"
+    f"""with {LONG}, k as (select *, row_number() over (partition by ix order by value, rid) as k from long), a as (select k, avg(value) as v from k group by k),
+    t as (select rid, cond, median(v) over (partition by ix, value) as v from k join a using (k))
+    select rid, """ + ", ".join(f"round(max(case when cond = '{n}' then v end), 6) as {n}" for n in NAMES) + " from t group by rid"
 )
 def quantile_normalise(spark, d):
     return columns(mx.quantile_normalise(matrix(spark, d), NAMES, "rid"))
@@ -356,7 +358,13 @@ def enrichment_z(spark, d):
     return tracks.enrichment(_track(spark, d), genes(spark, d), key="gid", peak_window=100, local=1000).select("gid", F.round("z", 4).alias("z"))
 
 
-@query()
+@query(
+    f"""{_TRACK}, {GENES}, {_CLIP(f'({_MID} - 1000)', f'({_MID} + 1000)')},
+    f as (select gid, value, b > w0 + 900 and a < w0 + 1100 as inner_, greatest(0, least(b, w0 + 900) - a) + greatest(0, b - greatest(a, w0 + 1100)) as n from c),
+    s as (select gid, max(case when inner_ then value end) as p, sum(value * n) / 1800.0 as m, sum(value * value * n) / 1800.0 as q from f group by gid),
+    own as (select g.gid, coalesce(p, 0) as p, coalesce(m, 0) as m, sqrt(greatest(coalesce(q, 0) - coalesce(m, 0) * coalesce(m, 0), 0)) as d from genes g left join s on s.gid = g.gid), lim as (select median(m) + 1.2 * stddev_pop(m) as l from own)
+    select gid, round(case when p > 0 then (p - m) / greatest(d, 0.001) else 0 end, 4) as z from own, lim where p > l and p > m + 1.2 * d"""
+)
 def redefine_peaks(spark, d):
     return tracks.redefine_peaks(_track(spark, d), genes(spark, d), key="gid", peak_window=100, local=1000).select("gid", F.round("z", 4).alias("z"))
 
@@ -405,7 +413,12 @@ def heat_profile(spark, d):
     return tracks.heat_profile(tracks.heat_bins(reads(spark, d)), genes(spark, d), window=100).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    f"""{_TRACK}, {GENES}, g as (select * from genes where hi - lo >= 50), x as (select *, pt / 49.0 * (hi - lo - 1) as x from g, (select unnest(range(50)) as pt)),
+    y as (select *, cast(floor(x) as bigint) as x0, least(cast(floor(x) as bigint) + 1, hi - lo - 1) as x1 from x),
+    v as (select y.*, coalesce(s.value, 0) as v0, coalesce(t.value, 0) as v1 from y left join track s on s.chrom = y.chrom and s.s <= lo + x0 and lo + x0 < s.e left join track t on t.chrom = y.chrom and t.s <= lo + x1 and lo + x1 < t.e)
+    select pt as point, round(sum(v0 + (v1 - v0) * (x - x0)) / (select count(*) from g), 6) as value from v group by pt"""
+)
 def scaled_profile(spark, d):
     return tracks.scaled_profile(_track(spark, d), genes(spark, d), points=50, key="gid").withColumn("value", F.round("value", 6))
 
@@ -630,10 +643,19 @@ def som_nodes(spark, d):
 
 @query()
 def condition_tree(spark, d):
-    by_cond = mx.to_long(matrix(spark, d), NAMES, ["rid"]).groupBy("cond").agg(F.transform(F.array_sort(F.collect_list(F.struct("rid", "value"))), lambda s: s["value"]).alias("conditions"))
-    order, _, groups = learn.tree(by_cond, "cond", clusters=2)
-    keys = [r[0] for r in by_cond.select("cond").collect()]
-    return spark.createDataFrame([(k, order.index(k), int(g)) for k, g in zip(keys, groups)], "cond string, place int, cluster int")
+    order, _, groups = learn.column_tree(matrix(spark, d), NAMES, clusters=2)
+    return spark.createDataFrame([(k, i, int(g)) for i, (k, g) in enumerate(zip(order, groups))], "cond string, place int, cluster int")
+
+
+@query(
+    f"""with {LONG}, g as (select x.cond as a, y.cond as b, sqrt(sum((x.value - y.value) * (x.value - y.value))) as d from long x join long y on x.rid = y.rid and x.cond < y.cond group by all)
+    select min_by(a, d) as a, min_by(b, d) as b, round(min(d), 4) as height from g"""
+)
+def condition_tree_first(spark, d):
+    """The first merge of the tree: the closest two conditions."""
+    order, merges, _ = learn.column_tree(matrix(spark, d), NAMES)
+    a, b = sorted(NAMES[int(i)] for i in merges[0, :2])
+    return spark.createDataFrame([(a, b, round(float(merges[0, 2]), 4))], "a string, b string, height double")
 
 
 # --- streaming forms, on a finished input -----------------------------------------------------------
@@ -672,14 +694,33 @@ def array_bins(spark, d):
     return m.select("rid", s[0].alias("b0"), s[1].alias("b1"), s[2].alias("b2"), a[0].alias("m0"), arrays.fold_up(two, ["AF", "NO"], "AF").alias("up"))
 
 
-@query()
-def cluster_heat(spark, d):
-    from loomspan.operators import intervals
-    from loomspan.plans.list_queries import PRIORITIES
+_BLOCKS = f"""{PEAKS}, {READS}, {_SWEEP}, w0 as (select *, (lo + hi) // 2 - 400 as l, (lo + hi) // 2 + 400 as r from peaks),
+    x0 as (select *, max(r) over (partition by chrom order by l, r, rid rows between unbounded preceding and 1 preceding) as reach from w0),
+    y0 as (select *, sum(case when reach is null or l > reach then 1 else 0 end) over (partition by chrom order by l, r, rid rows unbounded preceding) as n from x0),
+    blocks as (select chrom, (min(l) + max(r)) >> 1 as mid, cast(""" + " + ".join(f"max(case when list = '{p}' then {1 << (4 - i)} else 0 end)" for i, p in enumerate(PRIORITIES)) + """ as bigint) as cid from y0 group by chrom, n),
+    sizes as (select cid, count(*) as n from blocks group by cid)"""
 
+
+def _blocks(spark, d):
     ix = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("list")) - 1
-    blocks = intervals.cluster_blocks(peaks(spark, d).withColumn("ix", ix), "ix", 5)
-    return tracks.cluster_heat(_track(spark, d), blocks).withColumn("mean", F.round("mean", 6))
+    return intervals.cluster_blocks(peaks(spark, d).withColumn("ix", ix), "ix", 5)
+
+
+@query(
+    f"""with {_BLOCKS}, c as (select b.*, greatest(s, mid - 1000) as a, least(e, mid + 1000) as z, mid - 1000 as w0, value from blocks b join track t on t.chrom = b.chrom and t.e > mid - 1000 and t.s < mid + 1000),
+    k as (select cid, a - w0 as a, z - w0 as z, value, unnest(range((a - w0) // 100, (z - w0 - 1) // 100 + 1)) as bin from c)
+    select k.cid, bin, round(sum(value * (least(z, (bin + 1) * 100) - greatest(a, bin * 100))) / any_value(n), 6) as mean from k join sizes using (cid) where bin < 20 group by k.cid, bin"""
+)
+def cluster_heat(spark, d):
+    return tracks.cluster_heat(_track(spark, d), _blocks(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""with {_BLOCKS}, c as (select b.cid, value, unnest(range(greatest(s, mid - 50) - mid, least(e, mid + 50) - mid)) as "offset" from blocks b join track t on t.chrom = b.chrom and t.e > mid - 50 and t.s < mid + 50)
+    select c.cid, "offset", round(sum(value) / any_value(n), 6) as value from c join sizes using (cid) group by c.cid, "offset" """
+)
+def cluster_pileup(spark, d):
+    return tracks.cluster_pileup(_track(spark, d), _blocks(spark, d), window=50).withColumn("value", F.round("value", 6))
 
 
 @query("select l_linenumber, count(*) as count, round(avg(l_quantity / 10), 6) as mean, round(stddev_samp(l_quantity / 10), 6) as std from lineitem group by 1")
@@ -705,13 +746,57 @@ def read_quality(spark, d):
     return readqc.quality_by_position(_dna_reads(spark, d)).select("pos", F.round("mean", 6).alias("mean"), "reads")
 
 
-@query("with s as (select substr(md5(cast(doc_id as varchar)), 1, 2) as seq from documents), n as (select seq, count(*) as n from s group by seq) select least(n, 499) as copies, count(*) as sequences from n group by 1")
+@query("with n as (select text as seq, count(*) as n from documents where text is not null group by text) select least(n, 499) as copies, count(*) as sequences from n group by 1")
 def read_duplicates(spark, d):
     from loomspan.operators import readqc
 
-    return readqc.duplicates(table(spark, d, "documents").select(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2).alias("seq")))
+    return readqc.duplicates(table(spark, d, "documents").select(F.col("text").alias("seq")).where("seq is not null"))
 
 
 @query()
 def heat_payload(spark, d):
     return learn.heat_payload(matrix(spark, d), "rid", NAMES, row_norm=True).withColumn("value", F.round("value", 6))
+
+
+_SCAN = [[1.0, 0.0, 0.0, -1.0], [0.0, 2.0, -1.0, 0.0], [-1.0, 0.0, 1.5, 0.0]]
+_WINDOWS = f"""{DNA}, w as (select rid, unnest(range(0, length(seq) - 2)) as pos, seq from dna), s as (select rid, pos, substr(seq, pos + 1, 3) as k from w),
+ f as (select rid, pos, '+' as strand, k, """ + " + ".join("(case substr(k, %d, 1) when 'A' then %s when 'C' then %s when 'G' then %s else %s end)" % (i + 1, *r) for i, r in enumerate(_SCAN)) + """ as v from s
+ union all select rid, pos, '-', k, """ + " + ".join("(case substr(k, %d, 1) when 'T' then %s when 'G' then %s when 'C' then %s else %s end)" % (3 - i, *r) for i, r in enumerate(_SCAN)) + """ from s),
+ n as (select rid, pos, strand, (v - -3.0) / (4.5 - -3.0) as score from f)"""
+
+
+@query(f"with {_WINDOWS} select rid, round(max(score), 6) as score from n group by rid")
+def motif_best_score(spark, d):
+    return motifs.best_score(dna(spark, d), _SCAN, key="rid").select("rid", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_WINDOWS}, m as (select rid, avg(score) as m, stddev_pop(score) as s from n group by rid) select 'x' as motif, n.rid, cast(pos as integer) as pos, strand, round(score, 6) as score from n join m using (rid) where (score - m) / s > 1.5")
+def motif_set_hits(spark, d):
+    return motifs.motif_set_hits(dna(spark, d), {"x": _SCAN}, key="rid", z=1.5).select("motif", "rid", "pos", "strand", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_WINDOWS}, t as (select unnest(range(5)) as i) select round(0.6 + 0.1 * i, 6) as threshold, (select count(*) from n where score >= 0.6 + 0.1 * i) as hits from t")
+def motif_error_rate(spark, d):
+    return motifs.error_rate(dna(spark, d), _SCAN, first=0.6, step=0.1, steps=5).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(
+    f"""with {DNA}, b as (select seq from dna union all select reverse(translate(seq, 'ACGT', 'TGCA')) from dna), p as (select unnest(range(0, (select max(length(seq)) from dna))) as pos), h as (select pos, count(*) as hits from b, p where substr(seq, pos + 1, 2) in ('AC', 'GC') group by pos),
+    f as (select pos, coalesce(hits, 0) as hits from p left join h using (pos)), w as (select unnest([4, 8]) as win)
+    select win as "window", x.pos, x.hits, round(sum(y.hits) / win, 6) as mean from f x, w join f y on y.pos >= x.pos and y.pos < x.pos + win join (select count(*) as places from p) as z on x.pos + win <= z.places group by win, x.pos, x.hits"""
+)
+def motif_periodicity(spark, d):
+    return motifs.periodicity(dna(spark, d), "RC", windows=[4, 8]).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""with {_CONTACTS}, t as (select chrom, g * 5 as lo, g * 5 + 3 as hi from (select distinct chrom, i // 5 as g from contacts))
+    select t.chrom, lo * 100 as "left", hi * 100 + 99 as "right", sum(case when i between lo and hi and j between lo and hi then score else 0 end) as inside,
+    sum(case when i between lo and hi and j between lo and hi then 0 else score end) as across
+    from t join contacts c on c.chrom = t.chrom and (i between lo and hi or j between lo and hi) group by all"""
+)
+def contact_domains(spark, d):
+    c = _contacts(spark, d)
+    g = F.floor(F.col("i") / 5) * 5
+    tads = c.select("chrom", (g * 100).alias("left"), ((g + 3) * 100 + 99).alias("right")).distinct()
+    return contacts.domains(tads, c, 100)
