@@ -30,17 +30,17 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
         hubs = at_u.groupBy("v").agg(F.min("lu").alias("c")).select(F.col("v").alias("node"), "c")
         at_v = pairs.join(labels.select(F.col("node").alias("v"), F.col("component").alias("lv")), "v")
         members = at_v.groupBy("u").agg(F.min("lv").alias("c")).select(F.col("u").alias("node"), "c")
-        own = labels.select("node", F.col("component").alias("c"))
-        lower = checkpointed(own.unionByName(hubs).unionByName(members).groupBy("node").agg(F.min("c").alias("c")))
+        own = labels.select("node", F.col("component").alias("c"), F.col("component").alias("before"))
+        told = own.unionByName(hubs.unionByName(members).withColumn("before", F.lit(None).cast("bigint")))
+        lower = checkpointed(told.groupBy("node").agg(F.min("c").alias("c"), F.max("before").alias("before")))
         jump = lower.where("c < node").select(F.col("node").alias("c"), F.col("c").alias("further"))
-        jump = checkpointed(jump.join(lower.select("c").distinct(), "c", "left_semi"))
+        jump = jump.join(lower.select("c").distinct(), "c", "left_semi")
         if jump.count() <= FEW:
             onward = lower.join(F.broadcast(jump), "c", "left")
         else:
             salted = lower.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
             onward = salted.join(jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["c", "salt"], "left")
-        new = checkpointed(onward.select("node", F.coalesce("further", "c").alias("component")))
-        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+        labels = checkpointed(onward.select("node", F.coalesce("further", "c").alias("component"), "before"))
+        if labels.where("component <> before").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")

@@ -350,12 +350,20 @@ def describe_clusters(df: DataFrame, clusters: DataFrame, id_col: str = "rid", v
     shuffle. Missing entries count as the record's mean. Ties go to the smaller id. ``by`` = ``pivot`` describes the
     groups of the closest pivots instead. Null ids and groups of one have no typical member.
     """
-    logs = F.transform(F.col(values), lambda v: F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), F.log2(v.cast("double") + 1)))
-    known = F.filter("x", lambda v: v.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v, lambda a: a / F.greatest(F.size(known), F.lit(1)))
-    rows = df.select(F.col(id_col).cast("bigint").alias("rid"), logs.alias("x")).withColumn("x", F.transform("x", lambda v: F.coalesce(v - mean, F.lit(0.0))))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
-    rows = rows.select("rid", F.transform("x", lambda v: v / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("x"))
+    def standardise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(iter(batches), 4096):
+            lists = column(table, "v")
+            sizes = np.diff(lists.offsets.to_numpy())
+            x = _matrix(lists, int(sizes.max(initial=0)))
+            has = np.isfinite(x)
+            x = np.where(has, x - np.where(has, x, 0).sum(axis=1, keepdims=True) / np.maximum(has.sum(axis=1, keepdims=True), 1), 0)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = x / np.where(norm > 0, norm, 1)
+            inside = np.arange(x.shape[1]) < sizes[:, None]
+            yield pa.RecordBatch.from_arrays([column(table, "rid"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(x[inside]))], names=["rid", "x"])
+
+    usable = df.where(F.col(id_col).isNotNull() & F.col(values).isNotNull())
+    rows = usable.select(F.col(id_col).cast("bigint").alias("rid"), F.col(values).cast("array<double>").alias("v")).mapInArrow(standardise, "rid bigint, x array<double>")
     member = rows.join(clusters.select("rid", F.col(by).alias("head_rid")), "rid")
     sums = member.select("head_rid", F.posexplode("x").alias("pos", "v")).groupBy("head_rid", "pos").agg(F.sum("v").alias("m"))
     centres = sums.groupBy("head_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
