@@ -44,6 +44,26 @@ def read_cooler(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{n} string" for n in names)).option("sep", "\t").csv(path).where("chrom1 <> 'chrom1'")
 
 
+def save_contacts(contacts: DataFrame, path: str, bin_size: int) -> None:
+    """Store a matrix, a folder per chromosome, with its bin size."""
+    from loomspan.sources.store import write_info
+
+    contacts.repartition("chrom", F.shiftright("i", 10)).sortWithinPartitions("chrom", "i", "j").write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/pixels")
+    write_info(contacts.sparkSession, path, bin_size=bin_size)
+
+
+def open_contacts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """A stored matrix and its bin size."""
+    from loomspan.sources.store import read_info
+
+    return spark.read.parquet(f"{path}/pixels").select("chrom", "i", "j", "score"), int(read_info(spark, path)["bin_size"])
+
+
+def keys(contacts: DataFrame) -> DataFrame:
+    """``chrom, bins, contacts``: what a matrix holds."""
+    return contacts.groupBy("chrom").agg((F.max("j") + 1).alias("bins"), F.count(F.lit(1)).alias("contacts"))
+
+
 def domains(tads: DataFrame, contacts: DataFrame, bin_size: int) -> DataFrame:
     """``chrom, left, right, inside, across``: contacts within each domain (``chrom, left, right``) and from it to elsewhere on the chromosome."""
     lo, hi = F.floor(F.col("left") / bin_size), F.floor(F.col("right") / bin_size)

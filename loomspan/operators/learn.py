@@ -611,3 +611,18 @@ def som_input(df: DataFrame, *, low: float = 1.0, high: float = 7.0) -> DataFram
 
     cv = F.try_divide(deviation(), mean())
     return df.where((cv > low) & (cv < high))
+
+
+def normalise(points: np.ndarray, method: str = "var") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns to mean 0 and deviation 1 (``var``) or to 0..1 (``range``), with the shift and scale of each; a constant column becomes 0."""
+    if method not in ("var", "range"):
+        raise ValueError("method must be var or range")
+    shift = points.mean(axis=0) if method == "var" else points.min(axis=0)
+    scale = points.std(axis=0) if method == "var" else np.ptp(points, axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
+    return (points - shift) / scale, shift, scale
+
+
+def denormalise(points: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What ``normalise`` was given."""
+    return points * scale + shift

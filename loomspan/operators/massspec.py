@@ -111,6 +111,14 @@ def merge_replicates(df: DataFrame, groups: dict[str, list[str]], *, name: str =
     return merged.groupBy(name, "sample").agg(*[f(c).alias(c) for c, f in kept.items() if c in df.columns])
 
 
+def wide(df: DataFrame, samples: list[str], *, name: str = "name", pid: str | None = "pid") -> DataFrame:
+    """One row per protein: intensity, peptides, call and fold change of every sample, those that the table has; absent ones are null."""
+    kept = [c for c in ("intensity", "peptides", "called", "fold_change") if c in df.columns]
+    at = lambda c, s: F.max(F.when(F.col("sample") == s, F.col(c))).alias(f"{c}_{s}")
+    first = [F.min(pid).alias(pid)] if pid and pid in df.columns else []
+    return df.groupBy(name).agg(*first, *[at(c, s) for s in samples for c in kept])
+
+
 def call_code(called: Column) -> Column:
     """Calls as numbers: unknown 0.1, true 1, false 0."""
     return F.when(called.isNull(), 0.1).when(called, 1.0).otherwise(0.0)

@@ -187,6 +187,12 @@ def base_frequencies(df: DataFrame, *, seq: str = "seq") -> DataFrame:
     return shares.join(bits, "pos").select("pos", "base", "count", "share", "bits")
 
 
+def count_matrix(df: DataFrame, *, seq: str = "seq") -> list[list[float]]:
+    """Base counts (A C G T) by place of aligned sequences, for ``counts_to_weights``; a row per place of the motif."""
+    found = {(r.pos, r.base): float(r["count"]) for r in base_frequencies(df, seq=seq).select("pos", "base", "count").collect()}
+    return [[found.get((p, b), 0.0) for b in "ACGT"] for p in range(max((p for p, _ in found), default=-1) + 1)]
+
+
 def counts_to_weights(counts: list[list[float]]) -> list[list[float]]:
     """log2 of (f + sqrt(N) / 4) / (N + sqrt(N)) / 0.25 for a matrix of base counts (rows are places; A C G T)."""
     out = []

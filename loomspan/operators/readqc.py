@@ -21,3 +21,10 @@ def duplicates(reads: DataFrame, *, most: int = 499) -> DataFrame:
     """``copies, sequences``: how many sequences occur so often; counts from ``most`` on are one class."""
     each = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy(F.least("n", F.lit(most)).alias("copies")).agg(F.count(F.lit(1)).alias("sequences"))
+
+
+def uniqueness(reads: DataFrame) -> DataFrame:
+    """``unique, repeated, percent_unique``: how many different sequences occur once and more often."""
+    each = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.agg(F.count_if(F.col("n") == 1).alias("unique"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return counts.withColumn("percent_unique", F.try_divide(F.col("unique") * 100.0, F.col("unique") + F.col("repeated")))

@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def stack(lists: dict[str, DataFrame], name: str = "list_name") -> DataFrame:
+    """Named lists in one frame with ``name``, the order of the arguments as ``list_ix``; keys a list lacks are null."""
+    if not lists:
+        raise ValueError("no lists")
+    named = [df.withColumn(name, F.lit(n)).withColumn("list_ix", F.lit(i)) for i, (n, df) in enumerate(lists.items())]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def shared_keys(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 

@@ -76,14 +76,14 @@ def to_array(track: DataFrame, chrom: str, left: int, right: int) -> DataFrame:
     return parts.select(F.transform(F.sequence(F.lit(left), F.lit(right - 1)), lambda p: F.coalesce(F.get(at(p), 0)["value"].cast("double"), F.lit(0.0))).alias("values"))
 
 
-def _clipped(track: DataFrame, loci: DataFrame, window: Column, *, bin_size: int = BIN) -> DataFrame:
-    """Rows ``l`` (locus), ``from``, ``to`` (stretch of a run inside the locus' window, half-open), ``value``."""
+def _clipped(track: DataFrame, loci: DataFrame, window: Column, *, bin_size: int = BIN, by: list[str] = ()) -> DataFrame:
+    """Rows ``l`` (locus), ``from``, ``to`` (stretch of a run inside the locus' window, half-open), ``value``, and ``by`` of the run."""
     wide = loci.withColumn("_w", window)
     span = loc(F.col("chrom"), F.col("start"), F.col("end") - 1)
     inner = loc(F.col("_w.chrom"), F.col("_w.left"), F.col("_w.right") - 1)
     hits = bin_pairs(wide, track, inner, span, bin_size=bin_size, long_intervals=True)
     hits = hits.where("b.end > a._w.left and b.start < a._w.right")
-    return hits.select(F.col("a").alias("l"), F.greatest("b.start", "a._w.left").alias("from"), F.least("b.end", "a._w.right").alias("to"), F.col("b.value").alias("value"))
+    return hits.select(F.col("a").alias("l"), F.greatest("b.start", "a._w.left").alias("from"), F.least("b.end", "a._w.right").alias("to"), F.col("b.value").alias("value"), *[F.col(f"b.{c}").alias(c) for c in by])
 
 
 def pileup(track: DataFrame, loci: DataFrame, *, window: int, strand: str | None = "strand", loc_key: str = "loc", average: bool = True, mask_zero: bool = False, library: float | None = None) -> DataFrame:
@@ -112,15 +112,15 @@ def pileup(track: DataFrame, loci: DataFrame, *, window: int, strand: str | None
     return out.select("offset", (value / library if library else value).alias("value"))
 
 
-def heat_rows(track: DataFrame, loci: DataFrame, *, key: str = "rid", distance: int = 1000, bins: int = 200, loc_key: str = "loc", log_base: float | None = None, pad: float = 0.1) -> DataFrame:
-    """``key, bin, value``: signal per locus summed in ``bins`` bins of +- ``distance`` around its midpoint; empty bins are left out."""
+def heat_rows(track: DataFrame, loci: DataFrame, *, key: str = "rid", distance: int = 1000, bins: int = 200, loc_key: str = "loc", log_base: float | None = None, pad: float = 0.1, by: list[str] = ()) -> DataFrame:
+    """``key, bin, value`` (and ``by``, columns of the track): signal per locus summed in ``bins`` bins of +- ``distance`` around its midpoint; empty bins are left out."""
     width = 2 * distance // bins
     middle = F.shiftright(F.col(f"{loc_key}.left") + F.col(f"{loc_key}.right"), 1)
-    parts = _clipped(track, loci, loc(F.col(f"{loc_key}.chrom"), middle - distance, middle + distance))
-    rel = parts.select(F.col(f"l.{key}").alias(key), (F.col("from") - F.col("l._w.left")).alias("a"), (F.col("to") - F.col("l._w.left")).alias("b"), "value")
+    parts = _clipped(track, loci, loc(F.col(f"{loc_key}.chrom"), middle - distance, middle + distance), by=by)
+    rel = parts.select(*by, F.col(f"l.{key}").alias(key), (F.col("from") - F.col("l._w.left")).alias("a"), (F.col("to") - F.col("l._w.left")).alias("b"), "value")
     cut = rel.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
     share = F.least("b", (F.col("bin") + 1) * width) - F.greatest("a", F.col("bin") * width)
-    out = cut.where(F.col("bin") < bins).groupBy(key, "bin").agg(F.sum(F.col("value") * share).alias("value"))
+    out = cut.where(F.col("bin") < bins).groupBy(*by, key, "bin").agg(F.sum(F.col("value") * share).alias("value"))
     return out.withColumn("value", F.ln(F.col("value") + pad) / math.log(log_base)) if log_base else out
 
 
@@ -256,10 +256,5 @@ def per_million(track: DataFrame, total_reads: int) -> DataFrame:
 
 
 def list_heat(tracks: DataFrame, by: str, peaks: DataFrame, *, key: str = "rid", **options) -> DataFrame:
-    """``by, key, bin, value`` for several tracks stacked in one frame."""
-    wide = tracks.select(F.concat_ws("\x01", by, "chrom").alias("chrom"), by, "start", "end", "value")
-    names = tracks.agg(F.collect_set(by)).scalar()
-    each = peaks.withColumn("_n", names).withColumn("_t", F.explode("_n")).drop("_n")
-    place = each.select(F.struct("_t", key).alias("_k"), loc(F.concat_ws("\x01", "_t", F.col("loc.chrom")), F.col("loc.left"), F.col("loc.right")).alias("loc"))
-    rows = heat_rows(wide, place, key="_k", **options)
-    return rows.select(F.col("_k._t").alias(by), F.col(f"_k.{key}").alias(key), "bin", "value")
+    """``by, key, bin, value`` for several tracks stacked in one frame, from one join: the peaks aren't repeated per track."""
+    return heat_rows(tracks, peaks.select(key, "loc"), key=key, by=[by], **options).select(by, key, "bin", "value")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import contacts, massspec, matrix, tracks
+from loomspan.operators import contacts, massspec, matrix, readqc, sets, tracks
 from loomspan.plans.base import GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, columns, flat, genes, peaks, query, reads
 from loomspan.plans.base import matrix as make_matrix
 from loomspan.plans.general import table
@@ -401,3 +401,33 @@ def save_long_matrix(spark, d):
     path = folder(spark, "long")
     writers.write_delimited(matrix.to_long(make_matrix(spark, d), NAMES, ["rid"]).select("rid", "cond", "value"), path, sep="\t")
     return readers.read_table(spark, path, Format(keys={"id": "0", "cond": "1", "value": "2"}, tsv=True)).select(F.col("id").alias("rid"), "cond", "value")
+
+
+@query("select concat('chr', p_size % 3) as chrom, max(p_partkey + p_size) + 1 as bins, count(*) as contacts, 1000 as bin_size from part where p_partkey % 4 <> 0 group by 1")
+def contact_store(spark, d):
+    """A stored contact matrix: its chromosomes and bin size."""
+    path = folder(spark, "contacts")
+    contacts.save_contacts(load_cooler(spark, d), path, 1000)
+    pixels, size = contacts.open_contacts(spark, path)
+    return contacts.keys(pixels).withColumn("bin_size", F.lit(size))
+
+
+@query("with l as (select 'nations' as list_name, 0 as list_ix, n_name as name, n_regionkey as k from nation union all select 'regions', 1, r_name, null from region) select * from l")
+def stack_lists(spark, d):
+    a = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("k"))
+    return sets.stack({"nations": a, "regions": table(spark, d, "region").select(F.col("r_name").alias("name"))})
+
+
+@query("select concat('A', p_partkey) as name, concat('P', p_partkey) as pid, p_retailprice as intensity_s1, cast(p_size as double) as peptides_s1, p_retailprice * 2 as intensity_s2, cast(p_size + 1 as double) as peptides_s2 from part")
+def save_massspec(spark, d):
+    """A mass-spec table written with columns per sample, read back."""
+    path = folder(spark, "massspec")
+    long = load_maxquant(spark, d).where(F.col("name").startswith("A"))
+    writers.write_delimited(massspec.wide(long, ["s1", "s2"]), path, sep="\t")
+    got = readers.read_table(spark, path, "sniffer_tsv")
+    return got.select("name", "pid", *[F.round(F.col(f"{c}_{s}").cast("double"), 6).alias(f"{c}_{s}") for s in ("s1", "s2") for c in ("intensity", "peptides")])
+
+
+@query("with n as (select text, count(*) as n from documents where text is not null group by text) select count(case when n = 1 then 1 end) as unique, count(case when n > 1 then 1 end) as repeated from n".replace("as unique", 'as "unique"'))
+def read_uniqueness(spark, d):
+    return readqc.uniqueness(table(spark, d, "documents").where("text is not null").select(F.col("text").alias("seq"))).select("unique", "repeated")

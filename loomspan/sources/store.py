@@ -31,6 +31,40 @@ def find(store: DataFrame, name: str) -> DataFrame:
     return store.where(F.col("name") == name)
 
 
+def by_feature(store: DataFrame, feature_type: str) -> DataFrame:
+    """Features of one type."""
+    return store.where(F.col("feature_type") == feature_type)
+
+
+def by_key(store: DataFrame, key: str, value) -> DataFrame:
+    """Features whose ``key`` is ``value``; an unknown key is an error."""
+    if key not in store.columns:
+        raise ValueError(f"the store has no {key!r}")
+    return store.where(F.col(key) == value)
+
+
+def has_chromosome(store: DataFrame, chrom: str) -> bool:
+    """Whether the store holds a chromosome, written with or without ``chr``: its folder is looked up, no more is read than one row."""
+    bare = chrom[3:] if chrom.lower().startswith("chr") else chrom
+    return not store.where(F.col("chrom").isin(f"chr{bare}", bare)).isEmpty()
+
+
+def write_info(spark: SparkSession, path: str, **facts) -> None:
+    """Keep named facts (text) beside a table; those of the same name are replaced."""
+    whole = {**read_info(spark, path), **{k: str(v) for k, v in facts.items()}}
+    spark.createDataFrame(sorted(whole.items()), "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_info")
+
+
+def read_info(spark: SparkSession, path: str) -> dict[str, str]:
+    """The facts kept by ``write_info``; none if there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/_info").collect()}  # a few facts
+    except AnalysisException:
+        return {}
+
+
 def chromosomes(store: DataFrame) -> DataFrame:
     """``chrom, num_features``."""
     return store.groupBy("chrom").agg(F.count(F.lit(1)).alias("num_features"))
