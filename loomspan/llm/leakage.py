@@ -253,13 +253,13 @@ def _exact(a: np.ndarray, b: np.ndarray, is_start: np.ndarray, x: np.ndarray, he
     return same.all(axis=1) & is_start[np.clip(edge, 0, len(b))]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 12, max_edits: int = 1, item_block: int = 20_000, chunk_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 12, max_edits: int = 1, item_chars: int = 16_000_000, chunk_chars: int = 4_000_000) -> DataFrame:
     """``doc_id, item_id, edits``: documents that hold ``words`` consecutive words of an item.
 
     ``edits`` is the fewest edits (characters inserted, deleted or changed) in one half of any such stretch, the other being
     as it is; 0 for the words as they are, and 1 if only the last word goes on in the document.
-    The items are a stated query set: they are read to the driver in blocks of ``item_block`` and every
-    block is run against all documents; whole texts are searched. Items shorter than ``words`` words and
+    The items are a stated query set: they are read to the driver in blocks of ``item_chars`` characters (an index of about eight
+    times that is broadcast) and every block is run against all documents; whole texts are searched. Items shorter than ``words`` words and
     null or empty texts give no rows; copies of documents or items are all reported. Narrow: no shuffle.
     """
     if words % 2 or not 0 <= max_edits <= 1:
@@ -268,6 +268,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     source = docs.where(docs[doc_text].isNotNull() & docs[doc_id].isNotNull()).select(docs[doc_id].cast("bigint").alias("doc_id"), docs[doc_text].alias("text"))
     result = None
     block: list[tuple[int, str]] = []
+    held = 0
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         index = spark.sparkContext.broadcast(ItemIndex.build([x[0] for x in block], [x[1] for x in block], words // 2))
@@ -296,9 +297,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
 
     for row in items.where(items[item_text].isNotNull()).select(item_id, item_text).toLocalIterator():
         block.append((int(row[0]), row[1]))
-        if len(block) == item_block:
+        held += len(row[1])
+        if held >= item_chars:
             result = search(block) if result is None else result.unionByName(search(block))
-            block = []
+            block, held = [], 0
     if block or result is None:
         result = search(block) if result is None else result.unionByName(search(block))
     return result

@@ -81,6 +81,22 @@ select distinct a.id as doc_id, b.id as item_id from g a join g b on a.kind = 1
 """
 
 
+P3_SQL = """
+with recursive e as (select rid, unnest(conditions) as v, unnest(range(len(conditions))) as i from format_matrix where rid is not null),
+x as (select rid, i, log2(1 + v) as x from e where v > 0 and isfinite(v)),
+p as (select a.rid as u, b.rid as w from x a join x b on a.i = b.i and a.rid < b.rid group by 1, 2 having count(*) >= 3 and corr(a.x, b.x) >= 0.9),
+link as (select u, w from p union all select w, u from p),
+reach as (select distinct u as rid, u as other from link union select reach.rid, link.w from reach join link on link.u = reach.other),
+heads as (select rid, min(other) as head_rid from reach group by rid)
+"""
+P3_FOUND = P3_SQL + "select rid, head_rid from heads"
+P3_PROFILES = P3_SQL + """, c as (select rid, i, x - avg(x) over (partition by rid) as x from x), z as (select rid, i, x / sqrt(sum(x * x) over (partition by rid)) as z from c),
+h as (select head_rid, rid, i, z from z join heads using (rid)), s as (select head_rid, i, sum(z) as s from h group by all), n as (select head_rid, count(*) as size from heads group by 1),
+r as (select h.head_rid, size, h.rid, round((sum(z * s) - 1) / (size - 1), 9) as r from h join s on s.head_rid = h.head_rid and s.i = h.i join n on n.head_rid = h.head_rid group by h.head_rid, size, h.rid),
+k as (select *, row_number() over (partition by head_rid order by r desc, rid) as place from r)
+select head_rid, size, place, rid, round(r, 6) as r from k where place <= 3"""
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of clusters with two or more members."""
     return profile_clusters(table(spark, sf_dir, "format_matrix")).select("rid", "head_rid")
@@ -89,7 +105,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical members of every cluster."""
     records = table(spark, sf_dir, "format_matrix")
-    return describe_clusters(records, profile_clusters(records))
+    return describe_clusters(records, profile_clusters(records)).withColumn("r", F.round("r", 6))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", capacity: int = 2048) -> DataFrame:
@@ -129,4 +145,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p3_found": P3_FOUND, "p3_profiles": P3_PROFILES}
