@@ -26,7 +26,7 @@ from loomspan.session import checkpointed, chunks, column
 #: Design point of the buckets: angle between similar records whose missing entries are filled with their mean.
 #: It decides how much the buckets join before the exact pass, not what is found.
 ANGLE = 23.0
-MISSED = 0.2
+MISSED = 0.5
 LINKS = "rid bigint, pivot bigint, r double"
 
 
