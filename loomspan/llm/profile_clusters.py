@@ -273,10 +273,10 @@ def profile_links(signed: DataFrame, width: int, *, least: float = 0.9, most: in
 
 
 def links_between(signed: DataFrame, labels: DataFrame, width: int, *, least: float = 0.9, count: int, tile: int = 40_000) -> DataFrame:
-    """``a, b``: components that a pair of similar records joins; every pair of records of two components is compared.
+    """``a, b``: groups that a pair of similar records joins; every pair of records of two groups is compared.
 
-    ``signed`` has ``rid`` and ``x``, ``labels`` the component (``node, component``) of records that
-    have one. Records are dealt to groups of about ``tile``; each pair of groups is a task.
+    ``signed`` has ``rid`` and ``x``, ``labels`` the group (``node, component``: the closest pivot) of records that
+    have one; the others are a group of their own. Records are dealt to groups of about ``tile``; each pair of groups is a task.
     """
     groups = max(6, math.ceil(count / tile))
     cells = groups * (groups + 1) // 2
@@ -325,14 +325,10 @@ def profile_clusters(df: DataFrame, id_col: str = "rid", values: str = "conditio
         return reps.select("rid", F.col("rep").alias("head_rid"), F.col("rep").alias("pivot"))
     signed = signed_profiles(profiles, int(size[1]), count=int(size[0]))
     links = checkpointed(profile_links(signed, int(size[1]), least=least, **options))
-    near = components(links, "rid", "pivot")
-    rest = checkpointed(links_between(signed, near, int(size[1]), least=least, count=int(size[0])))
-    if not rest.isEmpty():
-        wide = components(rest, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        alone = wide.join(near, wide["component"] == near["node"], "left_anti").select(F.col("component").alias("node"), "whole")
-        near = near.join(wide, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone.withColumnRenamed("whole", "component"))
+    closest = checkpointed(links.groupBy(F.col("rid").alias("rep")).agg(F.max_by("pivot", F.struct("r", -F.col("pivot"))).alias("pivot")))
+    rest = links_between(signed, closest.select(F.col("rep").alias("node"), F.col("pivot").alias("component")), int(size[1]), least=least, count=int(size[0]))
+    near = components(links.select(F.col("rid").alias("a"), F.col("pivot").alias("b")).unionByName(rest), "a", "b")
     joined = near.select(F.col("node").alias("rep"), F.col("component"))
-    closest = links.groupBy(F.col("rid").alias("rep")).agg(F.max_by("pivot", F.struct("r", -F.col("pivot"))).alias("pivot"))
     return (
         reps.select("rid", "rep", "copies")
         .join(joined, "rep", "left")
