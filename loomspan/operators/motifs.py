@@ -313,9 +313,17 @@ def periodicity(df: DataFrame, word: str, *, seq: str = "seq", windows: list[int
 
 
 def sequence_chunks(chroms: DataFrame, size: int = 65_536) -> DataFrame:
-    """``chrom, ix, seq``: sequences (``chrom, seq``) cut into pieces of ``size``."""
-    n = F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
-    return chroms.select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("ix")).select("chrom", "ix", F.substring("seq", (F.col("ix") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+    """``chrom, ix, seq``: sequences (``chrom, seq``) cut into pieces of ``size``, in time proportional to their length; null sequences go, an empty one is one empty piece."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chrom, seq in zip(batch.column("chrom").to_pylist(), batch.column("seq").to_pylist()):
+                starts = range(0, max(len(seq), 1), size)
+                for first in range(0, len(starts), 256):
+                    some = starts[first : first + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(some), pa.string()), pa.array(range(first, first + len(some)), pa.int64()), pa.array([seq[p : p + size] for p in some], pa.string())], names=["chrom", "ix", "seq"])
+
+    return chroms.where(F.col("seq").isNotNull()).select("chrom", "seq").mapInArrow(cut, "chrom string, ix bigint, seq string")
 
 
 def get_sequences(loci: DataFrame, pieces: DataFrame, *, size: int = 65_536, loc_key: str = "loc", key: str = "rid", strand: str | None = None) -> DataFrame:

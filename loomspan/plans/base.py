@@ -60,6 +60,10 @@ READS = """reads as (select concat('chr', l_suppkey % 5) as chrom, (l_orderkey *
  (l_orderkey * 7919 + l_linenumber * 104729) % 1000000 + 20 + cast(l_quantity as bigint) * 4 as hi, case when l_partkey % 2 = 0 then '+' else '-' end as strand from lineitem)"""
 
 
+SWEEP = """e as (select chrom, p, sum(v) as v from (select chrom, lo as p, 1 as v from reads union all select chrom, hi, -1 from reads) group by all),
+ t0 as (select chrom, p as s, lead(p) over (partition by chrom order by p) as e, sum(v) over (partition by chrom order by p) as value from e), track as (select chrom, s, e, value from t0 where value <> 0)"""
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
     left = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000000
     return table(spark, d, "lineitem").select(

@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import contacts, massspec, matrix, readqc, sets, tracks
-from loomspan.plans.base import GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, columns, flat, genes, peaks, query, reads
+from loomspan.functions import arrays
+from loomspan.operators import contacts, massspec, matrix, motifs, readqc, sets, tracks
+from loomspan.plans.base import DNA, GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, SWEEP, columns, dna, flat, genes, peaks, query, reads
 from loomspan.plans.base import matrix as make_matrix
 from loomspan.plans.general import table
 from loomspan.session import ensure_checkpoint_dir
-from loomspan.sources import readers, store, writers
-from loomspan.sources.formats import FORMATS, Format
+from loomspan.sources import motif_files, readers, store, writers
+from loomspan.sources.formats import FORMATS, Format, find
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -431,3 +432,134 @@ def save_massspec(spark, d):
 @query("with n as (select text, count(*) as n from documents where text is not null group by text) select count(case when n = 1 then 1 end) as unique, count(case when n > 1 then 1 end) as repeated from n".replace("as unique", 'as "unique"'))
 def read_uniqueness(spark, d):
     return readqc.uniqueness(table(spark, d, "documents").where("text is not null").select(F.col("text").alias("seq"))).select("unique", "repeated")
+
+
+# --- what a list, a motif or a matrix is made of -----------------------------------------------------
+
+
+@query("select p_partkey, p_brand, p_size from part")
+def list_iterate(spark, d):
+    """All rows and keys of a stored list: iterating, copying and exporting are reading."""
+    path = folder(spark, "list")
+    writers.save(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), path)
+    return readers.load(spark, path)
+
+
+@query("select count(*) as rows, count(*) > 0 as some from part")
+def list_length(spark, d):
+    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) > 0).alias("some"))
+
+
+@query("select 'n_regionkey' as key, 0 as place, false as shared union all select 'name', 1, true")
+def list_keys(spark, d):
+    """Keys of a list and which of them another list has too."""
+    a = table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("name"))
+    both = set(sets.shared_keys(a, table(spark, d, "region").select(F.col("r_name").alias("name"))))
+    return spark.createDataFrame([(k, i, k in both) for i, k in enumerate(a.columns)], "key string, place int, shared boolean")
+
+
+@query(r"select p_partkey, a || 'C' || b as word from part, (values ('A'), ('G')) x(a), (values ('A'), ('C'), ('G'), ('T')) y(b)")
+def motif_words(spark, d):
+    """Concrete words of a degenerate motif, for every part."""
+    words = motifs.expand_word("RCN")
+    return table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.lit(w) for w in words])).alias("word"))
+
+
+@query("with b as (select unnest(['A', 'C', 'G', 'T']) as b) select x.b || y.b || z.b as word, case when (x.b <> 'A')::int + (y.b <> 'C')::int + (z.b <> 'G')::int = 1 then true else false end as one_off from b x, b y, b z")
+def motif_library(spark, d):
+    """All words of three letters, and those that differ from one word in one base."""
+    off = set(motifs.permute_one("ACG"))
+    return spark.createDataFrame([(w, w in off) for w in motifs.library(3)], "word string, one_off boolean")
+
+
+@query(f"with {DNA} select rid, length(seq) - length(regexp_replace(seq, '[ACGT]CG|A[ACGT]G|AC[ACGT]', '', 'g')) > 0 as near from dna")
+def motif_mismatches(spark, d):
+    """Sequences with a motif word, one place of it free."""
+    return dna(spark, d).select("rid", F.col("seq").rlike("|".join(motifs.mismatch_regexes("ACG"))).alias("near"))
+
+
+@query("select p_partkey, p_partkey % 10 + 1.0 as a, 2.0 as c, 1.0 as g, 3.0 as t from part")
+def motif_file(spark, d):
+    """Motif records of two places as text, read back."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit(">ACGT\tm"), k, F.lit("\t"), F.col("p_size"), F.lit("\n"), k % 10 + 1, F.lit("\t2\t1\t3\n0.1\t0.2\t0.3\t0.4"))
+    got = motif_files.read_homer_motifs(spark, write_lines(table(spark, d, "part").select(text.alias("value")), folder(spark, "motifs")))
+    row = F.col("matrix")[0]
+    return got.select(F.substring("name", 2, 20).cast("bigint").alias("p_partkey"), row[0].alias("a"), row[1].alias("c"), row[2].alias("g"), row[3].alias("t"))
+
+
+@query("select concat('m', p_partkey) as name, 0.25 as a, 0.75 as g, cast(p_size as double) as score from part")
+def motif_save(spark, d):
+    """Motifs written with rows that add up to 1, read back."""
+    one = F.array(F.lit(1.0), F.lit(0.0), F.lit(3.0), F.lit(0.0))
+    m = table(spark, d, "part").select(F.concat(F.lit("m"), "p_partkey").alias("name"), F.lit("AG").alias("word"), F.col("p_size").cast("double").alias("score"), F.array(one, one).alias("matrix"))
+    path = folder(spark, "saved-motifs")
+    writers.motif_lines(m).write.text(path)
+    return motif_files.read_homer_motifs(spark, path).select("name", F.col("matrix")[1][0].alias("a"), F.col("matrix")[1][2].alias("g"), "score")
+
+
+@query("select concat('id', p_partkey) as id, concat('n', p_size) as name, cast(p_partkey as double) as a, cast(p_size as double) as t from part")
+def motif_jaspar(spark, d):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit(">id"), k, F.lit(" n"), F.col("p_size"), F.lit("\n"), k, F.lit(" 1\n2 2\n3 3\n"), F.col("p_size"), F.lit(" 4"))
+    got = motif_files.read_jaspar(spark, write_lines(table(spark, d, "part").select(text.alias("value")), folder(spark, "jaspar")))
+    return got.select("id", "name", F.col("matrix")[0][0].alias("a"), F.col("matrix")[0][3].alias("t"))
+
+
+@query("select p_partkey, p_size + 0.5 as low, p_size / 3.0 as high from part")
+def array_rescale(spark, d):
+    v = F.array(F.col("p_size") * 1.0, F.col("p_size") + 1.0, F.col("p_size") / 3.0)
+    out = arrays.rescale(F.concat(F.array(v[0], v[1]), F.array(v[2], v[2])), 2)
+    return table(spark, d, "part").select("p_partkey", out[0].alias("low"), out[1].alias("high"))
+
+
+@query(f"with {MATRIX} select rid, RO, RF, NO, NF, AO, AF, round(AF / 2, 6) as extra from m where AF > 100")
+def matrix_rebuilt(spark, d):
+    """Rows cut by a condition, errors dropped, conditions sorted backwards, one inserted."""
+    m = matrix.drop_errors(make_matrix(spark, d).withColumn("err", F.col("conditions")))
+    kept = matrix.cut(m, lambda f: f["conditions"][0] > 100)
+    names = matrix.sorted_conditions(NAMES, reverse=True)
+    turned = matrix.slice_conditions(kept, NAMES, names)
+    more = matrix.insert_condition(turned, "rid", kept.select("rid", (F.col("conditions")[0] / 2).alias("v")), "v")
+    return columns(more, [*names, "extra"])
+
+
+@query("select l_orderkey, l_linenumber, case when l_discount = 0 then 0.1 when l_discount > 0.05 then 1.0 else 0.0 end as code from lineitem")
+def call_codes(spark, d):
+    called = F.when(F.col("l_discount") != 0, F.col("l_discount") > 0.05)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", massspec.call_code(called).alias("code"))
+
+
+@query("select concat('@a:b:c:d:e:f', p_partkey // 2, ':1') as one, concat('@a:b:c:d:e:f', p_partkey // 2, ':2') as two from part where p_partkey > 1 and p_partkey % 2 = 0 and p_partkey < (select max(p_partkey) from part)")
+def split_fastq_pairs(spark, d):
+    """Interleaved reads split into pairs: two records of one name, one behind another."""
+    p = table(spark, d, "part").where("p_partkey > 1")
+    ids = F.concat(F.lit("@a:b:c:d:e:f"), F.floor(F.col("p_partkey") / 2), F.lit(":"), F.col("p_partkey") % 2 + 1)
+    path = folder(spark, "interleaved")
+    writers.write_fastq(p.select("p_partkey", ids.alias("id"), F.lit("ACGT").alias("seq"), F.array(*[F.lit(30)] * 4).alias("qual")).orderBy("p_partkey"), path, single=True)
+    return readers.split_pairs_fastq(readers.read_fastq(spark, path)).select(F.col("first.id").alias("one"), F.col("second.id").alias("two"))
+
+
+@query("select i, array_to_string(list_transform(range(6), lambda j: cast(least(i, j) * 10 + greatest(i, j) as varchar)), ',') as row from (select unnest(range(6)) as i)")
+def contacts_dense(spark, d):
+    """Dense rows of one chromosome as text, read back."""
+    rows = spark.createDataFrame([("a", i, j, float(i * 10 + j)) for i in range(6) for j in range(i, 6)], "chrom string, i long, j long, score double")
+    dense = contacts.dense_rows(rows, "a", 6)
+    path = folder(spark, "dense")
+    writers.write_delimited(dense.select("i", *[F.col("values")[k].cast("bigint").alias(f"b{k}") for k in range(6)]), path, sep="\t")
+    back = readers.read_table(spark, path, "sniffer_tsv")
+    return back.select("i", F.concat_ws(",", *[F.col(f"b{k}") for k in range(6)]).alias("row"))
+
+
+@query(f"with {READS}, {SWEEP}, {PEAKS}, w as (select rid, ((lo + hi) >> 1) - 200 as w0, chrom from peaks), c as (select rid, value, greatest(s, w0) - w0 as a, least(e, w0 + 400) - w0 as b from w join track t on t.chrom = w.chrom and t.e > w0 and t.s < w0 + 400), k as (select *, unnest(range(a // 100, (b - 1) // 100 + 1)) as bin from c), s as (select rid, bin, cast(sum(value * (least(b, (bin + 1) * 100) - greatest(a, bin * 100))) as double) as value from k where bin < 4 group by all) select 'one' as track, * from s union all select 'two', rid, bin, value * 2 from s")
+def tracks_heat(spark, d):
+    """Binned signal of two tracks around all peaks."""
+    t = tracks.coverage(reads(spark, d))
+    both = t.withColumn("track", F.lit("one")).unionByName(t.withColumn("value", F.col("value") * 2).withColumn("track", F.lit("two")))
+    return tracks.list_heat(both, "track", peaks(spark, d), distance=200, bins=4).withColumn("value", F.col("value").cast("double"))
+
+
+@query("select f, field from (select unnest(['bed', 'full_bed']) as f), (select unnest(['loc', 'name', 'score', 'strand']) as field)")
+def format_fields(spark, d):
+    """The catalogue: formats by name and the keys of each."""
+    return spark.createDataFrame([(n, k) for n in ("bed", "full_bed") if n in find("bed") for k in list(FORMATS[n].keys)[:4]], "f string, field string")

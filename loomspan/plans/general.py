@@ -73,7 +73,7 @@ _TRIM = lambda x: f"trim({x}, ' ' || chr(9))"
 P4_LOADED = P4_SQL[: P4_SQL.rindex("select rec_id, reason from")] + f"""select rec_id, 'chr' || upper(regexp_replace(split_part(loc, ':', 1), '^chr', '')) as chrom, cast(l as bigint) as left, cast(u as bigint) as right,
    case when fmt = 'bed' then {_TRIM("c[4]")} when {_TRIM("c[2]")}[1] = '"' then {_TRIM(f"replace({_TRIM('c[2]')}[2:-2], '" + '""' + "', '" + '"' + "')")} else {_TRIM("c[2]")} end as name, cast(score as double) as score, {_TRIM("strand")} as strand
    from h where quoted and n = (case when fmt = 'bed' then 6 else 4 end) and shaped and try_cast(l as bigint) <= try_cast(u as bigint)
-   and regexp_full_match(score, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and try_cast(score as double) between 0 and 1000 and {_TRIM("strand")} in ('+', '1', 'f', 'F', '-', '-1', '0', 'r', 'R', '.')"""
+   and regexp_full_match(score, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') and try_cast(score as double) between 0 and 1000 and {_TRIM("strand")} in ('+', '1', 'f', 'F', '-', '-1', '0', 'r', 'R', '.')"""
 
 
 def _items_sql(field: str, table: str, key: str, pattern: str, text: str) -> str:

@@ -10,7 +10,7 @@ from loomspan.functions import arrays
 from loomspan.operators import contacts, intervals, learn, massspec, motifs, stats, tracks
 from loomspan.operators import matrix as mx
 from loomspan.operators import rows as row_ops
-from loomspan.plans.base import DNA, GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, cells, columns, dna, genes, matrix, peaks, query, reads
+from loomspan.plans.base import DNA, GENES, LONG, MATRIX, NAMES, ORACLE, PEAKS, QUERIES, READS, SWEEP, cells, columns, dna, genes, matrix, peaks, query, reads
 from loomspan.plans.general import table
 from loomspan.plans.list_queries import PRIORITIES
 
@@ -288,8 +288,7 @@ def kernel_density(spark, d):
 
 # --- tracks -----------------------------------------------------------------------------------------
 
-_SWEEP = """e as (select chrom, p, sum(v) as v from (select chrom, lo as p, 1 as v from reads union all select chrom, hi, -1 from reads) group by all),
- t0 as (select chrom, p as s, lead(p) over (partition by chrom order by p) as e, sum(v) over (partition by chrom order by p) as value from e), track as (select chrom, s, e, value from t0 where value <> 0)"""
+_SWEEP = SWEEP
 _TRACK = f"with {READS}, {_SWEEP}"
 
 

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)  # workers may be started from another folder
     return spark
 
 

@@ -102,6 +102,6 @@ def save(df: DataFrame, path: str) -> None:
 
 def motif_lines(motifs: DataFrame) -> DataFrame:
     """``name, word, score, matrix`` as text records with one line of weights per place, rows normalised to sum 1."""
-    row = lambda r: F.array_join(F.transform(r, lambda x: F.format_number(x / F.aggregate(r, F.lit(0.0), lambda a, b: a + b), "0.000")), "\t")
+    row = lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.3f", x / F.aggregate(r, F.lit(0.0), lambda a, b: a + b))), "\t")
     head = F.concat_ws("\t", F.concat(F.lit(">"), F.col("word")), "name", F.col("score").cast("string"))
     return motifs.select(F.concat_ws("\n", head, F.array_join(F.transform("matrix", row), "\n")).alias("value"))
