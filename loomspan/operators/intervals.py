@@ -105,27 +105,30 @@ def meet(a: DataFrame, b: DataFrame, wide: callable, delta: int, *, logic: str =
     return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
-def without(df: DataFrame, other: DataFrame, wide: callable, *, loc_key: str = "loc", block_bits: int = 20) -> DataFrame:
+def without(df: DataFrame, other: DataFrame, wide: callable, *, loc_key: str = "loc", bin_size: int = BIN) -> DataFrame:
     """Rows of ``df`` whose ``wide`` interval overlaps none of ``other``; rows with a null or reversed interval overlap nothing.
 
-    Existence only, no pairs: the rows of ``other`` become covered periods, which are disjoint, and each row is tested
-    against the last period that begins at or before its end. That look runs in blocks of positions, with the last
-    period of the blocks before carried in, so neither a pile-up nor a hot chromosome makes one big task.
+    Existence only, no pairs: the rows of ``other`` become covered periods, which are disjoint, so that a pile-up is one. A row
+    looks in the one bin it ends in, of a size not below its length, where the periods of that bin and the one before are:
+    one anti join, no DISTINCT. Bins grow 64-fold from size to size, and there are as many sizes as the longest row needs
+    (one narrow aggregate finds it).
     """
     w, o = wide(F.col(loc_key)), wide(other[loc_key])
     periods = covered_and_gaps(other.select(o["chrom"].alias("chrom"), o["left"].alias("left"), o["right"].alias("right")), ["chrom"], "left", "right").where("kind = 'covered'")
     sound = F.coalesce(w["chrom"].isNotNull() & (w["left"] <= w["right"]), F.lit(False))
     asked = df.select(F.struct("*").alias("row"), w["chrom"].alias("chrom"), w["right"].alias("pos"), w["left"].alias("from"), sound.alias("sound"))
-    spots = periods.select(F.lit(None).cast(asked.schema["row"].dataType).alias("row"), "chrom", F.col("lo").alias("pos"), F.lit(None).cast("bigint").alias("from"), F.col("hi").alias("until"))
-    both = spots.unionByName(asked.where("sound").drop("sound").withColumn("until", F.lit(None).cast("bigint")))
-    both = both.withColumn("block", F.shiftright("pos", block_bits))
-    in_block = Window.partitionBy("chrom", "block").orderBy("pos", F.col("until").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_in", F.last("until", ignorenulls=True).over(in_block)).where("row is not null")
-    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = both.groupBy("chrom", "block").agg(F.max("until").alias("_last"))
-    blocks = blocks.select("chrom", "block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    alone = seen.join(blocks, ["chrom", "block"]).where(F.coalesce(F.coalesce("_in", "_carry") < F.col("from"), F.lit(True)))
-    return alone.select("row.*").unionByName(asked.where("not sound").select("row.*"))
+    size = F.col("pos") - F.col("from")
+    longest = asked.where("sound").agg(F.max(size)).first()[0] or 0
+    sizes = [bin_size]
+    while sizes[-1] < longest:
+        sizes.append(sizes[-1] * LONG)
+    level = functools.reduce(lambda c, k: c.when(size <= sizes[k], k), range(1, len(sizes)), F.when(size <= sizes[0], 0)).cast("int")
+    width = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in sizes]), F.col("level") + 1)
+    rows = asked.where("sound").withColumn("level", level).withColumn("bin", F.floor(F.col("pos") / width))
+    spread = periods.select("chrom", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))).alias("level"))
+    placed = spread.select(F.col("chrom").alias("_c"), F.col("level").alias("_l"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width) + 1)).alias("_b"))
+    meets = (F.col("chrom") == F.col("_c")) & (F.col("level") == F.col("_l")) & (F.col("bin") == F.col("_b")) & (F.col("lo") <= F.col("pos")) & (F.col("hi") >= F.col("from"))
+    return rows.join(placed, meets, "left_anti").select("row.*").unionByName(asked.where("not sound").select("row.*"))
 
 
 def in_list(df: DataFrame, other: DataFrame, *, mode: str = "collide", delta: int = 200, loc_key: str = "loc", key: str = "rid", bin_size: int = BIN) -> DataFrame:
