@@ -43,7 +43,7 @@ u as (select 'testc' as src, name, 'chr' || upper(regexp_extract(s, '^(chr)?([^:
       union all
       select 'genome_sql', name, 'chr' || upper(regexp_replace(lower(trim(chrom)), '^chr', '')), transcript_left, transcript_right from genome_sql),
 v as (select src, name, chrom, l, r, max(r) over (partition by src, name, chrom order by l, r rows between unbounded preceding and 1 preceding) as reach
-      from u where l is not null and r is not null and l <= r and name is not null),
+      from (select distinct src, name, chrom, l, r from u) where l is not null and r is not null and l <= r and name is not null),
 w as (select *, sum(case when reach is null or l > reach + 1 then 1 else 0 end) over (partition by src, name, chrom order by l, r rows unbounded preceding) as n from v),
 p as (select src, name, chrom, min(l) as lo, max(r) as hi from w group by src, name, chrom, n),
 g as (select src, name, chrom, hi + 1 as lo, lead(lo) over (partition by src, name, chrom order by lo) - 1 as hi from p)
