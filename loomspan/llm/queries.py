@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def p6_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(combine(daily, ["src", "grp"]), SHARES)
 
 
+def p6_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the combined daily percentiles keep their bound: a rank error of 3 % of the distance from the top, and two values."""
+    entries = measured(spark, sf_dir).select("src", "grp", F.explode("entries").alias("v")).where("v > 0 and not isnan(v) and v < double('Infinity')")
+    joined = entries.join(p6_daily(spark, sf_dir).select("src", "grp", "n", *SHARES), ["src", "grp"])
+    counts = joined.groupBy("src", "grp").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m"), *[F.count_if(F.col("v") < F.col(c)).alias(f"{c}_below") for c in SHARES], *[F.count_if(F.col("v") <= F.col(c)).alias(f"{c}_upto") for c in SHARES])
+    off = lambda c, q: F.greatest(F.col(f"{c}_below") / F.col("m") - q, q - F.col(f"{c}_upto") / F.col("m"))
+    fine = [off(c, q) <= 0.03 * (1 - q) + 2 / F.col("m") for c, q in SHARES.items()]
+    return counts.select("src", "grp", "n", functools.reduce(lambda a, b: a & b, fine).alias("within"))
+
+
+P6_WITHIN = """
+with t as (select 'massspec' as src, sample_name as grp, unnest(intensities) as v from massspec
+           union all select 'format_matrix', study, unnest(conditions) from format_matrix)
+select src, grp, count(*) as n, true as within from t where v > 0 and isfinite(v) and grp is not null group by src, grp
+"""
 P6_FOUND = """
 with t as (select 'massspec' as src, sample_name as grp, unnest(intensities) as v from massspec
            union all select 'format_matrix', study, unnest(conditions) from format_matrix)
@@ -141,8 +158,8 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sizes": p1_sizes, "p6_found": p6_found, "p6_daily": p6_daily, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p3_found": p3_found, "p3_profiles": p3_profiles, "p9_found": p9_found, "p9_corpus": p9_corpus}
+    return {"p1_found": p1_found, "p1_sizes": p1_sizes, "p6_found": p6_found, "p6_daily": p6_daily, "p6_within": p6_within, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p3_found": p3_found, "p3_profiles": p3_profiles, "p9_found": p9_found, "p9_corpus": p9_corpus}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p3_found": P3_FOUND, "p3_profiles": P3_PROFILES}
+    return {"p1_found": P1_FOUND, "p1_sizes": P1_SIZES, "p6_found": P6_FOUND, "p6_within": P6_WITHIN, "p8_found": P8_FOUND, "p3_found": P3_FOUND, "p3_profiles": P3_PROFILES}
